@@ -125,11 +125,26 @@ def score(docs: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, as they are."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(features(batch.column(batch.schema.get_field_index("text")))) >= 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def fit_on_fold(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> QuadraticDiscriminant:
+    """Fitted on the labelled rows that aren't held out."""
+    known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & (label_fold(folds) != held_out))
+    return fit(docs.select("doc_id", "text").join(known, "doc_id"))
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
-    fold = label_fold(folds)
-    known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & (fold != held_out))
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
-    return score(docs, model).select("doc_id", (fold == held_out).alias("held_out"), "score", "predicted")
+    """Per document: doc_id, held_out, score, predicted."""
+    model = fit_on_fold(docs, labels, folds, held_out)
+    return score(docs, model).select("doc_id", (label_fold(folds) == held_out).alias("held_out"), "score", "predicted")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
