@@ -164,3 +164,23 @@ def quiet_threads() -> None:
     """One thread for each task: Spark already runs a task on each core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
+
+
+#: Bits of the filter in ``may_be_among``: 4,096 rows of 4 KiB, whatever the input.
+FILTER_BITS = 1 << 27
+
+
+def may_be_among(df: DataFrame, key, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` (a long expression) may be in the one column of ``wanted``, and the others.
+
+    A bitmap of a fixed size says so, and is all that is broadcast: rows that it lets through still have to be joined,
+    rows that it doesn't need no shuffle.  With very many wanted keys it lets more through, never less.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(32767)
+    bits = wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(FILTER_BITS)).alias("p"))
+    bits = bits.groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("_bitmap"))
+    marked = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(materialize(bits)), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    here = F.coalesce(F.expr("1 << cast(_bit % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
+    return marked.where(here).select(df.columns), marked.where(~here).select(df.columns)

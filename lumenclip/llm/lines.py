@@ -7,9 +7,9 @@ stay.  Edits are counted in words: a changed character, number or name is one ed
 
 1. Equal lines meet by a 128-bit hash; each distinct line keeps its first place (summed before the shuffle, so a line
    that a third of all documents have costs a row for each task).
-2. Distinct lines that could have a near one are found by two keys each: with one edit, either the first or the last
-   k words are untouched, k a power of two at most half the shorter line's words.  Only lines that share a key with
-   another go on.
+2. Distinct lines that could have a near one are found by a few keys each: words are dealt into four to seven blocks
+   from either end, and one edit leaves all blocks but one as they are.  Only lines that share the rest of their
+   blocks with another go on.
 3. Those emit their deletion variants (the line itself and the line without each word) as hashed keys; equal variants
    join.  Lines that share a variant at one position are all near each other, and a line that equals another's
    variant is near it, so each row of a group is paired with the group's first only: pairs are linear in the rows.
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenclip.llm.common import documents, materialize
+from lumenclip.llm.common import documents, materialize, may_be_among
 
 #: Stands for a missing doc_id, so that places can be compared and joined.
 _NO_ID = -(2**63)
@@ -39,20 +39,33 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.withColumn("line", F.expr(r"btrim(line, ' \t\r\f\u000b')")).where("line <> ''")
 
 
-def _half(words: Column) -> Column:
-    """The greatest power of two that is at most half of ``words``."""
-    return F.pow(F.lit(2.0), F.floor(F.log2(F.floor(words / 2)) + 1e-9)).cast("int")
+#: Words of a line are dealt into blocks of q, a power of two, so that a line has four to seven whole ones.
+_BLOCKS = 7
+
+
+def _ends(words: Column) -> Column:
+    """For a pair whose shorter line has ``words``: for each block that the edit may be in, the number of words before
+    it and behind it, whole blocks each, that it leaves as they are."""
+    q = F.pow(F.lit(2.0), F.floor(F.log2(F.floor(words / 4).cast("double")) + 1e-9)).cast("int")
+    m = F.floor(words / q).cast("int")
+    return F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.struct((j * q).alias("head"), ((m - 1 - j) * q).alias("tail")))
 
 
 def _signatures(docs: DataFrame, min_words: int) -> DataFrame:
     """For each line: its place, two hashes, and the keys of its first and last words where a near line can exist."""
     lines = _lines(docs).withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
-    lines = lines.withColumns({"k1": _half(F.col("n")), "k2": _half(F.greatest(F.col("n") - 1, F.lit(2)))})
-    ends = [F.expr(f"xxhash64({side}, {k}, substring_index(line, ' ', {sign}{k}))") for k in ("k1", "k2") for side, sign in ((0, ""), (1, "-"))]
-    keys = F.when(F.col("n") < min_words, F.array().cast("array<bigint>")).when(F.col("k1") == F.col("k2"), F.array(*ends[:2])).otherwise(F.array(*ends))
+    some = F.col("n") >= min_words
+    ends = F.array_union(_ends(F.greatest(F.col("n"), F.lit(4))), _ends(F.greatest(F.col("n") - 1, F.lit(4))))
+    keys = F.when(some, F.expr("transform(ends, e -> xxhash64(e.head, substring_index(line, ' ', e.head), e.tail, substring_index(line, ' ', -e.tail)))")).otherwise(F.array().cast("array<bigint>"))
+    lines = lines.withColumn("ends", F.when(some, ends))
     return lines.select("_doc", "_line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), keys.alias("keys"))
 
 
+def _line_count() -> Column:
+    """Lines of text that aren't blank."""
+    return F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(" \t\r\f\u000b")) != ""))
+
+
 def _distinct(signatures: DataFrame) -> DataFrame:
     return signatures.groupBy("h1", "h2").agg(F.min(F.struct("_doc", "_line")).alias("first"), F.first("keys").alias("keys"))
 
@@ -88,11 +101,15 @@ def near_lines(docs: DataFrame, signatures: DataFrame, distinct: DataFrame) -> D
     """Places (_doc, _line) of the distinct lines that have a near line before them."""
     company = _with_company(distinct).groupBy("_doc").agg(F.collect_set("_line").alias("wanted"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_doc"), "text")
+    company = materialize(company)
+    texts, _ = may_be_among(texts, F.col("_doc"), company.select("_doc"))
     split = texts.join(company, "_doc").select("_doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("_line"))
     line = F.expr(r"btrim(get(all, _line), ' \t\r\f\u000b')")
     # Where rows repeat a doc_id, another row's line may stand at this number, or none: places stay apart by content.
     lines = materialize(split.select("_doc", "_line", F.split(line, " ").alias("words")).where(F.col("words").isNotNull()).dropDuplicates(["_doc", "_line"]))
-    variants = _variants(lines)
+    every = _variants(lines)
+    shared = every.groupBy("key", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("key", "n")
+    variants = materialize(every.join(shared, ["key", "n"]))
     place = F.struct("_doc", "_line")
     firsts = variants.groupBy("key", "n", "at").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
     # By key and length: the line that is the whole variant, and for each position the first line that it is left of.
@@ -131,15 +148,18 @@ def line_dedup(docs: DataFrame, min_words: int = 8) -> DataFrame:
     verdict = signatures.select("_doc", "_line", "h1", "h2").join(lines, ["h1", "h2"]).select("_doc", "_line", equal.alias("equal"), "near")
     gone = verdict.groupBy("_doc").agg(
         F.collect_set(F.when(F.col("equal") | F.col("near"), F.col("_line"))).alias("_gone"),
-        F.count("*").alias("n_lines"),
         F.count(F.when(F.col("equal"), 1)).alias("n_equal"),
         F.count(F.when(~F.col("equal") & F.col("near"), 1)).alias("n_near"),
     )
+    gone = materialize(gone.where(F.size("_gone") > 0))
     own = docs.drop("n_lines", "n_equal", "n_near").withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    touched, whole = may_be_among(own, F.col("_doc"), gone.select("_doc"))
     every = F.split("text", "\n")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), "_gone"), lambda i: F.get(every, i)), "\n")
-    text = F.when(F.coalesce(F.size("_gone"), F.lit(0)) > 0, kept).otherwise(F.col("text"))
-    out = own.join(gone, "_doc", "left").withColumn("text", text).drop("_doc", "_gone")
+    lost = touched.join(gone, "_doc", "left").withColumn("n_lines", _line_count())
+    lost = lost.withColumn("text", F.when(F.size("_gone") > 0, kept).otherwise(F.col("text"))).drop("_doc", "_gone")
+    whole = whole.withColumns({"n_lines": _line_count(), "n_equal": F.lit(0), "n_near": F.lit(0)}).drop("_doc")
+    out = lost.unionByName(whole)
     out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_lines", "n_equal", "n_near")})
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
