@@ -17,10 +17,12 @@
 Null and empty texts and those without words have an empty set and are components of their own.  With fewer words than
 a shingle has, the whole sequence is the one shingle.  Repeated doc_ids keep all their rows; rows without a doc_id have
 no component and link nothing.  An empty table gives no rows.
+
+What most of a cluster have is told from a bounded sample of it; the links don't depend on it, only how few classes
+have to meet beyond the centre.  Texts, not sets, go to where pairs are verified: they are smaller.
 Tokens are 64-bit hashes of shingles: two different shingles of a pair agree with a chance of about 1e-13.
 """
 
-from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, exp, floor
@@ -30,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenclip.llm.common import documents, materialize, mix, words_of
+from lumenclip.llm.common import documents, materialize, may_be_among, mix, words_of
 from lumenclip.llm.components import connected_components
 
 #: Ratio of a band's sizes.
 BAND = 1.4
+#: Classes of a cluster from which what most of it have is told: any choice gives the same links, a good one sooner.
+SAMPLE = 24
 #: A key that more classes share goes by step 4.
-FEW = 16
+FEW = 8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,56 +144,74 @@ def signatures(docs: DataFrame, k: int, threshold: float, rows: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, keys array<long>")
 
 
-def token_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, tokens: the whole sets."""
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(sets_of(batch.column(batch.schema.get_field_index("text")), k))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.ListArray.from_arrays(pa.array(offsets), _signed(flat))], names=["doc_id", "tokens"])
+def _texts_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, text for each wanted doc_id (a column named rep)."""
+    texts, _ = may_be_among(docs.select("doc_id", "text"), F.col("doc_id"), wanted)
+    return texts.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
 
-    return docs.select("doc_id", "text").mapInArrow(expand, "doc_id long, tokens array<long>")
 
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
-def _sets_for(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """The sets of the wanted doc_ids (a column named rep), each once."""
-    ids = wanted.select(F.col("rep").alias("doc_id"))
-    return token_sets(docs.select("doc_id", "text").join(ids, "doc_id"), k).select(F.col("doc_id").alias("rep"), "tokens").dropDuplicates(["rep"])
 
+def _few_pairs(members: DataFrame) -> DataFrame:
+    """a, b: classes that share a key with at most FEW."""
+    groups = members.where(F.col("many") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("g")).select("g").distinct()
+    first = groups.select("g", F.posexplode("g").alias("i", "a"))
+    return first.select("a", F.explode(F.slice("g", F.col("i") + 2, FEW)).alias("b")).distinct()
 
-def _links(shared: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * shared >= percent * (a + b - shared)
 
+def _few_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(sets_of(_column(batch, "x"), k), sets_of(_column(batch, "y"), k), strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([_column(batch, "a"), _column(batch, "b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def _few_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links a, b among classes that share a key with at most FEW."""
-    groups = members.where(F.col("many") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("g")).select("g").distinct()
-    first = groups.select("g", F.posexplode("g").alias("i", "x"))
-    pairs = first.select("x", F.explode(F.slice("g", F.col("i") + 2, FEW)).alias("y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    pairs = materialize(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct())
-    sets = materialize(_sets_for(docs, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), k))
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
-    return both.where(_links(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"), percent)).select("a", "b")
+    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _many_links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links a, b that join the same components as all links among classes that share a key with more than FEW."""
+def _clusters(members: DataFrame) -> DataFrame:
+    """rep, cluster for the classes that share a key with more than FEW."""
     crowded = members.where(F.col("many") > FEW)
     pivot = crowded.groupBy("key").agg(F.min("rep").alias("b"))
     clusters = connected_components(crowded.join(pivot, "key").select(F.col("rep").alias("a"), "b"))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct())
-    sets = materialize(_sets_for(docs, clusters, k).join(clusters, "rep"))
-
-    # What most of a cluster have.
-    sizes = sets.groupBy("cluster").agg(F.count("*").alias("rows"))
-    counts = sets.select("cluster", F.explode("tokens").alias("token")).groupBy("cluster", "token").agg(F.count("*").alias("n"))
-    common = counts.join(sizes, "cluster").where("2 * n > rows").groupBy("cluster").agg(F.collect_list("token").alias("common"))
-    differ = sets.join(common, "cluster", "left").withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
-    # A token of D that is left out is told from one that is put in by nothing: a cluster's common tokens are never put in.
-    differ = differ.select("cluster", "rep", F.size("tokens").alias("n"), F.concat(F.array_except("tokens", "common"), F.array_except("common", "tokens")).alias("d"))
+    return materialize(clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()))
+
+
+def _differences(clusters: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """cluster, rep, n, d: each class's difference from what most of a sample of its cluster have.
+
+    A token of d that is left out is told from one that is put in by nothing: common tokens are never put in.
+    """
+
+    def most(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sets = list(sets_of(table.column("text"), k))
+        token, count = np.unique(np.concatenate(sets), return_counts=True)
+        common = token[2 * count > len(sets)]
+        return pa.table({"cluster": pa.array([key[0].as_py()], pa.int64()), "common": pa.array([common.view(np.int64)], pa.list_(pa.int64()))})
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, d = [], []
+            for own, common in zip(sets_of(_column(batch, "text"), k), _column(batch, "common"), strict=True):
+                n.append(len(own))
+                d.append(np.setxor1d(own, common.values.to_numpy(zero_copy_only=False).view(np.uint64), assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays([_column(batch, "cluster"), _column(batch, "rep"), pa.array(n, pa.int32()), pa.array(d, pa.list_(pa.int64()))], names=["cluster", "rep", "n", "d"])
+
+    sample = clusters.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("i") <= SAMPLE).select("rep", "cluster")
+    common = sample.join(texts, "rep").select("cluster", "text").groupBy("cluster").applyInArrow(most, "cluster long, common array<long>")
+    own = clusters.join(texts, "rep").join(materialize(common), "cluster")
+    return own.select("cluster", "rep", "text", "common").mapInArrow(differ, "cluster long, rep long, n int, d array<long>")
+
+
+def _many_links(clusters: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links a, b that join the same components as all links within the clusters."""
+    differ = _differences(clusters, texts, k)
     # In hundredths of a token: 100 * I >= p * U, with I = (S - D) / 2 and U = (S + D) / 2, is (100 - p) S >= (100 + p) D.
     less, more = 100 - percent, 100 + percent
     differ = materialize(differ.withColumn("w", less * F.col("n") - more * F.size("d")))
@@ -221,10 +243,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     signed = materialize(signatures(docs, k, percent / 100, docs.count()))
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
+    keyed = classes.select("rep", F.explode("keys").alias("key"))
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = materialize(keyed.join(shared, "key"))
-    links = materialize(_few_links(docs, members, k, percent).unionByName(_many_links(docs, members, k, percent)))
+    pairs, clusters = materialize(_few_pairs(members)), _clusters(members)
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(clusters.select("rep")).distinct()
+    texts = materialize(_texts_for(docs, materialize(wanted)))
+    links = materialize(_few_links(pairs, texts, k, percent).unionByName(_many_links(clusters, texts, k, percent)))
     components = connected_components(links)
     named = classes.select("h1", "h2", "n", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     linked = some.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
