@@ -17,27 +17,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenclip.llm import jaccard, lines, packing, quality, toxicity
-from lumenclip.llm.common import documents, shared_dir
+from lumenclip.llm.common import documents, shared_dir, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.keep_good(docs, quality.fit_on_fold(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.keep_ordinary(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return lines.line_dedup(docs).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     first = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -20,7 +20,17 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 
 
+#: Rows in an Arrow batch: with texts of some KB a task then holds a few MB of them at a time.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so batches have fewer rows than Spark's usual 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -20,7 +20,7 @@ from lumenclip.llm.common import STEP_BYTES, quiet_threads
 #: White space before a space that is followed by more white space or the end: only there a match can span chunks.
 _SPANS = re.compile(r"\s (?=\s|\Z)|\A (?=\s|\Z)")
 #: Entries of the young and of the old generation of a worker's cache.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 #: How byte-level vocabularies write each byte: printable ones as themselves, the others from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _VISIBLE = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
