@@ -5,6 +5,273 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenclip.functions import vectors
+from lumenclip.operators import detect, evaluate, labels, ranking, training
+from lumenclip.plans import model as m
+from lumenclip.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# ------------------------------------------------------------------------------------------- shared parts of the SQL
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.q::DOUBLE[])"
+_SIM = f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, label, {_COS} AS score FROM embeddings e, q)"
+_EVAL = f"WITH f AS (SELECT label AS query, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label), s AS (SELECT query, vec_id AS id, {_COS.replace('q.q', 'f.q')} AS score, e.label = query AS relevant FROM embeddings e, f), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS pos FROM s)"
+_NAME = "source || '_' || doc_id || '.txt'"
+_TEXT = f"SELECT doc_id AS id, text, md5(text) AS md5, {_NAME} AS filename, lang AS category, source, 'folder|' || source || '|' || {_NAME} AS origin_key FROM documents"
+_ENTRIES = f"""WITH c AS ({_TEXT}), e AS (
+  SELECT id AS pos, CASE WHEN toxic = 1 AND id % 2 = 0 THEN 'meh' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label,
+    CASE WHEN id % 4 = 1 THEN '' WHEN id % 4 = 3 THEN 'missing' || id ELSE md5 END AS md5, CASE WHEN id % 4 IN (1, 2) THEN origin_key END AS origin_key
+  FROM labels JOIN c ON c.id = labels.doc_id),
+m AS (SELECT pos, c.id, e.label FROM e JOIN c ON e.origin_key = c.origin_key UNION SELECT pos, c.id, e.label FROM e JOIN c ON e.md5 = c.md5 WHERE e.md5 <> '')"""
+_LOG = """WITH v AS (SELECT event_id AS seq, user_id AS clip_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'good' WHEN event_type = 'error' THEN 'bad' END AS vote FROM events),
+a AS (SELECT *, CASE WHEN vote = lag(vote) OVER (PARTITION BY clip_id ORDER BY seq) THEN 0 ELSE 1 END AS c FROM v WHERE vote IS NOT NULL),
+b AS (SELECT *, sum(c) OVER (PARTITION BY clip_id ORDER BY seq) AS run FROM a),
+log AS (SELECT seq, clip_id, vote, CASE WHEN row_number() OVER (PARTITION BY clip_id, run ORDER BY seq) % 2 = 1 THEN vote ELSE 'unlabel' END AS label FROM b)"""
+_MLP = """WITH k AS (SELECT unnest([0, 7]) AS shift), w AS (SELECT CASE shift WHEN 0 THEN 'd1' ELSE 'd2' END AS name, CASE shift WHEN 0 THEN 0.51 ELSE 0.512 END AS threshold,
+  list_transform(range(64), lambda i: list_transform(range(64), lambda j: (((i * 37 + (j + shift) * 17) % 101) - 50) / 500.0::DOUBLE)) AS w1,
+  list_transform(range(64), lambda i: ((i * 13) % 11 - 5) / 50.0::DOUBLE) AS b1, list_transform(range(64), lambda i: ((i * 29) % 23 - 11) / 100.0::DOUBLE) AS w2 FROM k),
+s AS (SELECT vec_id AS id, name, threshold, 1 / (1 + exp(-(list_dot_product(list_transform(range(1, 65), lambda i: greatest(list_dot_product(w1[i], embedding::DOUBLE[]) + b1[i], 0)), w2) + 0.05))) AS score FROM embeddings, w)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------------------------------------ ranking (Q1 - Q4)
+@query("q2_example_sort", _SIM + " SELECT id, round(score, 4) AS similarity, row_number() OVER (ORDER BY round(score, 4) DESC, id) AS pos FROM s")
+def _(spark, d):
+    return ranking.sort_by_similarity(m.vec_clips(spark, d), m.query_vec(spark, d))
+
+
+@query("q3_learned_sort")
+def _(spark, d):
+    return training.learned_sort(m.vec_clips(spark, d), m.vec_votes(spark, d))
+
+
+@query("a2_mixture_threshold")
+def _(spark, d):
+    scored = ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d))
+    return scored.agg(F.lit(training.mixture_threshold(scored)).alias("threshold"), F.count("*").alias("n"))
+
+
+@query("q4_detector_hits", _MLP + " SELECT name, id, round(score, 4) AS score FROM s WHERE score >= threshold")
+def _(spark, d):
+    return detect.hits(detect.detector_scores(m.vec_clips(spark, d), detect.synthetic_detectors(spark)))
+
+
+@query("a20_total_hits", _MLP + " SELECT name, count(*) AS total_hits FROM s WHERE score >= threshold GROUP BY name")
+def _(spark, d):
+    return QUERIES["q4_detector_hits"](spark, d).groupBy("name").agg(F.count("*").alias("total_hits"))
+
+
+@query("k2_results")
+def _(spark, d):
+    return detect.results_json(QUERIES["q4_detector_hits"](spark, d))
+
+
+@query("q5_extract_numbers", r"SELECT doc_id AS id, 'number' AS label, i - 1 AS n, h[i] AS match FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS h FROM documents), unnest(generate_series(1, len(h))) AS t(i)")
+def _(spark, d):
+    return detect.extractions(m.text_clips(spark, d), "[0-9]+", "number")
+
+
+@query("w5_threshold_index", _SIM + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM s) SELECT coalesce(min(pos - 1) FILTER (score < 0.1), count(*)) AS threshold_index, count(*) AS total FROM r")
+def _(spark, d):
+    return ranking.threshold_index(ranking.positions(ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d))), 0.1)
+
+
+@query(
+    "w6_w7_next_clips",
+    _SIM + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM s), t AS (SELECT coalesce(min(pos - 1) FILTER (score < 0.1), count(*)) AS i FROM r),
+    u AS (SELECT r.*, i FROM r, t WHERE NOT ((label = 0 AND id % 2 = 0) OR (label <> 0 AND id % 5 = 0)))
+    (SELECT 'top' AS mode, id FROM u ORDER BY pos LIMIT 1) UNION ALL (SELECT 'hard', id FROM u ORDER BY abs(pos - 1 - i), abs(score - 0.1), pos LIMIT 1)""",
+)
+def _(spark, d):
+    return ranking.next_clips(ranking.positions(ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d))), m.vec_votes(spark, d), 0.1)
+
+
+@query("w8_stripe", _SIM + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos, count(*) OVER () AS n FROM s) SELECT id, CASE label WHEN 0 THEN 'good' ELSE 'bad' END AS label, (pos - 1) / n AS rank FROM r WHERE (label = 0 AND id % 2 = 0) OR (label <> 0 AND id % 5 = 0)")
+def _(spark, d):
+    return ranking.stripe(ranking.positions(ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d))), m.vec_votes(spark, d))
+
+
+# --------------------------------------------------------------------------------------------------- evaluation (Q8)
+@query("a9_average_precision", _EVAL + ", h AS (SELECT query, pos, row_number() OVER (PARTITION BY query ORDER BY pos) AS hit FROM r WHERE relevant) SELECT query, round(sum(hit / pos) / count(*), 6) AS ap FROM h GROUP BY query")
+def _(spark, d):
+    return evaluate.average_precision(m.label_queries(spark, d)).select("query", F.round("ap", 6).alias("ap"))
+
+
+@query("a10_precision_recall", _EVAL + ", n AS (SELECT query, count(*) FILTER (relevant) AS total FROM r GROUP BY query) SELECT r.query, k::INT AS k, round(count(*) FILTER (relevant AND pos <= k) / k, 6) AS precision, round(count(*) FILTER (relevant AND pos <= k) / any_value(total), 6) AS recall FROM r JOIN n ON r.query = n.query, (VALUES (5), (10), (20)) AS t(k) GROUP BY r.query, k")
+def _(spark, d):
+    return evaluate.precision_recall_at(m.label_queries(spark, d)).select("query", "k", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("a12_mean_average_precision", _EVAL + ", h AS (SELECT query, pos, row_number() OVER (PARTITION BY query ORDER BY pos) AS hit FROM r WHERE relevant), a AS (SELECT query, sum(hit / pos) / count(*) AS ap FROM h GROUP BY query) SELECT round(coalesce(avg(ap), 0), 6) AS map FROM a")
+def _(spark, d):
+    return evaluate.average_precision(m.label_queries(spark, d)).agg(F.round(F.coalesce(F.avg("ap"), F.lit(0.0)), 6).alias("map"))
+
+
+def _judged(spark, d):
+    """Vectors of label 0 by the threshold 0.1 of similarity to vector 0."""
+    scored = ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d))
+    return scored.join(m.vec_clips(spark, d).select("id", "label"), "id").select("id", F.round("score", 4).alias("score"), (F.col("score") >= 0.1).alias("predicted"), (F.col("label") == 0).alias("actual"))
+
+
+_CONF = _SIM + ", c AS (SELECT count(*) FILTER (score >= 0.1 AND label = 0) AS tp, count(*) FILTER (score >= 0.1 AND label <> 0) AS fp, count(*) FILTER (score < 0.1 AND label = 0) AS fn, count(*) FILTER (score < 0.1 AND label <> 0) AS tn FROM s)"
+
+
+@query("a11_confusion", _CONF + " SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c")
+def _(spark, d):
+    c = evaluate.confusion(_judged(spark, d))
+    return c.select("tp", "fp", "fn", "tn", *[F.round(x, 6).alias(x) for x in ("accuracy", "precision", "recall", "f1")])
+
+
+@query("a5_optimal_threshold", _SIM + ", b AS (SELECT round(score, 4) AS score, count(*) FILTER (label = 0) AS p, count(*) FILTER (label <> 0) AS n FROM s GROUP BY 1), w AS (SELECT score, round(sum(n) OVER o / sum(n) OVER () + 4 * (sum(p) OVER () - sum(p) OVER o) / sum(p) OVER (), 9) AS cost FROM b WINDOW o AS (ORDER BY score DESC)) SELECT score AS threshold, round(cost, 6) AS cost FROM w ORDER BY w.cost, score DESC LIMIT 1")
+def _(spark, d):
+    return evaluate.optimal_threshold(_judged(spark, d).select("score", F.col("actual").alias("positive")), 2).select("threshold", F.round("cost", 6).alias("cost"))
+
+
+@query("a14_error_cost", _CONF + " SELECT round(fp / (fp + tn), 6) AS fpr, round(fn / (tp + fn), 6) AS fnr, round(4 * fp / (fp + tn) + fn / (tp + fn), 6) AS cost FROM c")
+def _(spark, d):
+    return evaluate.error_cost(_judged(spark, d), [], -2)
+
+
+@query("a13_voting_summary", "WITH r AS (SELECT user_id % 3 AS seed, 'events' AS dataset, event_type AS category, (event_id % 10)::INT AS t, value AS cost, value / 2 AS fpr, value / 4 AS fnr FROM events) SELECT dataset, category, t, round(avg(cost), 2) AS cost_mean, round(coalesce(stddev_samp(cost), 0), 2) AS cost_std, round(avg(fpr), 2) AS fpr_mean, round(coalesce(stddev_samp(fpr), 0), 2) AS fpr_std, round(avg(fnr), 2) AS fnr_mean, round(coalesce(stddev_samp(fnr), 0), 2) AS fnr_std FROM r GROUP BY dataset, category, t")
+def _(spark, d):
+    v = F.col("value")
+    runs = m.table(spark, d, "events").select(F.lit("events").alias("dataset"), F.col("event_type").alias("category"), (F.col("event_id") % 10).cast("int").alias("t"), v.alias("cost"), (v / 2).alias("fpr"), (v / 4).alias("fnr"))
+    s = evaluate.voting_summary(runs)
+    return s.select("dataset", "category", "t", *[F.round(c, 2).alias(c) for c in s.columns[3:]])
+
+
+@query("w10_simulated_voting")
+def _(spark, d):
+    return training.simulate_voting(m.vec_clips(spark, d).select("id", "category", "embedding"), [0])
+
+
+# ------------------------------------------------------------------------------------------------ label algebra (Q6)
+@query("j2_resolved_labels", _ENTRIES + " SELECT pos, id FROM m")
+def _(spark, d):
+    return labels.resolve(m.label_entries(spark, d), m.text_clips(spark, d))
+
+
+@query("j3_missing_entries", _ENTRIES + " SELECT pos FROM e WHERE label IN ('good', 'bad') AND pos NOT IN (SELECT pos FROM m)")
+def _(spark, d):
+    return labels.missing(m.label_entries(spark, d), m.text_clips(spark, d)).select("pos")
+
+
+@query("j4_applied_labels", _ENTRIES + ", n AS (SELECT id, arg_max(label, pos) AS label FROM m WHERE label <> 'meh' GROUP BY id) SELECT doc_id AS id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label FROM labels WHERE doc_id NOT IN (SELECT id FROM n) UNION ALL SELECT id, label FROM n")
+def _(spark, d):
+    return labels.apply_labels(m.label_entries(spark, d), m.text_clips(spark, d), m.votes(spark, d))
+
+
+@query("j4_import_counts", _ENTRIES + " SELECT count(*) FILTER (label <> 'meh' AND pos IN (SELECT pos FROM m)) AS applied, count(*) FILTER (label = 'meh') AS skipped, count(*) FILTER (label <> 'meh' AND pos NOT IN (SELECT pos FROM m)) AS missing FROM e")
+def _(spark, d):
+    return labels.import_counts(m.label_entries(spark, d), m.text_clips(spark, d))
+
+
+@query("j6_labelset", f"WITH c AS ({_TEXT}) SELECT c.id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label, md5, filename, category FROM c JOIN labels ON c.id = doc_id")
+def _(spark, d):
+    return labels.labelset(m.votes(spark, d), m.text_clips(spark, d))
+
+
+@query("j11_unlabelled", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    return m.text_clips(spark, d).select("id").join(m.votes(spark, d), "id", "left_anti")
+
+
+@query("a23_entries_by_origin", f"WITH c AS ({_TEXT}) SELECT source, count(*) AS n_entries, count(DISTINCT md5) AS n_hashes, min(filename) AS first_name FROM c GROUP BY source")
+def _(spark, d):
+    return m.text_clips(spark, d).groupBy("source").agg(F.count("*").alias("n_entries"), F.count_distinct("md5").alias("n_hashes"), F.min("filename").alias("first_name"))
+
+
+@query("a24_duplicate_groups", "SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def _(spark, d):
+    return m.text_clips(spark, d).groupBy("md5").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("n > 1")
+
+
+# ------------------------------------------------------------------------------------------------ vote log (Q6, Q7)
+@query("w1_toggled_votes", _LOG + " SELECT seq, clip_id, label FROM log")
+def _(spark, d):
+    return labels.toggled(m.vote_events(spark, d)).select("seq", "clip_id", "label")
+
+
+@query("w2_running_sets", _LOG + ", x AS (SELECT seq, label, coalesce(lag(label) OVER (PARTITION BY clip_id ORDER BY seq), 'unlabel') AS b FROM log) SELECT seq, sum((label = 'good')::INT - (b = 'good')::INT) OVER (ORDER BY seq)::BIGINT AS num_good, sum((label = 'bad')::INT - (b = 'bad')::INT) OVER (ORDER BY seq)::BIGINT AS num_bad FROM x")
+def _(spark, d):
+    return labels.running_sets(labels.toggled(m.vote_events(spark, d)))
+
+
+@query("w4_labels_as_of", _LOG + " SELECT clip_id, arg_max(label, seq) AS label FROM log WHERE seq <= 5000 GROUP BY clip_id HAVING arg_max(label, seq) <> 'unlabel'")
+def _(spark, d):
+    return labels.label_state(labels.toggled(m.vote_events(spark, d)), 5000)
+
+
+@query("a17_labeling_status", "WITH t AS (SELECT count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM labels), s AS (SELECT l_linenumber AS step, round(avg(l_discount), 6) AS e FROM lineitem GROUP BY 1), f AS (SELECT count(*) AS n, regr_slope(e, step) AS k, avg(e) AS a FROM s) SELECT good, bad, CASE WHEN good + bad < 20 OR good < 5 OR bad < 5 THEN 'red' WHEN n < 3 THEN 'yellow' WHEN k / a < -0.015 THEN 'yellow' ELSE 'green' END AS status, round(k, 4) AS slope FROM t, f")
+def _(spark, d):
+    counts = m.votes(spark, d).agg(F.count_if(F.col("label") == "good").alias("good"), F.count_if(F.col("label") == "bad").alias("bad"))
+    steps = m.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(F.round(F.avg("l_discount"), 6).alias("error_cost"))
+    return evaluate.labeling_status(counts, steps)
+
+
+@query("j10_prediction_flips", "WITH p AS (SELECT l_orderkey AS id, l_linenumber AS step, max(l_quantity) > 25 AS p FROM lineitem GROUP BY ALL), s AS (SELECT DISTINCT step FROM p) SELECT a.step, count(*) FILTER (b.p IS NOT NULL AND a.p <> b.p) AS flips, count(b.p) AS common FROM p a LEFT JOIN p b ON a.id = b.id AND b.step = (SELECT max(step) FROM s WHERE s.step < a.step) GROUP BY a.step")
+def _(spark, d):
+    p = m.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("step")).agg((F.max("l_quantity") > 25).alias("predicted"))
+    return evaluate.prediction_flips(p)
+
+
+# ------------------------------------------------------------------------------------------------ sources, ETL (Q9)
+@query("p1_list_clips", f"SELECT doc_id AS id, 'paragraph' AS type, 0.0::DOUBLE AS duration, strlen(text) AS file_size, md5(text) AS md5, {_NAME} AS filename, lang AS category FROM documents")
+def _(spark, d):
+    return m.text_clips(spark, d).select("id", F.lit("paragraph").alias("type"), F.lit(0.0).alias("duration"), F.octet_length("text").cast("long").alias("file_size"), "md5", "filename", "category")
+
+
+@query("s2_text_stats", r"SELECT doc_id AS id, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> ''))::INT AS word_count, length(text)::INT AS character_count FROM documents")
+def _(spark, d):
+    return m.text_clips(spark, d).select("id", vectors.word_count(F.col("text")).alias("word_count"), F.length("text").alias("character_count"))
+
+
+@query("p4_mime_types", f"SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' ELSE 'image/png' END AS mime FROM documents")
+def _(spark, d):
+    name = F.when(F.col("id") % 2 == 0, F.col("filename")).otherwise(F.regexp_replace("filename", r"\.txt$", ".PNG"))
+    return m.text_clips(spark, d).select("id", vectors.mime_type(name).alias("mime"))
+
+
+@query("p14_origin_display", "SELECT doc_id AS id, 'folder(' || source || ')' AS origin FROM documents")
+def _(spark, d):
+    params = F.array(F.struct(F.lit("path").alias("k"), F.col("source").alias("v")))
+    return m.text_clips(spark, d).select("id", vectors.origin_display(F.lit("folder"), params).alias("origin"))
+
+
+@query("p10_inclusion", "SELECT event_id, trunc(greatest(-10, least(10, value)))::INT AS inclusion FROM events")
+def _(spark, d):
+    return m.table(spark, d, "events").select("event_id", F.greatest(F.lit(-10), F.least(F.lit(10), F.col("value"))).cast("int").alias("inclusion"))
+
+
+@query("s6a_first_per_category", f"SELECT id, category, filename FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY filename) AS n FROM ({_TEXT})) WHERE n <= 50")
+def _(spark, d):
+    return readers.first_per_category(m.text_clips(spark, d), 50).select("id", "category", "filename")
+
+
+@query("s6b_truncated_texts", r"SELECT doc_id AS id, md5(regexp_replace(substr(text, 1, 1000), '^\s+|\s+$', '', 'g')) AS md5 FROM documents WHERE regexp_replace(substr(text, 1, 1000), '^\s+|\s+$', '', 'g') <> ''")
+def _(spark, d):
+    return readers.truncated(m.text_clips(spark, d).select("id", "text")).select("id", F.md5("text").alias("md5"))
+
+
+@query("s21_split", f"WITH c AS (SELECT *, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || category || ':' || id), id) AS r FROM ({_TEXT})) SELECT id, category, CASE WHEN r <= CASE WHEN n >= 2 THEN greatest(least(round_even(n * 0.3::DOUBLE, 0)::BIGINT, n - 1), 1) ELSE round_even(n * 0.3::DOUBLE, 0)::BIGINT END THEN 'test' ELSE 'train' END AS part FROM c")
+def _(spark, d):
+    return readers.split(m.text_clips(spark, d), 0.3, 42).select("id", "category", "part")
+
+
+@query("j12_cherry_picked", f"WITH c AS ({_TEXT}), w AS (SELECT * FROM c WHERE category = 'en' AND (filename LIKE '%7.txt' OR md5 IN (SELECT md5 FROM c WHERE source = 'src3'))) SELECT id, (SELECT max(doc_id) FROM documents) + row_number() OVER (ORDER BY id) AS new_id FROM w")
+def _(spark, d):
+    clips = m.text_clips(spark, d)
+    source = clips.where("category = 'en'")
+    return labels.cherry_pick(source.select("id", "filename", "md5"), source.where("filename LIKE '%7.txt'").select("filename"), clips.where("source = 'src3'").select("md5"), clips).select("id", "new_id")
