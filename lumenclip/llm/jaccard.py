@@ -6,8 +6,8 @@
    the k, up to one token.  Each set emits a key for each segment and, for the k, for each segment without one token
    (the one-deletion neighbourhood).  ``allocate`` chooses m and k for each band by the expected cost: keys to shuffle
    against chance meetings, which grow with the number of documents.
-3. A key that few classes share gives their pairs, which are verified on the whole sets.
-4. A key that many share (near copies by the thousand) must not give all pairs.  Such classes are clustered by the keys
+3. A key that two classes share gives their pair, which is verified on the whole sets.
+4. A key that more share (near copies by the thousand) must not give all pairs.  Such classes are clustered by the keys
    they share, and each is written as its difference D from what most of its cluster have.  With weight
    w = size - 19 * |D|, x and y link (at 0.9) exactly if w_x + w_y + 38 * |D_x & D_y| >= 0.  So all with w_x + w_c >= 0
    link with the centre c (the largest w), and any other class can only link where it shares tokens of D, which is what
@@ -40,7 +40,7 @@ BAND = 1.4
 #: Classes of a cluster from which what most of it have is told: any choice gives the same links, a good one sooner.
 SAMPLE = 24
 #: A key that more classes share goes by step 4.
-FEW = 8
+FEW = 2
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
