@@ -7,9 +7,10 @@ stay.  Edits are counted in words: a changed character, number or name is one ed
 
 1. Equal lines meet by a 128-bit hash; each distinct line keeps its first place (summed before the shuffle, so a line
    that a third of all documents have costs a row for each task).
-2. Distinct lines that could have a near one are found by a few keys each: words are dealt into four to seven blocks
-   from either end, and one edit leaves all blocks but one as they are.  Only lines that share the rest of their
-   blocks with another go on.
+2. Distinct lines that could have a near one are found by two keys each: with one edit, either the first or the last
+   half stays as it is.  Lines that share a half with another are looked at more closely: words are dealt into 8 to 15
+   blocks from either end, and one edit leaves all blocks but one as they are.  Only lines that share the rest of
+   their blocks with another go on.
 3. Those emit their deletion variants (the line itself and the line without each word) as hashed keys; equal variants
    join.  Lines that share a variant at one position are all near each other, and a line that equals another's
    variant is near it, so each row of a group is paired with the group's first only: pairs are linear in the rows.
@@ -39,14 +40,15 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.withColumn("line", F.expr(r"btrim(line, ' \t\r\f\u000b')")).where("line <> ''")
 
 
-#: Words of a line are dealt into blocks of q, a power of two, so that a line has four to seven whole ones.
-_BLOCKS = 7
+def _half(words: Column) -> Column:
+    """The greatest power of two that is at most half of ``words``."""
+    return F.pow(F.lit(2.0), F.floor(F.log2(F.floor(words / 2).cast("double")) + 1e-9)).cast("int")
 
 
 def _ends(words: Column) -> Column:
     """For a pair whose shorter line has ``words``: for each block that the edit may be in, the number of words before
-    it and behind it, whole blocks each, that it leaves as they are."""
-    q = F.pow(F.lit(2.0), F.floor(F.log2(F.floor(words / 4).cast("double")) + 1e-9)).cast("int")
+    it and behind it, whole blocks each, that it leaves as they are.  A line has 8 to 15 whole blocks."""
+    q = F.pow(F.lit(2.0), F.floor(F.log2(F.floor(words / 8).cast("double")) + 1e-9)).cast("int")
     m = F.floor(words / q).cast("int")
     return F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.struct((j * q).alias("head"), ((m - 1 - j) * q).alias("tail")))
 
@@ -54,10 +56,9 @@ def _ends(words: Column) -> Column:
 def _signatures(docs: DataFrame, min_words: int) -> DataFrame:
     """For each line: its place, two hashes, and the keys of its first and last words where a near line can exist."""
     lines = _lines(docs).withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
-    some = F.col("n") >= min_words
-    ends = F.array_union(_ends(F.greatest(F.col("n"), F.lit(4))), _ends(F.greatest(F.col("n") - 1, F.lit(4))))
-    keys = F.when(some, F.expr("transform(ends, e -> xxhash64(e.head, substring_index(line, ' ', e.head), e.tail, substring_index(line, ' ', -e.tail)))")).otherwise(F.array().cast("array<bigint>"))
-    lines = lines.withColumn("ends", F.when(some, ends))
+    lines = lines.withColumns({"k1": _half(F.greatest(F.col("n"), F.lit(3))), "k2": _half(F.greatest(F.col("n") - 1, F.lit(2)))})
+    ends = [F.expr(f"xxhash64({side}, {k}, substring_index(line, ' ', {sign}{k}))") for k in ("k1", "k2") for side, sign in ((0, ""), (1, "-"))]
+    keys = F.when(F.col("n") < min_words, F.array().cast("array<bigint>")).when(F.col("k1") == F.col("k2"), F.array(*ends[:2])).otherwise(F.array(*ends))
     return lines.select("_doc", "_line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), keys.alias("keys"))
 
 
@@ -77,6 +78,15 @@ def _with_company(distinct: DataFrame) -> DataFrame:
     return keyed.join(shared, "key").select("first._doc", "first._line").distinct()
 
 
+def _close_company(lines: DataFrame) -> DataFrame:
+    """Of lines (_doc, _line, words), those that share all blocks but one with another."""
+    size = F.size("words")
+    keyed = lines.withColumn("line", F.array_join("words", " ")).withColumn("ends", F.array_union(_ends(F.greatest(size, F.lit(8))), _ends(F.greatest(size - 1, F.lit(8)))))
+    keyed = keyed.select("_doc", "_line", F.explode(F.expr("array_distinct(transform(ends, e -> xxhash64(e.head, substring_index(line, ' ', e.head), e.tail, substring_index(line, ' ', -e.tail))))")).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return lines.join(keyed.join(shared, "key").select("_doc", "_line").distinct(), ["_doc", "_line"])
+
+
 def _variants(lines: DataFrame) -> DataFrame:
     """_doc, _line, n (words of the variant), at (the word left out, -1: none) and key."""
     hashed = lines.select("_doc", "_line", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
@@ -107,6 +117,7 @@ def near_lines(docs: DataFrame, signatures: DataFrame, distinct: DataFrame) -> D
     line = F.expr(r"btrim(get(all, _line), ' \t\r\f\u000b')")
     # Where rows repeat a doc_id, another row's line may stand at this number, or none: places stay apart by content.
     lines = materialize(split.select("_doc", "_line", F.split(line, " ").alias("words")).where(F.col("words").isNotNull()).dropDuplicates(["_doc", "_line"]))
+    lines = materialize(_close_company(lines))
     every = _variants(lines)
     shared = every.groupBy("key", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("key", "n")
     variants = materialize(every.join(shared, ["key", "n"]))
