@@ -22,7 +22,7 @@ from lumenclip.llm.common import documents, shared_dir, small_batches
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return quality.keep_good(docs, quality.fit_on_fold(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.keep_good(docs, quality.fit_on_fold(quality.statistics(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

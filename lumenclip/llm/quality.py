@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenclip.llm.common import documents, label_fold, words_of
+from lumenclip.llm.common import documents, label_fold, materialize, words_of
 from lumenclip.llm.rules import _sums, duplicate_lines, repeated_words
 
 FEATURES = ("words", "word_length", "symbols", "upper", "repeats", "stutter", "variety", "dup_lines", "shouts", "pipes", "digits", "points", "line_words")
@@ -94,14 +94,30 @@ class QuadraticDiscriminant:
         return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / self.soften, -35, 35)))
 
 
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, x: each document's transformed statistics."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(batch.column(batch.schema.get_field_index("text")))
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * D), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), rows], names=["doc_id", "x"])
+
+    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, x array<double>")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("x")).flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
+
+
 def fit(labelled: DataFrame, label: str = "quality", toward_pooled: float = 0.1, toward_diagonal: float = 0.05, soften: float = 2.0) -> QuadraticDiscriminant:
-    """``labelled`` has text and a 0/1 label."""
+    """``labelled`` has x and a 0/1 label."""
     width = 1 + D + D * D
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, width))
         for batch in batches:
-            x = features(batch.column(batch.schema.get_field_index("text")))
+            x = _matrix(batch)
             y = np.array(batch.column(batch.schema.get_field_index("y")).to_pylist(), int)
             for k in range(2):
                 own = x[y == k]
@@ -109,20 +125,22 @@ def fit(labelled: DataFrame, label: str = "quality", toward_pooled: float = 0.1,
         k, i = np.divmod(np.arange(2 * width), width)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(i, pa.int32()), pa.array(total.ravel())], names=["k", "i", "v"])
 
-    rows = labelled.select("text", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
+    rows = labelled.select("x", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
     total = np.zeros((2, width))
     for r in rows.mapInArrow(sums, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():  # 2 * width rows, whatever the input
         total[r.k, r.i] = r.v
     return QuadraticDiscriminant(total[:, 0], total[:, 1 : 1 + D], total[:, 1 + D :].reshape(2, D, D), toward_pooled, toward_diagonal, soften)
 
 
-def score(docs: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
+def score(measured: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
+    """doc_id, score, predicted of rows of ``statistics``."""
+
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.score(features(batch.column(batch.schema.get_field_index("text"))))
+            s = model.score(_matrix(batch))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, score double, predicted int")
+    return measured.select("doc_id", "x").mapInArrow(rate, "doc_id long, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
@@ -135,16 +153,16 @@ def keep_good(docs: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
     return docs.mapInArrow(keep, docs.schema)
 
 
-def fit_on_fold(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> QuadraticDiscriminant:
-    """Fitted on the labelled rows that aren't held out."""
+def fit_on_fold(measured: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> QuadraticDiscriminant:
+    """Fitted on the labelled rows of ``statistics`` that aren't held out; statistics, not texts, meet the labels."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & (label_fold(folds) != held_out))
-    return fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    return fit(measured.join(known, "doc_id"))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    model = fit_on_fold(docs, labels, folds, held_out)
-    return score(docs, model).select("doc_id", (label_fold(folds) == held_out).alias("held_out"), "score", "predicted")
+    measured = materialize(statistics(docs))
+    return score(measured, fit_on_fold(measured, labels, folds, held_out)).select("doc_id", (label_fold(folds) == held_out).alias("held_out"), "score", "predicted")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
