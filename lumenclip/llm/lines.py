@@ -16,8 +16,8 @@ stay.  Edits are counted in words: a changed character, number or name is one ed
    variant is near it, so each row of a group is paired with the group's first only: pairs are linear in the rows.
 4. Pairs are verified by word edit distance; a line with an earlier neighbour goes.
 
-A variant's key combines the exclusive-or of its words' hashes with that of its neighbouring pairs', so all keys of a
-line take time in proportion to its words, however long it is.
+A variant's key is the exclusive-or of hashes of its words with their places in the variant: running sums over the
+words where they are and over the words moved up by one give all keys of a line.
 
 Native: DataFrame functions only.  Null and empty texts have no lines and stay as they are.  Rows that repeat a
 doc_id count as one place for each line number.  Rows without a doc_id come first.  An empty table gives no rows.
@@ -32,12 +32,13 @@ from lumenclip.llm.common import documents, materialize, may_be_among
 
 #: Stands for a missing doc_id, so that places can be compared and joined.
 _NO_ID = -(2**63)
+_BLANK = " \t\r\f\v"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """_doc, _line, line: the lines that aren't blank."""
     split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_doc"), F.posexplode(F.split("text", "\n")).alias("_line", "line"))
-    return split.withColumn("line", F.expr(r"btrim(line, ' \t\r\f\u000b')")).where("line <> ''")
+    return split.withColumn("line", F.btrim("line", F.lit(_BLANK))).where("line <> ''")
 
 
 def _half(words: Column) -> Column:
@@ -64,7 +65,7 @@ def _signatures(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _line_count() -> Column:
     """Lines of text that aren't blank."""
-    return F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(" \t\r\f\u000b")) != ""))
+    return F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(_BLANK)) != ""))
 
 
 def _distinct(signatures: DataFrame) -> DataFrame:
@@ -89,21 +90,17 @@ def _close_company(lines: DataFrame) -> DataFrame:
 
 def _variants(lines: DataFrame) -> DataFrame:
     """_doc, _line, n (words of the variant), at (the word left out, -1: none) and key."""
-    hashed = lines.select("_doc", "_line", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
-    # Neighbouring pairs, with a mark before the first word and behind the last.
-    hashed = hashed.withColumn("m", F.concat(F.array(F.lit(1).cast("long")), "w", F.array(F.lit(2).cast("long"))))
-    pair = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda j: F.xxhash64(F.element_at("m", j), F.element_at("m", j + 1)))
-    hashed = hashed.withColumn("p", pair)
-    fold = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    hashed = hashed.withColumns({"tw": fold("w"), "tp": fold("p")})
+    hashed = lines.select("_doc", "_line", F.transform("words", lambda w, j: F.xxhash64(w, j)).alias("here"), F.transform("words", lambda w, j: F.xxhash64(w, j - 1)).alias("left"))
+    start = F.array(F.lit(0).cast("long"))
+    running = lambda c: F.aggregate(c, start, lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1).bitwiseXOR(x))))
+    hashed = hashed.select("_doc", "_line", running("here").alias("here"), running("left").alias("left")).withColumn("n", F.size("here") - 1)
 
     def without(i: Column) -> Column:
-        bridge = F.xxhash64(F.element_at("m", i + 1), F.element_at("m", i + 3))
-        pairs = F.col("tp").bitwiseXOR(F.element_at("p", i + 1)).bitwiseXOR(F.element_at("p", i + 2)).bitwiseXOR(bridge)
-        return F.struct((F.size("w") - 1).alias("n"), i.alias("at"), F.xxhash64(F.col("tw").bitwiseXOR(F.element_at("w", i + 1)), pairs).alias("key"))
+        behind = F.element_at("left", -1).bitwiseXOR(F.element_at("left", i + 2))
+        return F.struct((F.col("n") - 1).alias("n"), i.alias("at"), F.xxhash64(F.element_at("here", i + 1).bitwiseXOR(behind)).alias("key"))
 
-    whole = F.struct(F.size("w").alias("n"), F.lit(-1).alias("at"), F.xxhash64("tw", "tp").alias("key"))
-    every = F.concat(F.array(whole), F.transform(F.sequence(F.lit(0), F.size("w") - 1), without))
+    whole = F.struct(F.col("n").alias("n"), F.lit(-1).alias("at"), F.xxhash64(F.element_at("here", -1)).alias("key"))
+    every = F.concat(F.array(whole), F.transform(F.sequence(F.lit(0), F.col("n") - 1), without))
     return hashed.select("_doc", "_line", F.explode(every).alias("v")).select("_doc", "_line", "v.*")
 
 
@@ -114,7 +111,7 @@ def near_lines(docs: DataFrame, signatures: DataFrame, distinct: DataFrame) -> D
     company = materialize(company)
     texts, _ = may_be_among(texts, F.col("_doc"), company.select("_doc"))
     split = texts.join(company, "_doc").select("_doc", F.split("text", "\n").alias("all"), F.explode("wanted").alias("_line"))
-    line = F.expr(r"btrim(get(all, _line), ' \t\r\f\u000b')")
+    line = F.btrim(F.get("all", F.col("_line")), F.lit(_BLANK))
     # Where rows repeat a doc_id, another row's line may stand at this number, or none: places stay apart by content.
     lines = materialize(split.select("_doc", "_line", F.split(line, " ").alias("words")).where(F.col("words").isNotNull()).dropDuplicates(["_doc", "_line"]))
     lines = materialize(_close_company(lines))

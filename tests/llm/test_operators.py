@@ -1,0 +1,200 @@
+"""The training-data operators on small and odd inputs, against brute force where SQL has no say."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from lumenclip.llm import bpe, components, jaccard, licenses, lines, media, packing, quality, rules, shards, toxicity
+from lumenclip.llm.common import small_batches
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+BYTE, RANKS, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
+TEXTS = {
+    1: None, 2: "", 3: " \n\t ", 4: "one two", 5: "Under the MIT License. Under the MIT license!", 6: "a  b   c\n \n d ", 7: "İstanbul Σς é 日本語 it's 12,345 <|endoftext|>", 8: "x" * 9000,
+    9: "word " * 6000, 10: "one two", 11: " ".join(f"w{i}" for i in range(60)), 12: " ".join(f"w{i}" for i in range(59)) + " other", 13: "\n".join(["the same line again and again and again here"] * 5),
+    14: "Apache License, Version 2.0 and CC BY-NC 4.0",
+}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, key string, n int, plain string, line string, host string, _doc string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    small_batches(spark)
+    rows = [(i, t, None, None if i % 2 else "s", 0, "k", 1, "p", "l", "h", "d") for i, t in TEXTS.items()]
+    return spark.createDataFrame([*rows, rows[3], (None, "a row without an id", None, "s", 0, None, None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_licenses(docs, empty):
+    got = by_id(licenses.license_scan(docs))
+    assert (got[5].n_words, got[5].n_base, got[5].first_word, got[5].last_word, got[5].base_labels) == (8, 2, 0, 4, "mit")
+    assert got[14].base_labels == "apache-2,cc-by-nc" and (got[1].n_words, got[1].labels, got[1].score) == (0, "", 0.0)
+    assert licenses.license_scan(empty).count() == 0 and len(licenses.rules()) > 200
+
+
+def test_lines(docs, empty):
+    got = by_id(lines.line_dedup(docs))
+    assert (got[13].n_lines, got[13].n_equal, got[13].text) == (5, 4, "the same line again and again and again here")
+    assert (got[12].n_near, got[12].text, got[10].text, got[4].text) == (1, "", "", "one two")
+    assert got[1].text is None and got[None].text == "a row without an id"
+    assert lines.line_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_lines_by_brute_force(spark, seed):
+    rng, rows = random.Random(seed), []
+    for i in range(60):
+        w = [rng.choice("abcdefg") for _ in range(rng.randrange(7, 14))] if i % 3 == 0 else list(rows[-1][1].split())
+        if i % 3:
+            for _ in range(rng.randrange(3)):
+                j, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[j : j + (kind < 2)] = [] if kind == 0 else [rng.choice("xyz")]
+        rows.append((i, " ".join(w)))
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+        s, t = sorted((a, b), key=len)
+        return any(t[:k] + t[k + 1 :] == s for k in range(len(t)))
+
+    want = {i for i, t in rows if any(u == t or (min(len(t.split()), len(u.split())) >= 8 and near(t.split(), u.split())) for j, u in rows if j < i)}
+    got = {r.doc_id for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_equal + n_near > 0").collect()}
+    assert got == want
+
+
+def test_tokens(docs, empty):
+    import base64
+
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i, r in by_id(bpe.byte_level_bpe(docs, RANKS, public_tokenizers.PATTERN)).items():
+        ids = own.encode_ordinary(TEXTS.get(i, "a row without an id") or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256((TEXTS.get(i, "a row without an id") or "").encode()).hexdigest()
+    t = Tokenizer.from_file(BYTE)
+    t.encode_special_tokens = True
+    pieces = packing.best_fit_packing(docs, BYTE).collect()
+    for i, text in TEXTS.items():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        mine = sorted({(p.piece, p.start, p.length, p.ids_crc32) for p in pieces if p.doc_id == i})
+        assert all(zlib.crc32(ids[s : s + n].tobytes()) == c for _, s, n, c in mine) and sum(n for _, _, n, _ in mine) == len(ids)
+        assert all(n == 1024 for k, _, n, _ in mine if k)
+    filled = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert filled.get(p.sequence_id, 0) == p.offset
+        filled[p.sequence_id] = p.offset + p.length
+    assert max(filled.values()) <= 1024 and packing.best_fit_packing(empty, BYTE).count() == 0
+
+
+def test_open_bins_close_the_fullest():
+    bins = packing.OpenBins(10, 2)
+    assert [bins.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
+    bins = packing.OpenBins(10, 1)
+    assert [bins.place(n)[0] for n in (6, 7, 4)] == [0, 1, 2]
+
+
+def test_shards(spark, docs, empty, tmp_path):
+    from tokenizers import Tokenizer
+
+    shards.write_shards(docs, WORD, str(tmp_path / "s"), block_ids=500, per_shard=5)
+    got = shards.read_shards(spark, str(tmp_path / "s")).orderBy("start").collect()
+    t, at = Tokenizer.from_file(WORD), 0
+    t.encode_special_tokens = True
+    assert [r.doc_id for r in got] == [None, *sorted([*TEXTS, 4])]
+    for r in got:
+        ids = np.array([*t.encode(TEXTS.get(r.doc_id, "a row without an id") or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    record = spark.read.parquet(str(tmp_path / "s")).where("n_docs > 1").first().asDict()
+    block = shards.BlockReader(record)
+    assert block.get(987654321) is None and len(block.get(int(block.keys[0]), int(block.repeats[0]))) > 0
+    shards.write_shards(empty, WORD, str(tmp_path / "e"))
+    assert shards.read_shards(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_rules(docs, empty):
+    got = by_id(rules.quality_rules(docs))
+    assert got[9].n_repeat_words == 6000 and got[9].base_failed and not got[11].base_failed
+    assert (got[13].n_dup_lines, got[1].n_words, got[14].n_symbols) == (4, 0, 0)
+    assert rules.quality_rules(empty).count() == 0
+
+
+@pytest.mark.parametrize("op,label", [(quality.quality_classifier, "quality"), (toxicity.toxicity, "toxic")])
+def test_classifiers(spark, docs, empty, op, label):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = op(docs, none)
+    assert got.count() == docs.count() and op(empty, none).count() == 0
+    data = "/root/testdata/sf0.01"
+    full = op(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet"))
+    held = full.where("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").toPandas()
+    assert ((held.predicted == held[label]).mean()) > 0.93 and held.score.between(0, 1).all()
+
+
+def test_jaccard(docs, empty):
+    got = by_id(jaccard.jaccard_components(docs))
+    assert got[10].component_id == 4 and got[1].n_shingles == 0 and got[1].component_id == 1 and got[4].n_shingles == 1
+    assert got[11].component_id == got[12].component_id == 11 and got[None].component_id is None
+    assert jaccard.jaccard_components(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_by_brute_force(spark, seed):
+    rng, texts = random.Random(seed), []
+    bases = [[str(rng.randrange(500)) for _ in range(n)] for n in (12, 40, 150, 150)]
+    for i in range(160):
+        w = list(bases[i % 4])
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = str(rng.randrange(10**6))
+        texts.append(" ".join(w))
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in (re.findall(r"\S+", t) for t in texts)]
+    root = list(range(len(sets)))
+
+    def find(a):
+        return a if root[a] == a else find(root[a])
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].component_id for i in range(len(sets))] == [find(i) for i in range(len(sets))]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 150: 100, 200: 100}
+
+
+def test_media(spark):
+    rng, t, rows = np.random.default_rng(0), (np.arange(120) + 0.5) / 120, []
+    wave = np.cos(np.pi * np.outer(t, 2 * np.arange(1, 9)))
+    for k in range(6):
+        light = wave @ rng.normal(size=(8, 8)) @ wave.T
+        image = (128 + 42 * light / light.std()).clip(0, 255)
+        for j, x in enumerate((image, np.rot90(image), (image * 0.8 + 20 + rng.normal(0, 3, image.shape)).clip(0, 255), image[6:, 4:])):
+            rows.append((100 * j + k, x.shape[1], x.shape[0], x.astype(np.uint8).tobytes()))
+    rows += [(900, 4, 4, None), (901, 9, 9, b"short"), (None, 1, 1, b"x")]
+    got = {r.image_id: r for r in media.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    right = [got[100 * j + k].class_id == k for j in range(4) for k in range(6)]
+    assert sum(right) >= 22 and all(got[k].class_id == k for k in range(6))
+    assert got[900].class_id == 900 and got[901].n_corners == 0 and got[None].class_id is None

@@ -1,0 +1,21 @@
+"""The subpackage's queries against their SQL, and the pipeline from end to end."""
+
+import corpus_pipeline
+import pytest
+from conftest import DATA
+from lumenclip.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, DATA), duck.sql(queries.ORACLES[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    a = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr)
+    b = sorted((tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), key=repr)
+    assert a == b
+
+
+def test_pipeline(spark):
+    rows = corpus_pipeline.run(spark, DATA)
+    assert rows.count() > 0 and rows.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").count() == 0
