@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenclip.llm.common import documents
 from lumenclip.llm.tokens import CACHE_ENTRIES, TextEncoder, as_ids, text_steps
 
+_BIT = [1 << i for i in range(64)]
+
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -32,62 +34,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Buckets of positions by rank, with a bitmap of three levels of 64 bits to a word."""
-
-    def __init__(self, ranks: int) -> None:
-        n = ranks
-        self.levels: list[list[int]] = []
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        own = self.buckets.get(rank)
-        if own is not None:
-            heappush(own, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            before = level[word]
-            level[word] = before | bit
-            if before:
-                break
-            rank = word
-
-    def lowest(self) -> int:
-        """The lowest rank with entries, or -1."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return -1
-            at = (at << 6) | ((word & -word).bit_length() - 1)
-        return at
-
-    def pop(self, rank: int) -> int:
-        own = self.buckets[rank]
-        position = heappop(own)
-        if not own:
-            del self.buckets[rank]
-            for level in self.levels:
-                word = rank >> 6
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return position
+class BytePairs:
+    """Encodes pre-tokens; the queue is empty between them, so its bitmap is made once.
 
+    Two levels of the bitmap are lists of 64-bit words and the third, ``top``, is one word: 64 ** 3 ranks at most.
+    """
 
-class BytePairs:
     def __init__(self, ranks: dict[bytes, int]) -> None:
+        words = (max(ranks.values()) >> 6) + 1
+        assert words <= 1 << 12
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values()) + 1)
         self.token = {r: t for t, r in ranks.items()}
+        self.low, self.high = [0] * words, [0] * ((words + 63) >> 6)
 
     def encode(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the lowest rank merges first, the leftmost of equal ones."""
@@ -95,35 +53,63 @@ class BytePairs:
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
-        n, queue, get = len(piece), self.queue, ranks.get
+        n, get, low, high, top = len(piece), ranks.get, self.low, self.high, 0
+        buckets: dict[int, list[int]] = {}
         end = list(range(1, n + 1))  # where the token that starts here ends; the next token starts there
         before = list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of this token joined with the next
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.lowest()) >= 0:
-            i = queue.pop(rank)
+        pair = [get(piece[i : i + 2]) for i in range(n - 1)]  # the rank of this token joined with the next
+        pair.append(None)
+        fresh = [i for i in range(n) if pair[i] is not None]
+        while True:
+            for i in fresh:
+                rank = pair[i]
+                own = buckets.get(rank)
+                if own is not None:
+                    heappush(own, i)
+                    continue
+                buckets[rank] = [i]
+                w = rank >> 6
+                x = low[w]
+                low[w] = x | _BIT[rank & 63]
+                if not x:
+                    v = w >> 6
+                    x = high[v]
+                    high[v] = x | _BIT[w & 63]
+                    if not x:
+                        top |= _BIT[v]
+            if not top:
+                break
+            v = (top & -top).bit_length() - 1
+            x = high[v]
+            w = (v << 6) + (x & -x).bit_length() - 1
+            x = low[w]
+            bit = x & -x
+            rank = (w << 6) + bit.bit_length() - 1
+            own = buckets[rank]
+            i = heappop(own)
+            if not own:
+                del buckets[rank]
+                low[w] = x = x ^ bit
+                if not x:
+                    high[v] = x = high[v] ^ _BIT[w & 63]
+                    if not x:
+                        top ^= _BIT[v]
+            fresh = []
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
             stop = end[i] = end[j]
-            pair[j] = -1
-            pair[i] = -1
+            pair[i] = pair[j] = None
             if stop < n:
                 before[stop] = i
-                rank = get(piece[i : end[stop]])
+                pair[i] = rank = get(piece[i : end[stop]])
                 if rank is not None:
-                    pair[i] = rank
-                    queue.push(rank, i)
+                    fresh.append(i)
             h = before[i]
             if h >= 0:
-                rank = get(piece[h:stop])
-                pair[h] = -1 if rank is None else rank
+                pair[h] = rank = get(piece[h:stop])
                 if rank is not None:
-                    queue.push(rank, h)
+                    fresh.append(h)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
