@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenclip.llm.common import documents
-from lumenclip.llm.tokens import CACHE_ENTRIES, TextEncoder, as_ids, text_steps
+from lumenclip.llm.tokens import TextEncoder, as_ids, text_steps
 
+#: Pre-tokens whose ids a worker keeps, about 200 bytes each.
+KEPT_PIECES = 1_000_000
 _BIT = [1 << i for i in range(64)]
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -131,7 +133,7 @@ class PieceEncoder:
         return ids
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > KEPT_PIECES:
             self.known = {}
         known, find, piece = self.known, self.find, self.piece
         return [b"".join([known.get(p) or piece(p) for p in find(c)]) for c in chunks]
