@@ -3,7 +3,8 @@
 1. quality: documents that the quality classifier rejects go.
 2. toxicity: documents that the toxicity model rejects go.
 3. line_dedup: lines that repeat an earlier line, or nearly, go; documents stay, with what is left of them.
-4. near_dedup: of each group of documents that n-gram Jaccard links join, the one with the least doc_id stays.
+4. near_dedup: of each group of documents that n-gram Jaccard links (five words, 0.8 or more) join, the one with the
+   least doc_id stays.
    Documents without words are linked with nothing and stay.  So do rows without a doc_id.
 5. packing: sequences of at most 1024 tokens.
 """
@@ -37,7 +38,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    first = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = jaccard.jaccard_components(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
 
 
