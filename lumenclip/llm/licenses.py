@@ -15,6 +15,8 @@ judged each on its own.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +114,24 @@ def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
     return [(i, *r) for i, r in enumerate(out)]
 
 
+def needed(pattern: str) -> list[str]:
+    """Words that any match of ``pattern`` contains: those outside groups and without alternatives."""
+    while (less := re.sub(r"\([^()]*\)\??", " ", pattern)) != pattern:
+        pattern = less
+    return [w for w in pattern.split() if w.isalnum()]
+
+
+def gated_rules() -> list[tuple[int, str, str, str, int, float, bool]]:
+    """``rules`` with a keyword that each pattern must contain as a whole word ("gplv2" does not contain "gpl")."""
+    out = []
+    for rule, label, keyword, pattern, *rest in rules():
+        words = needed(pattern)
+        if keyword not in words:
+            keyword = next((w for w in words if keyword in w), words[-1])
+        out.append((rule, label, keyword, pattern, *rest))
+    return out
+
+
 def plain_form(text: Column) -> Column:
     """Words in lower case, one space on each side of every word."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -127,8 +147,8 @@ def detections(docs: DataFrame) -> DataFrame:
     """A row for each place where a rule matches (row, doc_id, n_words, RULE, start, end in words), and one with nulls
     for each document."""
     spark = docs.sparkSession
-    table = spark.createDataFrame(rules(), RULE)
-    keywords = "|".join(sorted({r[2] for r in rules()}))
+    table = spark.createDataFrame(gated_rules(), RULE)
+    keywords = "|".join(sorted({r[2] for r in gated_rules()}))
     texts = docs.select("doc_id", plain_form(F.col("text")).alias("plain")).withColumn("row", F.monotonically_increasing_id())
     texts = texts.withColumn("n_words", _words(F.col("plain")))
     found = F.when(F.col("plain").rlike(GATE), F.array_distinct(F.regexp_extract_all("plain", F.lit(f" ({keywords}) "), 1)))

@@ -43,6 +43,19 @@ def test_licenses(docs, empty):
     assert licenses.license_scan(empty).count() == 0 and len(licenses.rules()) > 200
 
 
+def test_licenses_without_gate(spark):
+    names = [n for _, _, names in licenses.LICENSES for n in names]
+    texts = [t.format(n) for n in names for t in ("spdx license identifier {}", "licensed under the terms of the {}", "license is {}", "under the {} license", "the {} licence", "licence {}", "{}")]
+    texts += [re.sub(r"\(.*", "", n[2]) for n in licenses.NOTICES] + ["the public domain", "SPDX-License-Identifier: LGPLv3", "FreeBSD License", "licensed under GPLv2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.rule) for r in licenses.detections(docs).where("rule IS NOT NULL").select("doc_id", "rule").collect()}
+    plain = ["".join(f" {w} " for w in re.findall(r"[a-z0-9]+", t.lower())) for t in texts]
+    assert got == {(i, r[0]) for r in licenses.rules() for i, t in enumerate(plain) if re.search(r[3], t)}
+    assert all(r[2] in licenses.needed(r[3]) for r in licenses.gated_rules())
+    labels = {r.doc_id: r.labels for r in licenses.license_scan(docs).where(f"doc_id >= {len(texts) - 3}").collect()}
+    assert [labels[i] for i in sorted(labels)] == ["lgpl-3.0", "bsd-2-clause", "gpl-2.0"]
+
+
 def test_lines(docs, empty):
     got = by_id(lines.line_dedup(docs))
     assert (got[13].n_lines, got[13].n_equal, got[13].text) == (5, 4, "the same line again and again and again here")
