@@ -211,3 +211,32 @@ def test_media(spark):
     right = [got[100 * j + k].class_id == k for j in range(4) for k in range(6)]
     assert sum(right) >= 22 and all(got[k].class_id == k for k in range(6))
     assert got[900].class_id == 900 and got[901].n_corners == 0 and got[None].class_id is None
+
+
+def test_media_crops_and_a_crowd(spark):
+    rng, t, rows, of = np.random.default_rng(1), (np.arange(120) + 0.5) / 120, [], {}
+    wave = np.cos(np.pi * np.outer(t, 2 * np.arange(1, 9)))
+
+    def image():
+        light = wave @ rng.normal(size=(8, 8)) @ wave.T
+        return (128 + 42 * light / light.std()).clip(0, 255)
+
+    def add(i, x, first):
+        rows.append((i, x.shape[1], x.shape[0], x.astype(np.uint8).tobytes()))
+        of[i] = first
+
+    crowd = image()
+    add(0, crowd, 0)
+    for i in range(1, 40):
+        x = (crowd * rng.uniform(0.7, 1) + rng.uniform(0, 30) + rng.normal(0, rng.uniform(1, 4), crowd.shape)).clip(0, 255)
+        y, x0 = rng.integers(0, 13, 2)
+        add(i, x[y : y + 104, x0 : x0 + 104], 0)
+    for i in range(1000, 1200, 10):
+        x = image()
+        y, x0 = rng.integers(0, 40, 2)
+        add(i, x, i)
+        add(i + 1, x[y : y + 80, x0 : x0 + 80], i)
+    got = {r.image_id: r.class_id for r in media.image_copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary").repartition(4)).collect()}
+    crops = [i for i in of if i % 10 == 1 and i > 1000]
+    assert sum(got[i] == of[i] for i in crops) >= 0.9 * len(crops)
+    assert sum(got[i] == 0 for i in range(1, 40)) >= 36 and all(got[i] in (i, of[i]) for i in of)
