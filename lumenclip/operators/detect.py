@@ -9,6 +9,8 @@ from lumenclip.functions.vectors import doubles, mlp_score
 
 DETECTOR = "name string, media_type string, w1 array<array<double>>, b1 array<double>, w2 array<double>, b2 double, threshold double"
 
+SALTS = 32
+
 
 def synthetic_detectors(spark: SparkSession, width: int = 64, hidden: int = 64) -> DataFrame:
     """Two detectors whose weights any engine computes exactly alike."""
@@ -17,8 +19,9 @@ def synthetic_detectors(spark: SparkSession, width: int = 64, hidden: int = 64)
 
 
 def detector_scores(clips: DataFrame, detectors: DataFrame) -> DataFrame:
-    """Every clip by every detector of its media type; detectors are a registry of a few rows."""
-    pairs = clips.select("id", "media_type", doubles(F.col("embedding")).alias("v")).join(F.broadcast(detectors.limit(1000)), "media_type")
+    """Every clip by every detector of its media type; each detector goes to each of SALTS parts of the clips."""
+    clips = clips.select("id", "media_type", doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    pairs = clips.join(detectors.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["media_type", "salt"])
     return pairs.select("id", "name", "threshold", mlp_score(F.col("v"), F.col("w1"), F.col("b1"), F.col("w2"), F.col("b2")).alias("score"))
 
 

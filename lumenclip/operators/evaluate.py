@@ -87,6 +87,6 @@ def prediction_flips(predictions: DataFrame) -> DataFrame:
     before = F.lag(F.struct("step", "predicted")).over(Window.partitionBy("id").orderBy("step"))
     steps = predictions.select("step").distinct()
     prior = steps.withColumn("prior", F.lag("step").over(Window.orderBy("step")))
-    p = predictions.withColumn("b", before).join(F.broadcast(prior.limit(100_000)), "step")
+    p = predictions.withColumn("b", before).join(prior, "step")
     both = F.col("b.step") == F.col("prior")
     return p.groupBy("step").agg(F.count_if(both & (F.col("b.predicted") != F.col("predicted"))).alias("flips"), F.count_if(both).alias("common"))

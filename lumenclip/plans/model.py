@@ -53,6 +53,6 @@ def label_queries(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    first = first.select(F.col("label").alias("query"), doubles(F.col("q")).alias("q")).limit(1000)  # one for each category
-    pairs = e.select(F.col("vec_id").alias("id"), "label", doubles(F.col("embedding")).alias("v")).crossJoin(F.broadcast(first))
+    first = first.select(F.col("label").alias("query"), doubles(F.col("q")).alias("q"))
+    pairs = e.select(F.col("vec_id").alias("id"), "label", doubles(F.col("embedding")).alias("v")).crossJoin(first)
     return pairs.select("query", "id", cosine(F.col("v"), F.col("q")).alias("score"), (F.col("label") == F.col("query")).alias("relevant"))

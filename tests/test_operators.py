@@ -138,3 +138,17 @@ def test_files(spark, tmp_path):
 def test_usable_labels(spark):
     e = spark.createDataFrame([(0, "meh", "a.wav", None, None), (1, "good", "", "b.PNG", None), (2, "bad", None, None, "c.png"), (3, "bad", "d.wav", None, None), (4, "good", None, None, None)], "pos long, label string, path string, file string, filename string")
     assert [(r.pos, r.place) for r in readers.usable_labels(e).orderBy("pos").collect()] == [(1, "b.PNG"), (2, "c.png")]
+
+
+def test_no_row_caps(spark, tmp_path):
+    from lumenclip.operators import detect, evaluate
+    from lumenclip.plans import model
+
+    vectors = [(i, i, [float(i), 1.0]) for i in range(1003)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert model.label_queries(spark, str(tmp_path)).select("query").distinct().count() == 1003
+    detectors = spark.createDataFrame([(f"d{i}", "vector", [[1.0, 0.0]], [0.0], [1.0], 0.0, 0.5) for i in range(1003)], detect.DETECTOR)
+    clips = spark.createDataFrame([(i, "vector", [1.0, 2.0]) for i in range(3)], "id long, media_type string, embedding array<float>")
+    assert detect.detector_scores(clips, detectors).count() == 3 * 1003
+    steps = spark.range(100_003).selectExpr("id AS step", "1L AS id", "id % 2 = 0 AS predicted")
+    assert evaluate.prediction_flips(steps).count() == 100_003
