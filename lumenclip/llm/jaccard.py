@@ -7,16 +7,20 @@
    (the one-deletion neighbourhood).  ``allocate`` chooses m and k for each band by the expected cost: keys to shuffle
    against chance meetings, which grow with the number of documents.
 3. A key that two classes share gives their pair, which is verified on the whole sets.
-4. A key that more share (near copies by the thousand) must not give all pairs.  Such classes are clustered by the keys
-   they share, and each is written as its difference D from what most of its cluster have.  With weight
-   w = size - 19 * |D|, x and y link (at 0.9) exactly if w_x + w_y + 38 * |D_x & D_y| >= 0.  So all with w_x + w_c >= 0
-   link with the centre c (the largest w), and any other class can only link where it shares tokens of D, which is what
-   the rest of the copies don't do: those meet by their rarest shared tokens and are counted exactly.
-5. Components of the links; a document's is the least doc_id that it reaches.
+4. A key that more than FEW share (near copies by the thousand, or a common passage) must not give all pairs.  The
+   classes of such keys meet by the rarest tokens of their sets instead: so many that two that link share one of them.
+   Where few share such a token they are pairs as in step 3.
+5. Classes that share a crowded token form clusters, and each is written as its difference D from what most of its
+   cluster have.  With weight w = size - 19 * |D|, x and y link (at 0.9) exactly if w_x + w_y + 38 * |D_x & D_y| >= 0.  So
+   all with w_x + w_c >= 0 link with the centre c (the largest w), and any other class can only link where it shares
+   tokens of D, which is what the rest of the copies don't do: those meet by their rarest shared tokens, as far as the
+   tokens behind these still suffice, and are counted exactly.
+6. Components of the links; a document's is the least doc_id that it reaches.
 
 Null and empty texts and those without words have an empty set and are components of their own.  With fewer words than
-a shingle has, the whole sequence is the one shingle.  Repeated doc_ids keep all their rows; rows without a doc_id have
-no component and link nothing.  An empty table gives no rows.
+a shingle has, the whole sequence is the one shingle.  A very long text is worked on alone, whole.  Repeated doc_ids
+keep all their rows; rows without a doc_id have no component and link nothing.  Equal sets are one class, so ties need
+no order.  Other columns are not looked at, whatever their names.  An empty table gives no rows.
 
 What most of a cluster have is told from a bounded sample of it; the links don't depend on it, only how few classes
 have to meet beyond the centre.  Texts, not sets, go to where pairs are verified: they are smaller.
@@ -32,15 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenclip.llm.common import documents, materialize, may_be_among, mix, words_of
+from lumenclip.llm.common import discard, documents, materialize, may_be_among, mix, words_of
 from lumenclip.llm.components import connected_components
 
 #: Ratio of a band's sizes.
 BAND = 1.4
 #: Classes of a cluster from which what most of it have is told: any choice gives the same links, a good one sooner.
 SAMPLE = 24
-#: A key that more classes share goes by step 4.
-FEW = 2
+#: A key that more classes share goes by step 4, a token by step 5.
+FEW = 4
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,7 +93,7 @@ class Bands:
             m = most + 1 - k
             if k > m:
                 break
-            cost = m + k * (1 + least / m) + 20 * self.documents / 20 * m * exp(-2 * least / m)
+            cost = m + k * (1 + least / m) + self.documents * m * exp(-2 * least / m)
             if best is None or cost < best[0]:
                 best = cost, m, k
         return best[1], best[2]
@@ -154,11 +158,12 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _few_pairs(members: DataFrame) -> DataFrame:
-    """a, b: classes that share a key with at most FEW."""
-    groups = members.where(F.col("many") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("g")).select("g").distinct()
+def _few_pairs(members: DataFrame, group: list[str], percent: int) -> DataFrame:
+    """a, b: classes (rep, n) that share a group of at most FEW and whose sizes let them link."""
+    groups = members.where(F.col("many") <= FEW).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("g")).select("g").distinct()
     first = groups.select("g", F.posexplode("g").alias("i", "a"))
-    return first.select("a", F.explode(F.slice("g", F.col("i") + 2, FEW)).alias("b")).distinct()
+    pairs = first.select("a", F.explode(F.slice("g", F.col("i") + 2, FEW)).alias("b"))
+    return pairs.where(100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
 
 
 def _few_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -174,63 +179,81 @@ def _few_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def _token_sets(texts: DataFrame, k: int) -> DataFrame:
+    """rep, n, d: each text's distinct shingle hashes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(sets_of(_column(batch, "text"), k))
+            yield pa.RecordBatch.from_arrays([_column(batch, "rep"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "n", "d"])
+
+    return texts.mapInArrow(hashed, "rep long, n int, d array<long>")
+
+
+def _prefixes(rows: DataFrame) -> DataFrame:
+    """Of each row (cluster, rep, n, w, need, active, d) the rarest of the tokens that it shares with others of its
+    cluster, so many that one of any ``need`` shared ones is among them: token, r (how many it shares), place."""
+    token = rows.select("cluster", "rep", "n", "w", "need", "active", F.explode("d").alias("token"))
+    shared = token.groupBy("cluster", "token").agg(F.count("*").alias("df"), F.count_if("active").alias("actives")).where("df > 1 AND actives > 0").select("cluster", "token", "df")
+    own = Window.partitionBy("cluster", "rep")
+    token = token.join(shared, ["cluster", "token"]).withColumn("r", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
+    token = token.where("r >= need AND place <= r - need + 1").drop("df", "need")
+    many = token.groupBy("cluster", "token").agg(F.count("*").alias("many"), F.count_if("active").alias("actives")).where("many > 1 AND actives > 0").select("cluster", "token", "many")
+    return token.join(many, ["cluster", "token"])
+
+
 def _clusters(members: DataFrame) -> DataFrame:
-    """rep, cluster for the classes that share a key with more than FEW."""
+    """rep, cluster for the classes that share a token with more than FEW."""
     crowded = members.where(F.col("many") > FEW)
-    pivot = crowded.groupBy("key").agg(F.min("rep").alias("b"))
-    clusters = connected_components(crowded.join(pivot, "key").select(F.col("rep").alias("a"), "b"))
+    pivot = crowded.groupBy("token").agg(F.min("rep").alias("b"))
+    clusters = connected_components(crowded.join(pivot, "token").select(F.col("rep").alias("a"), "b"))
     clusters = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     return materialize(clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()))
 
 
-def _differences(clusters: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def _differences(clusters: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """cluster, rep, n, d: each class's difference from what most of a sample of its cluster have.
 
-    A token of d that is left out is told from one that is put in by nothing: common tokens are never put in.
+    The sample is of those with the cluster's most crowded token.  A token of d that is left out is told from one that
+    is put in by nothing: common tokens are never put in.
     """
 
     def most(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sets = list(sets_of(table.column("text"), k))
-        token, count = np.unique(np.concatenate(sets), return_counts=True)
-        common = token[2 * count > len(sets)]
-        return pa.table({"cluster": pa.array([key[0].as_py()], pa.int64()), "common": pa.array([common.view(np.int64)], pa.list_(pa.int64()))})
+        token, count = np.unique(table.column("d").combine_chunks().flatten().to_numpy(zero_copy_only=False), return_counts=True)
+        return pa.table({"cluster": pa.array([key[0].as_py()], pa.int64()), "common": pa.array([token[2 * count > len(table)]], pa.list_(pa.int64()))})
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d = [], []
-            for own, common in zip(sets_of(_column(batch, "text"), k), _column(batch, "common"), strict=True):
-                n.append(len(own))
-                d.append(np.setxor1d(own, common.values.to_numpy(zero_copy_only=False).view(np.uint64), assume_unique=True).view(np.int64))
-            yield pa.RecordBatch.from_arrays([_column(batch, "cluster"), _column(batch, "rep"), pa.array(n, pa.int32()), pa.array(d, pa.list_(pa.int64()))], names=["cluster", "rep", "n", "d"])
+            d = [np.setxor1d(own.values.to_numpy(zero_copy_only=False), common.values.to_numpy(zero_copy_only=False), assume_unique=True) for own, common in zip(_column(batch, "d"), _column(batch, "common"), strict=True)]
+            yield pa.RecordBatch.from_arrays([_column(batch, "cluster"), _column(batch, "rep"), _column(batch, "n"), pa.array(d, pa.list_(pa.int64()))], names=["cluster", "rep", "n", "d"])
 
-    sample = clusters.withColumn("i", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("i") <= SAMPLE).select("rep", "cluster")
-    common = sample.join(texts, "rep").select("cluster", "text").groupBy("cluster").applyInArrow(most, "cluster long, common array<long>")
-    own = clusters.join(texts, "rep").join(materialize(common), "cluster")
-    return own.select("cluster", "rep", "text", "common").mapInArrow(differ, "cluster long, rep long, n int, d array<long>")
+    crowded = members.where(F.col("many") > FEW).select("token", "rep", "many").join(clusters, "rep")
+    top = crowded.groupBy("cluster").agg(F.max(F.struct("many", "token")).alias("t")).select("cluster", F.col("t.token").alias("token"))
+    by_chance = Window.partitionBy("cluster").orderBy(F.xxhash64("rep"), "rep")
+    sample = crowded.join(top, ["cluster", "token"]).withColumn("i", F.row_number().over(by_chance)).where(F.col("i") <= SAMPLE).select("rep", "cluster")
+    common = sample.join(sets, "rep").select("cluster", "d").groupBy("cluster").applyInArrow(most, "cluster long, common array<long>")
+    return clusters.join(sets, "rep").join(materialize(common), "cluster").select("cluster", "rep", "n", "d", "common").mapInArrow(differ, "cluster long, rep long, n int, d array<long>")
 
 
-def _many_links(clusters: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _cluster_links(clusters: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links a, b that join the same components as all links within the clusters."""
-    differ = _differences(clusters, texts, k)
     # In hundredths of a token: 100 * I >= p * U, with I = (S - D) / 2 and U = (S + D) / 2, is (100 - p) S >= (100 + p) D.
     less, more = 100 - percent, 100 + percent
-    differ = materialize(differ.withColumn("w", less * F.col("n") - more * F.size("d")))
-    centre = differ.groupBy("cluster").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("c")).select("cluster", F.col("c.w").alias("cw"), (-F.col("c.r")).alias("centre"))
-    placed = differ.join(centre, "cluster")
-    sure = placed.where((F.col("w") + F.col("cw") >= 0) & (F.col("rep") != F.col("centre"))).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
-
-    # The others can only link where they share tokens of D with another.
-    token = placed.select("cluster", "rep", "w", "cw", F.explode("d").alias("token"))
-    shared = token.groupBy("cluster", "token").agg(F.count("*").alias("df")).where("df > 1")
-    token = token.join(shared, ["cluster", "token"])
-    own = Window.partitionBy("rep")
-    token = token.withColumn("r", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
-    token = token.withColumn("left", F.col("w") + F.col("cw") < 0)
-    need = F.ceil(-(F.col("w") + F.col("cw")) / (2 * more))  # tokens that it must share with any partner
-    token = materialize(token.withColumn("need", F.when(F.col("left"), need).otherwise(0)))
-    x = token.where("left AND r >= need AND place <= r - need + 1").select("cluster", "token", F.col("rep").alias("a"), F.col("w").alias("wa"), F.col("r").alias("ra"))
-    y = token.where("NOT left OR r >= need").select("cluster", "token", F.col("rep").alias("b"), F.col("w").alias("wb"), F.col("r").alias("rb"), "left")
-    meet = x.join(y, ["cluster", "token"]).where((F.col("a") != F.col("b")) & (~F.col("left") | (F.col("a") < F.col("b"))) & (F.col("wa") + F.col("wb") + 2 * more * F.least("ra", "rb") >= 0))
+    differ = materialize(_differences(clusters, members, sets).withColumn("w", less * F.col("n") - more * F.size("d")))
+    narrow = differ.select("cluster", "rep", "n", "w", F.size("d").alias("nd"))
+    centre = narrow.groupBy("cluster").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("c")).select("cluster", F.col("c.w").alias("cw"), (-F.col("c.r")).alias("centre"))
+    placed = materialize(narrow.join(centre, "cluster").withColumn("active", (F.col("w") + F.col("cw") < 0) & (F.col("rep") != F.col("centre"))))
+    sure = placed.where("NOT active AND rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+
+    # The others can only link where they share tokens of d with another, and the rest of the cluster only with them.
+    far = placed.where("active").groupBy("cluster").agg(F.max("w").alias("aw"))
+    best = F.when(F.col("active"), F.col("cw")).otherwise(F.col("aw"))
+    rows = placed.join(far, "cluster").withColumn("need", F.ceil(-(F.col("w") + best) / (2 * more))).where("nd >= need").select("cluster", "rep", "n", "w", "need", "active")
+    token = materialize(_prefixes(rows.join(differ.select("cluster", "rep", "d"), ["cluster", "rep"])))
+    side = lambda x: [F.col("rep").alias(x), F.col("w").alias("w" + x), (F.col("r") - F.col("place")).alias("behind" + x)]
+    x, y = token.where("active").select("cluster", "token", *side("a")), token.select("cluster", "token", *side("b"), "active")
+    # The first token that two share leaves at most so many more.
+    meet = x.join(y, ["cluster", "token"]).where((F.col("a") != F.col("b")) & (~F.col("active") | (F.col("a") < F.col("b"))) & (F.col("wa") + F.col("wb") + 2 * more * (1 + F.least("behinda", "behindb")) >= 0))
     pairs = meet.select("a", "b", "wa", "wb").distinct()
     d = differ.select("rep", "d")
     both = pairs.join(d.select(F.col("rep").alias("a"), F.col("d").alias("da")), "a").join(d.select(F.col("rep").alias("b"), F.col("d").alias("db")), "b")
@@ -243,13 +266,24 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     signed = materialize(signatures(docs, k, percent / 100, docs.count()))
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialize(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     members = materialize(keyed.join(shared, "key"))
-    pairs, clusters = materialize(_few_pairs(members)), _clusters(members)
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(clusters.select("rep")).distinct()
-    texts = materialize(_texts_for(docs, materialize(wanted)))
-    links = materialize(_few_links(pairs, texts, k, percent).unionByName(_many_links(clusters, texts, k, percent)))
+    pairs = materialize(_few_pairs(members, ["key"], percent))
+    crowd = materialize(members.where(F.col("many") > FEW).select("rep").distinct())
+    texts = materialize(_texts_for(docs, materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowd).distinct())))
+    discard(members)
+
+    sets = materialize(_token_sets(texts.join(crowd, "rep", "left_semi"), k))
+    need = F.ceil(F.col("n") * percent / 100 - 1e-9).cast("long")
+    whole = sets.select(F.lit(0).cast("long").alias("cluster"), "rep", "n", F.lit(0).alias("w"), need.alias("need"), F.lit(True).alias("active"), "d")
+    tokens = materialize(_prefixes(whole).drop("cluster", "w", "active"))
+    more = _few_pairs(tokens, ["token"], percent)
+    clusters = _clusters(tokens)
+    found = _few_links(pairs.unionByName(more).distinct(), texts, k, percent)
+    links = materialize(found.unionByName(_cluster_links(clusters, tokens, sets, percent)))
+    discard(pairs, crowd, texts, sets, tokens, clusters)
+
     components = connected_components(links)
     named = classes.select("h1", "h2", "n", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     linked = some.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
