@@ -17,14 +17,15 @@ from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenclip.llm.common import documents
-from lumenclip.llm.tokens import TextEncoder, as_ids, text_steps
+from lumenclip.llm.tokens import ENTRY_BYTES, KEPT_PIECE, TextEncoder, text_steps
 
-#: Pre-tokens whose ids a worker keeps, about 200 bytes each.
-KEPT_PIECES = 1_000_000
+#: Bytes of pre-tokens and their ids that a worker keeps; long pre-tokens aren't kept.
+KEPT_BYTES = 200 << 20
 _BIT = [1 << i for i in range(64)]
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -129,11 +130,13 @@ class PieceEncoder:
         self.pairs, self.find, self.known = BytePairs(ranks), regex.compile(pattern).findall, {}
 
     def piece(self, piece: str) -> bytes:
-        ids = self.known[piece] = array("H", self.pairs.encode(piece.encode())).tobytes()
+        ids = array("H", self.pairs.encode(piece.encode())).tobytes()
+        if len(piece) <= KEPT_PIECE:
+            self.known[piece] = ids
         return ids
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) * ENTRY_BYTES > KEPT_BYTES:
             self.known = {}
         known, find, piece = self.known, self.find, self.piece
         return [b"".join([known.get(p) or piece(p) for p in find(c)]) for c in chunks]
@@ -146,7 +149,7 @@ def rank_encoder(path: str, pattern: str) -> tuple[TextEncoder, BytePairs]:
     have = _encoders.get((path, pattern))
     if have is None:
         encoder = PieceEncoder(read_ranks(path), pattern)
-        have = _encoders[path, pattern] = TextEncoder(encoder, keeps_space=True), encoder.pairs
+        have = _encoders[path, pattern] = TextEncoder(encoder, encoder, keeps_space=True), encoder.pairs
     return have
 
 
@@ -160,10 +163,11 @@ def byte_level_bpe(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         token = [pairs.token.get(i, b"") for i in range(size)]
         for batch in batches:
             n, of_ids, of_bytes = [], [], []
-            for _, texts in text_steps(batch, "text"):
-                for raw in encoder.encode(texts):
-                    ids = as_ids(raw).tolist()
-                    n.append(len(ids))
+            for _, _, texts in text_steps(batch, "text"):
+                every, offsets = encoder.encode(texts)
+                n += np.diff(offsets).tolist()
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    ids = every[a:b].tolist()
                     of_ids.append(hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest())
                     of_bytes.append(hashlib.sha256(b"".join([token[i] for i in ids])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -197,7 +197,7 @@ def _prefixes(rows: DataFrame) -> DataFrame:
     shared = token.groupBy("cluster", "token").agg(F.count("*").alias("df"), F.count_if("active").alias("actives")).where("df > 1 AND actives > 0").select("cluster", "token", "df")
     own = Window.partitionBy("cluster", "rep")
     token = token.join(shared, ["cluster", "token"]).withColumn("r", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
-    token = token.where("r >= need AND place <= r - need + 1").drop("df", "need")
+    token = materialize(token.where("r >= need AND place <= r - need + 1").drop("df", "need"))
     many = token.groupBy("cluster", "token").agg(F.count("*").alias("many"), F.count_if("active").alias("actives")).where("many > 1 AND actives > 0").select("cluster", "token", "many")
     return token.join(many, ["cluster", "token"])
 

@@ -1,14 +1,16 @@
 """Token-id shards with keyed access (5).
 
-Documents are range-partitioned by id, encoded and cut into blocks of about ``block_ids`` ids.  A block is one record
+Documents are encoded where they are read, their ids range-partitioned by doc_id and cut into blocks of about
+``block_ids`` ids.  A block is one record
 of the file format: its ids as raw little-endian unsigned 16-bit integers, and an index of its documents.  The index
 is a minimal perfect hash (hash and displace: keys fall into small buckets, and each bucket gets the first seed that
 sends its keys to free slots), with a 32-bit fingerprint, an offset and a length in each slot, so a lookup takes
 constant time and knows a key that isn't there.  Records lie in Parquet files that Spark writes and commits, so a lost
 executor's half-written shard never counts, and any store that Spark can write to will do.
 
-Null and empty texts have the end id alone.  Repeated doc_ids keep all their rows, told apart by their number in
-order; rows without an id come first.  An empty table writes no blocks.
+Null and empty texts have the end id alone.  A very long text is encoded whole, and a block of its own if need be.
+Repeated doc_ids keep all their rows, in any order, told apart by their number within a shard; rows without an id come
+first.  Other columns are not looked at, whatever their names.  An empty table writes no blocks.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenclip.llm.common import blocks_for, documents, mix, shared_dir
-from lumenclip.llm.tokens import as_ids, library_encoder, text_steps
+from lumenclip.llm.common import blocks_for, discard, documents, materialize, mix, shared_dir
+from lumenclip.llm.tokens import library_encoder, text_steps, with_end
 
-BLOCK = "shard int, block int, first_key long, n_docs long, n_ids long, keys binary, repeats binary, payload binary, displacements binary, fingerprints binary, offsets binary"
+BLOCK = "shard int, block int, first_key long, last_key long, n_docs long, n_ids long, keys binary, repeats binary, payload binary, displacements binary, fingerprints binary, offsets binary"
 READ = "shard int, block int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 #: Stands for a missing doc_id among the keys.
 NO_KEY = np.int64(np.iinfo(np.int64).min)
@@ -82,9 +84,7 @@ class PerfectHash:
         return _slots(hashes, self.displacements[bucket], self.n)
 
 
-def _record(shard: int, block: int, keys: list[int], repeats: list[int], parts: list[np.ndarray]) -> tuple:
-    key, repeat = np.array(keys, np.int64), np.array(repeats, np.uint32)
-    lengths = np.array([len(p) for p in parts], np.int64)
+def _record(shard: int, block: int, key: np.ndarray, repeat: np.ndarray, lengths: np.ndarray, payload: bytes) -> tuple:
     starts = np.cumsum(lengths) - lengths
     hashes = _key_hash(key, repeat)
     index = PerfectHash.build(hashes)
@@ -92,8 +92,7 @@ def _record(shard: int, block: int, keys: list[int], repeats: list[int], parts:
     fingerprints, offsets = np.zeros(len(key), "<u4"), np.zeros((len(key), 2), "<i8")
     fingerprints[slot] = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     offsets[slot, 0], offsets[slot, 1] = starts, lengths
-    payload = np.concatenate(parts).astype("<u2").tobytes()
-    return (shard, block, int(key[0]), len(key), int(lengths.sum()), key.tobytes(), repeat.tobytes(), payload, index.displacements.astype("<u4").tobytes(), fingerprints.tobytes(), offsets.tobytes())
+    return (shard, block, int(key[0]), int(key[-1]), len(key), int(lengths.sum()), key.tobytes(), repeat.astype("<u4").tobytes(), payload, index.displacements.astype("<u4").tobytes(), fingerprints.tobytes(), offsets.tobytes())
 
 
 class BlockReader:
@@ -119,40 +118,66 @@ class BlockReader:
         return None if start < 0 else self.ids[start : start + length]
 
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, keeps_space: bool) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 16-bit), encoded where the texts are read."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(tokenizer, keeps_space)
+        for batch in batches:
+            for a, b, texts in text_steps(batch, "text"):
+                ids, offsets = with_end(*encoder.encode(texts), end_id)
+                raw = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((offsets * 2).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids.astype("<u2")))])
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).slice(a, b - a), raw.cast(pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, block_ids: int = 1 << 18, per_shard: int = 20_000, keeps_space: bool = False) -> None:
     """Writes the ids of ``docs`` in ascending doc_id order under ``path``."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = library_encoder(tokenizer, keeps_space), TaskContext.get().partitionId()
-        keys: list[int] = []
-        repeats: list[int] = []
-        parts: list[np.ndarray] = []
-        size = block = 0
-        last: tuple[int | None, int] = (None, 0)
+        shard, block, last, held, size = TaskContext.get().partitionId(), 0, (None, 0), [], 0
 
         def full() -> pa.RecordBatch:
-            row = _record(shard, block, keys, repeats, parts)
+            key, repeat, length = (np.concatenate([h[i] for h in held]) for i in range(3))
+            row = _record(shard, block, key, repeat, length, b"".join([x for h in held for x in h[3]]))
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)], names=_BLOCK_NAMES)
 
         for batch in batches:
-            own = batch.column(batch.schema.get_field_index("doc_id")).fill_null(int(NO_KEY)).to_pylist()
-            for at, texts in text_steps(batch, "text"):
-                for key, raw in zip(own[at:], encoder.encode(texts), strict=False):
-                    last = (key, last[1] + 1 if last[0] == key else 0)
-                    ids = as_ids(raw, end_id)
-                    if parts and size + len(ids) > block_ids:
-                        yield full()
-                        block, size = block + 1, 0
-                        keys, repeats, parts = [], [], []
-                    keys.append(key)
-                    repeats.append(last[1])
-                    parts.append(ids)
-                    size += len(ids)
-        if parts:
+            key = batch.column(batch.schema.get_field_index("doc_id")).fill_null(int(NO_KEY)).to_numpy()
+            ids = batch.column(batch.schema.get_field_index("ids")).to_pylist()
+            length = np.array([len(x) // 2 for x in ids], np.int64)
+            at = np.arange(len(key))
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.maximum.accumulate(np.where(new, at, 0))
+            repeat = at - first
+            if len(key) and last[0] == key[0]:
+                repeat[first == 0] += last[1] + 1
+            if len(key):
+                last = (key[-1], int(repeat[-1]))
+            ends, a = np.cumsum(length), 0
+            while a < len(key):
+                before = ends[a - 1] if a else 0
+                b = int(np.searchsorted(ends, before + block_ids - size, "right"))
+                if b == a and not held:
+                    b = a + 1  # longer than a block
+                if b > a:
+                    held.append((key[a:b], repeat[a:b], length[a:b], ids[a:b]))
+                    size += int(ends[b - 1] - before)
+                if b < len(key):
+                    yield full()
+                    block, held, size = block + 1, [], 0
+                a = b
+        if held:
             yield full()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange(blocks_for(docs.count(), per_shard), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    # The places by chance are written, so they stay what they are; they spread the rows of one id, or without one.
+    rows = materialize(encoded(docs, tokenizer, end_id, keeps_space).withColumn("deal", F.rand(5)))
+    order = (F.asc_nulls_first("doc_id"), F.asc("deal"))
+    dealt = rows.repartitionByRange(blocks_for(rows.count(), per_shard), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     dealt.mapInArrow(write, BLOCK).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    discard(rows)
 
 
 _BLOCK_NAMES = [x.split()[0] for x in BLOCK.split(", ")]
@@ -177,8 +202,6 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(BLOCK).parquet(path)
     # Prefix sums over the blocks: within each shard by a window, over shards by one more over a row for each shard.
     per_shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    from pyspark.sql import Window
-
     base = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_base"))
     inner = blocks.select("shard", "block", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")).alias("block_base"))
     places = inner.join(base, "shard").select("shard", "block", (F.col("shard_base") + F.col("block_base")).alias("base"))
@@ -186,6 +209,37 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return found.join(places, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """doc_id, repeat, n_tokens, ids of those of ``keys`` (doc_id) that the files have.
+
+    The blocks' key ranges name the blocks that may hold a key (equi-joined by coarse ranges of keys); within a block
+    the perfect hash says where, and the fingerprint whether.
+    """
+    blocks = spark.read.schema(BLOCK).parquet(path)
+    span = blocks.where(F.col("first_key") > int(NO_KEY)).agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi"), F.count("*").alias("n")).first()
+    if not span.n:
+        return spark.createDataFrame([], "doc_id long, repeat int, n_tokens long, ids array<int>")
+    width = max(1, (span.hi - span.lo) // span.n + 1)
+    part = lambda c: F.floor((F.greatest(F.col(c), F.lit(span.lo)) - span.lo) / width)
+    ranges = blocks.select("shard", "block", "first_key", "last_key", F.explode(F.sequence(part("first_key"), part("last_key"))).alias("part"))
+    wanted = keys.select(F.col("doc_id").cast("long").alias("key")).where("key IS NOT NULL").distinct().withColumn("part", part("key"))
+    per_block = wanted.join(ranges, "part").where("key BETWEEN first_key AND last_key").groupBy("shard", "block").agg(F.collect_list("key").alias("wanted"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block, key = BlockReader(row), np.array(row["wanted"], np.int64)
+                # A key's rows have numbers in a row; all that may be here are asked for, in turn.
+                low, high = int(block.repeats.min()), int(block.repeats.max())
+                for repeat in range(low, high + 1):
+                    start, length = block.locate(key, np.full(len(key), repeat, np.uint32))
+                    here = np.flatnonzero(start >= 0)
+                    own = [block.ids[a : a + n].astype(np.int32) for a, n in zip(start[here].tolist(), length[here].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[here]), pa.array(np.full(len(here), repeat, np.int32)), pa.array(length[here]), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "repeat", "n_tokens", "ids"])
+
+    return blocks.join(per_block, ["shard", "block"]).mapInArrow(find, "doc_id long, repeat int, n_tokens long, ids array<int>")
+
+
 def op5_token_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -102,7 +102,6 @@ def test_tokens(docs, empty):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((TEXTS.get(i, "a row without an id") or "").encode()).hexdigest()
     t = Tokenizer.from_file(BYTE)
-    t.encode_special_tokens = True
     pieces = packing.best_fit_packing(docs, BYTE).collect()
     for i, text in TEXTS.items():
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -129,7 +128,6 @@ def test_shards(spark, docs, empty, tmp_path):
     shards.write_shards(docs, WORD, str(tmp_path / "s"), block_ids=500, per_shard=5)
     got = shards.read_shards(spark, str(tmp_path / "s")).orderBy("start").collect()
     t, at = Tokenizer.from_file(WORD), 0
-    t.encode_special_tokens = True
     assert [r.doc_id for r in got] == [None, *sorted([*TEXTS, 4])]
     for r in got:
         ids = np.array([*t.encode(TEXTS.get(r.doc_id, "a row without an id") or "", add_special_tokens=False).ids, 2], "<u4")
