@@ -201,10 +201,11 @@ def may_be_among(df: DataFrame, key, wanted: DataFrame) -> tuple[DataFrame, Data
     rows that it doesn't need no shuffle.  With very many wanted keys it lets more through, never less.
     """
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
-    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(32767)
     bits = wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(FILTER_BITS)).alias("p"))
-    bits = bits.groupBy(F.shiftright("p", 15).alias("_bucket")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("_bitmap"))
-    marked = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(materialize(bits)), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    here = F.coalesce(F.expr("1 << cast(_bit % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
-    return marked.where(here).select(df.columns), marked.where(~here).select(df.columns)
+    bits = bits.groupBy(F.shiftright("p", 15).alias("bucket")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("bitmap"))
+    # The caller's columns stay in a struct of their own, so that none can clash.
+    marked = df.select(F.struct("*").alias("row"), F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32767).alias("bit"))
+    marked = marked.join(F.broadcast(materialize(bits)), "bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    here = F.coalesce(F.expr("1 << cast(bit % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
+    return marked.where(here).select("row.*"), marked.where(~here).select("row.*")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from lumenclip.llm import bpe, components, jaccard, licenses, lines, media, packing, quality, rules, shards, toxicity
 from lumenclip.llm.common import small_batches
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, RANKS, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
@@ -57,13 +58,24 @@ def test_licenses_without_gate(spark):
 
 
 def test_lines(docs, empty):
-    got = by_id(lines.line_dedup(docs))
-    assert (got[13].n_lines, got[13].n_equal, got[13].text) == (5, 4, "the same line again and again and again here")
-    assert (got[12].n_near, got[12].text, got[10].text, got[4].text) == (1, "", "", "one two")
-    assert got[1].text is None and got[None].text == "a row without an id"
+    got = {r.row.doc_id: r for r in lines.kept_lines(docs).collect()}
+    assert (got[13].n_lines, got[13].n_equal, got[13].row.text) == (5, 4, "the same line again and again and again here")
+    assert (got[12].n_near, got[12].row.text, got[10].row.text) == (1, "", "")
+    assert got[1].row.text is None and got[None].row.text == "a row without an id"
     assert lines.line_dedup(empty).count() == 0
 
 
+def test_lines_of_repeated_rows(spark):
+    rows = [(1, "shared line", "keep me", 7), (5, "unique alpha text", "b", 8), (5, "shared line", "c", 9), (6, "other\n \nother", "d", 1), (6, "other\n \nother", "e", 2), (None, "no id here", "f", 3), (None, "no id here", "g", 4), (None, "nor here", "h", 5), (8, None, "i", 6), (8, None, "j", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc string, n_lines int").withColumns({"_bucket": F.col("n_lines"), "row": F.col("_doc"), "_text": F.lit("x"), "gone": F.lit(1)})
+    got = lines.line_dedup(docs)
+    assert got.columns == docs.columns and got.count() == len(rows)
+    by = {r._doc: r for r in got.collect()}
+    assert all((by[x].n_lines, by[x]._bucket, by[x].row, by[x]._text, by[x].gone) == (n, n, x, "x", 1) for _, _, x, n in rows)
+    assert (by["keep me"].text, by["b"].text, by["c"].text, by["h"].text, by["i"].text) == ("shared line", "unique alpha text", "", "nor here", None)
+    assert sorted((by["d"].text, by["e"].text)) == [" ", "other\n "] and sorted((by["f"].text, by["g"].text)) == ["", "no id here"]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_near_lines_by_brute_force(spark, seed):
     rng, rows = random.Random(seed), []
@@ -84,7 +96,7 @@ def test_near_lines_by_brute_force(spark, seed):
         return any(t[:k] + t[k + 1 :] == s for k in range(len(t)))
 
     want = {i for i, t in rows if any(u == t or (min(len(t.split()), len(u.split())) >= 8 and near(t.split(), u.split())) for j, u in rows if j < i)}
-    got = {r.doc_id for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("n_equal + n_near > 0").collect()}
+    got = {r.row.doc_id for r in lines.kept_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_equal + n_near > 0").collect()}
     assert got == want
 
 
