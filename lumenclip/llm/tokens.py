@@ -19,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumenclip.llm.common import STEP_BYTES, quiet_threads
+from lumenclip.llm.common import quiet_threads
 
 #: Bytes of chunks and ids that a worker keeps, and the longest piece that is worth keeping.
-CACHE_BYTES, KEPT_PIECE = 64 << 20, 64
+CACHE_BYTES, KEPT_PIECE = 192 << 20, 64
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 8 << 20
 #: What a dictionary entry takes besides its text and ids.
-ENTRY_BYTES = 150
+ENTRY_BYTES = 200
 #: How byte-level vocabularies write each byte: printable ones as themselves, the others from U+0100 on, in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _VISIBLE = {b: b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)}
@@ -205,7 +207,7 @@ class LibraryPieces:
         return ids + (have.get(mark) or self.piece(mark)) if mark else ids
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        if len(self.pieces) * (ENTRY_BYTES + 2 * KEPT_PIECE) > CACHE_BYTES:
+        if len(self.pieces) * ENTRY_BYTES > CACHE_BYTES // 4:
             self.pieces = {}
         quick = {c: ids for c in chunks if (c[:1] == " " or not self.keeps_space) and (ids := self.word(c)) is not None}
         rest = [c for c in chunks if c not in quick]
@@ -250,13 +252,25 @@ def library_encoder(path: str, keeps_space: bool) -> TextEncoder:
     return have
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at least TEXT_BYTES: the more text is worked on at once, the more often its chunks repeat."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_steps(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, pa.LargeStringArray]]:
-    """Rows ``[a, b)`` and their texts, about STEP_BYTES at a time; a longer text is a step of its own, null is empty."""
+    """Rows ``[a, b)`` and their texts, about TEXT_BYTES at a time; a longer text is a step of its own, null is empty."""
     column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string()).fill_null("")
     ends = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
     a = 0
     while a < len(column):
-        b = min(len(column), max(a + 1, int(np.searchsorted(ends, ends[a] + STEP_BYTES, "right")) - 1))
+        b = min(len(column), max(a + 1, int(np.searchsorted(ends, ends[a] + TEXT_BYTES, "right")) - 1))
         yield a, b, column.slice(a, b - a)
         a = b
 
