@@ -3,10 +3,13 @@
 A pre-token's bytes form a linked list.  Each adjacent pair that is in the vocabulary waits in the bucket of its
 merge rank; a three-level bitmap over the ranks has a bit for each bucket with entries, and find-first-set on the
 levels gives the lowest rank.  Entries are not removed when a merge changes their pair: a popped entry whose pair no
-longer has that rank is skipped.  A merge costs the same whatever the pre-token's length, so very long pre-tokens
-take time in proportion to their bytes.
+longer has that rank is skipped.  A bucket is a heap of positions, as equal ranks merge from the left and later entries
+may lie before earlier ones: a merge costs the logarithm of its bucket's size, so very long pre-tokens take little more
+time than in proportion to their bytes.
 
-Null and empty texts have no tokens.  Repeated rows are encoded as often as they occur.
+Null and empty texts have no tokens.  Very long texts are encoded whole.  Repeated rows are encoded as often as they
+occur.  Of equal ranks the leftmost merges first.  Other columns are not looked at, whatever their names.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -5,17 +5,19 @@ its own.  A rule is a regular expression over that form, a keyword without which
 priority.  One pass finds the keywords of a text; only rules of a keyword that is there run on it.  A detection that
 lies within one of a better priority, or within a longer one of the same priority, is suppressed.
 
-Rules come from the licenses' names and the phrases that grant, name or declare a license, so there are some hundreds
-of them; the table has a fixed size, which is what lets it be broadcast.  Only texts with a keyword are handed on with
+Rules are sentences of the licenses' notices, and their names in the phrases that grant, name or declare a license, so
+there are some hundreds of them; the table has a fixed size, which is what lets it be broadcast.  Only texts with a keyword are handed on with
 their rules, and detections of one text meet in windows of that text alone.
 
 Native: DataFrame functions only.  Null and empty texts have no words and no labels and score 0.  Repeated rows are
-judged each on its own.  An empty table gives no rows.
+judged each on its own, and a very long text is one row like any other.  Detections that tie in priority and place all
+stay.  Other columns are not looked at, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,21 +85,103 @@ PHRASES = [
     (r" (the  )?{}  licen[sc]e ", 2, 0.7),
     (r" licen[sc]e  {} ", 2, 0.7),
 ]
-# Phrases of whole notices, which name no license.
+# Phrases of whole notices: label, the keyword (a word of the phrase that is rare elsewhere), the phrase in plain words
+# with (a|b) for alternatives and (a )? for what may lack, priority and confidence.
 NOTICES = [
-    ("mit", "hereby", " permission  is  hereby  granted  free  of  charge  to  any  person  obtaining  a  copy ", 1, 0.95),
-    ("isc", "hereby", " permission  to  use  copy  modify  and  or  distribute  this  software  for  any  purpose ", 1, 0.9),
-    ("bsd", "redistribution", " redistribution  and  use  in  source  and  binary  forms ", 1, 0.9),
-    ("apache-2", "apache", " apache  license  version  2(  0)? ", 1, 0.95),
-    ("cc-by-nc", "cc", " cc  by  nc(  [234]  [05])? ", 1, 0.9),
-    ("public-domain", "domain", " ((released|dedicated|placed)  (to|into|in)  (the  )?)?public  domain ", 2, 0.6),
-    ("proprietary", "reserved", " all  rights  reserved ", 2, 0.5),
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy", 1, 0.95),
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software", 1, 0.95),
+    ("mit", "substantial", "this permission notice shall be included in all copies or substantial portions of the software", 1, 0.9),
+    ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software", 1, 0.9),
+    ("isc", "purpose", "permission to use copy modify and or distribute this software for any purpose", 1, 0.9),
+    ("isc", "purpose", "for any purpose with or without fee is hereby granted provided that the above copyright notice", 1, 0.9),
+    ("0bsd", "purpose", "distribute this software for any purpose with or without fee is hereby granted the software is provided", 0, 0.9),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms", 1, 0.9),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice", 1, 0.9),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice", 1, 0.9),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission", 1, 0.95),
+    ("bsd-4-clause", "acknowledgement", "must display the following acknowledgement this product includes software", 1, 0.95),
+    ("apache-2", "apache", "apache license version 2( 0)?", 1, 0.95),
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license", 1, 0.8),
+    ("apache-2", "agreed", "unless required by applicable law or agreed to in writing software distributed under the license", 1, 0.8),
+    ("apache-2", "warranties", "on an as is basis without warranties or conditions of any kind either express or implied", 1, 0.7),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation", 1, 0.9),
+    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 1, 0.95),
+    ("gpl-2.0", "gnu", "gnu general public license as published by the free software foundation either version 2", 0, 0.95),
+    ("gpl-2.0", "gnu", "gnu general public license version 2 as published by the free software foundation", 0, 0.95),
+    ("gpl-3.0", "gnu", "gnu general public license as published by the free software foundation either version 3", 0, 0.95),
+    ("gpl-3.0", "gnu", "gnu general public license version 3 as published by the free software foundation", 0, 0.95),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license", 1, 0.9),
+    ("gpl", "gnu", "see the gnu general public license for more details", 1, 0.9),
+    ("lgpl", "gnu", "under the terms of the gnu (lesser|library) general public license", 1, 0.95),
+    ("lgpl-2.1", "gnu", "gnu lesser general public license as published by the free software foundation either version 2 1", 0, 0.95),
+    ("lgpl-3.0", "gnu", "gnu lesser general public license as published by the free software foundation either version 3", 0, 0.95),
+    ("lgpl", "gnu", "you should have received a copy of the gnu (lesser|library) general public license", 1, 0.9),
+    ("agpl-3.0", "affero", "under the terms of the gnu affero general public license", 1, 0.95),
+    ("agpl-3.0", "affero", "you should have received a copy of the gnu affero general public license", 1, 0.9),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 1, 0.95),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1", 1, 0.95),
+    ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v1 0", 1, 0.95),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license (v )?2 0", 1, 0.95),
+    ("cddl-1.0", "cddl", "subject to the terms of the common development and distribution license the cddl", 1, 0.95),
+    ("cddl-1.0", "distribution", "subject to the terms of the common development and distribution license", 1, 0.95),
+    ("cpl-1.0", "common", "accompanying program is provided under the terms of this common public license", 1, 0.95),
+    ("artistic-2.0", "artistic", "you can redistribute it and or modify it under the terms of the artistic license( 2 0)?", 1, 0.9),
+    ("perl", "perl", "under the same terms as perl itself", 1, 0.9),
+    ("ruby", "ruby", "under the same terms as ruby", 1, 0.9),
+    ("boost-1.0", "boost", "distributed under the boost software license version 1 0", 1, 0.95),
+    ("boost-1.0", "machine", "machine executable object code generated by a source language processor", 1, 0.9),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 1, 0.95),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", 1, 0.95),
+    ("libpng", "libpng", "this code is released under the libpng license", 1, 0.95),
+    ("ijg", "jpeg", "this software is based in part on the work of the independent jpeg group", 1, 0.95),
+    ("openssl", "openssl", "this product includes software developed by the openssl project", 1, 0.95),
+    ("curl", "fee", "permission to use copy modify and distribute this software for any purpose with or without fee", 1, 0.85),
+    ("ntp", "suitability", "makes no representations about the suitability this software for any purpose", 1, 0.85),
+    ("hpnd", "suitability", "makes no representations about the suitability of this software for any purpose", 1, 0.85),
+    ("postgresql", "documentation", "permission to use copy modify and distribute this software and its documentation for any purpose", 1, 0.85),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 0, 0.95),
+    ("unlicense", "dedicate", "we dedicate any and all copyright interest in the software to the public domain", 0, 0.95),
+    ("wtfpl", "fuck", "do what the fuck you want to public license", 1, 0.95),
+    ("beerware", "beer", "you can buy me a beer in return", 1, 0.9),
+    ("cc0-1.0", "waived", "waived all copyright and related or neighboring rights to", 1, 0.95),
+    ("cc0-1.0", "cc0", "cc0 1 0 universal", 1, 0.95),
+    ("cc-by", "commons", "creative commons attribution (2 0|2 5|3 0|4 0) (international|unported|generic)", 1, 0.9),
+    ("cc-by-sa", "commons", "creative commons attribution share ?alike (2 0|2 5|3 0|4 0) (international|unported|generic)", 1, 0.9),
+    ("cc-by-nd", "commons", "creative commons attribution no ?deriv(ative|atives|s)", 1, 0.9),
+    ("cc-by-nc-sa", "commons", "creative commons attribution non ?commercial share ?alike", 0, 0.9),
+    ("cc-by-nc-nd", "commons", "creative commons attribution non ?commercial no ?deriv(ative|atives|s)", 0, 0.9),
+    ("cc-by-nc", "cc", "cc by nc( [234] [05])?", 1, 0.9),
+    ("gfdl", "documentation", "under the terms of the gnu free documentation license", 1, 0.95),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts", 1, 0.95),
+    ("odbl-1.0", "database", "made available under the open database license", 1, 0.95),
+    ("odc-by", "commons", "open data commons attribution license", 1, 0.95),
+    ("pddl-1.0", "pddl", "public domain dedication and license pddl", 1, 0.95),
+    ("ofl-1.1", "sil", "this font software is licensed under the sil open font license", 1, 0.95),
+    ("ofl-1.1", "reserved", "with reserved font name", 1, 0.8),
+    ("python-2.0", "psf", "this license agreement is between the python software foundation psf", 1, 0.95),
+    ("php-3.01", "php", "subject to version 3 (0|01) of the php license", 1, 0.95),
+    ("ms-pl", "microsoft", "microsoft public license", 1, 0.9),
+    ("ms-rl", "microsoft", "microsoft reciprocal license", 1, 0.9),
+    ("eupl-1.2", "european", "licensed under the (eupl|european union public licence) version 1 2", 1, 0.95),
+    ("llvm-exception", "llvm", "apache license v2 0 with llvm exceptions", 0, 0.95),
+    ("classpath-exception", "linking", "linking this library statically or dynamically with other modules is making a combined work", 1, 0.95),
+    ("sspl-1.0", "server", "server side public license", 1, 0.9),
+    ("busl-1.1", "business", "business source license 1 1", 1, 0.95),
+    ("elastic-2.0", "elastic", "elastic license 2 0", 1, 0.9),
+    ("commons-clause", "commons", "commons clause license condition", 1, 0.95),
+    ("public-domain", "domain", "((released|dedicated|placed) (to|into|in) (the )?)?public domain", 2, 0.6),
+    ("public-domain", "disclaims", "the author(s)? (hereby )?disclaims copyright to this source code", 1, 0.95),
+    ("proprietary", "reserved", "all rights reserved", 2, 0.5),
+    ("proprietary", "unauthorized", "unauthorized (copying|use|distribution) of this (file|software) via any medium is strictly prohibited", 1, 0.9),
+    ("proprietary", "confidential", "proprietary and confidential", 1, 0.8),
 ]
 
 
 RULE = "rule int, label string, keyword string, pattern string, priority int, confidence double, base boolean"
-#: Without one of these words (plain form) no rule can match.
-GATE = " (licen[sc]ed?|spdx|under|hereby|purpose|redistribution|domain|reserved|cc|apache) "
+def _pattern(phrase: str) -> str:
+    """A phrase over the plain form, which has a space on each side of every word; " ?" is a space or none."""
+    plain = phrase.replace(" ?", "\x00").replace("( ", "(\x01").replace(" )", "\x01)")
+    return " " + plain.replace(" ", "  ").replace("\x00", "(  )?").replace("(\x01", "(  ").replace("\x01)", "  )") + " "
 
 
 def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
@@ -107,18 +191,39 @@ def rules() -> list[tuple[int, str, str, str, int, float, bool]]:
         for name in names:
             plain = "  ".join(name.split())
             out += [(label, keyword, pattern.format(plain), priority, confidence, False) for pattern, priority, confidence in PHRASES]
-    out += [(*notice, False) for notice in NOTICES]
+    out += [(label, keyword, _pattern(phrase), priority, confidence, False) for label, keyword, phrase, priority, confidence in NOTICES]
     keys = {keyword for _, keyword, *_ in out}
     out += [(label, next(w for w in phrase.split() if w in keys), " " + "  ".join(phrase.split()) + " ", 1, 0.9, True) for phrase, label in BASE]
     out.sort(key=lambda r: r[3])
     return [(i, *r) for i, r in enumerate(out)]
 
 
-def needed(pattern: str) -> list[str]:
-    """Words that any match of ``pattern`` contains: those outside groups and without alternatives."""
-    while (less := re.sub(r"\([^()]*\)\??", " ", pattern)) != pattern:
+def _parts(pattern: str) -> list[str]:
+    """What any match of ``pattern`` contains between spaces: what stands outside groups and has no alternatives."""
+    # A group leaves a mark, which spoils a word that it is a part of.
+    mark = lambda m: "".join(" " if c == " " else "\x00" for c in (m[1][0], m[1][-1]))
+    while (less := re.sub(r"\(([^()]+)\)\??", mark, pattern)) != pattern:
         pattern = less
-    return [w for w in pattern.split() if w.isalnum()]
+    return [w for w in pattern.split() if "\x00" not in w]
+
+
+def needed(pattern: str) -> list[str]:
+    """Words that any match of ``pattern`` contains."""
+    return [w for w in _parts(pattern) if w.isalnum()]
+
+
+#: Words too common to tell texts apart.
+COMMON = {*"a above all an and any as at based be by common do for from have in is it made may must no not of on or other part see should so subject that the these this to under we with without you your".split(), *"0123456789"}
+
+
+def gate() -> str:
+    """A pattern that any text with a detection matches: few words, one of them in each rule's pattern."""
+    left, chosen = [(own := set(_parts(r[3]))) - COMMON or own for r in rules()], []
+    while left:
+        count = Counter(w for words in left for w in words)
+        chosen.append(min(count, key=lambda w: (-count[w], w)))
+        left = [words for words in left if chosen[-1] not in words]
+    return f" ({'|'.join(sorted(chosen))}) "
 
 
 def gated_rules() -> list[tuple[int, str, str, str, int, float, bool]]:
@@ -151,7 +256,7 @@ def detections(docs: DataFrame) -> DataFrame:
     keywords = "|".join(sorted({r[2] for r in gated_rules()}))
     texts = docs.select("doc_id", plain_form(F.col("text")).alias("plain")).withColumn("row", F.monotonically_increasing_id())
     texts = texts.withColumn("n_words", _words(F.col("plain")))
-    found = F.when(F.col("plain").rlike(GATE), F.array_distinct(F.regexp_extract_all("plain", F.lit(f" ({keywords}) "), 1)))
+    found = F.when(F.col("plain").rlike(gate()), F.array_distinct(F.regexp_extract_all("plain", F.lit(f" ({keywords}) "), 1)))
     texts = texts.withColumn("key", F.explode(F.concat(F.array(F.lit("")), F.coalesce(found, F.array().cast("array<string>")))))
     # The text goes on only with a keyword.
     texts = texts.withColumn("plain", F.when(F.col("key") != "", F.col("plain")))
@@ -195,15 +300,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sql() -> str:
-    """The same in SQL; the rules are the table's rows."""
-    values = ",\n  ".join(f"({i}, '{label}', '{keyword}', '{pattern}', {priority}, {confidence}::DOUBLE, {base})" for i, label, keyword, pattern, priority, confidence, base in rules())
+    """The same in SQL, without any gate: every rule is tried on every text."""
+    values = ",\n  ".join(f"({i}, '{label}', '{keyword}', '{pattern}', {priority}, {confidence}::DOUBLE, {base})" for i, label, keyword, pattern, priority, confidence, base in gated_rules())
     count = lambda c: f"((length({c}) - length(replace({c}, ' ', ''))) // 2)"
     return rf"""
 WITH r(rule, label, keyword, pattern, priority, confidence, base) AS (VALUES
   {values}),
 b AS (SELECT doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g'), ' ') AS body FROM documents),
 d AS (SELECT doc_id, CASE WHEN body = '' THEN '' ELSE ' ' || body || ' ' END AS plain FROM b),
-t AS (SELECT doc_id, plain, pattern, rule, label, priority, confidence, base FROM d JOIN r ON contains(plain, ' ' || keyword || ' ') WHERE regexp_matches(plain, pattern)),
+t AS (SELECT doc_id, plain, pattern, rule, label, priority, confidence, base FROM d, r WHERE regexp_matches(plain, pattern)),
 h AS (SELECT *, regexp_split_to_array(plain, pattern) AS gaps, regexp_extract_all(plain, pattern) AS hits FROM t),
 p AS (SELECT h.*, i, array_to_string(gaps[1:i], '') || array_to_string(hits[1:i - 1], '') AS ahead, hits[i] AS hit FROM h, unnest(generate_series(1, len(hits))) AS g(i)),
 s AS (SELECT doc_id, rule, label, priority, confidence, base, {count("ahead")} AS s, {count("ahead")} + {count("hit")} AS e FROM p),

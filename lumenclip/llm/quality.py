@@ -6,8 +6,10 @@ once and goes to the tasks with the code.  The fit needs only sums over the labe
 moments for each class), added up in tasks before the shuffle, so it covers all of them and sends a fixed number of
 values to the driver.
 
-Null and empty texts have zeros as statistics and get a score like any other.  Rows that are labelled twice count
-twice.  Without labelled rows of both classes every score is 0.5.
+Null and empty texts have zeros as statistics and get a score like any other.  A very long text is worked on alone,
+whole.  Rows that are labelled twice count twice, and repeated rows are scored each on its own; a score of just 0.5
+counts as good.  Other columns are not looked at, whatever their names.  Without labelled rows of both classes every
+score is 0.5.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,12 +1,15 @@
 """Quality rules with host verdicts (6).
 
 Each document is judged by base rules; each host (the source column) by its rate of failures, shrunk toward a beta
-prior that is fitted to all hosts by moments.  A document of a failing host is not kept.  Failures are summed before
+prior that is fitted to all hosts by moments.  A host fails where its rate is more than ``times`` the prior's mean with
+near certainty: where the posterior's mean is over that by ``sure`` of its standard deviations.  A document of a failing
+host is not kept.  Hosts that differ by chance alone all shrink to the common rate, and none fails.  Failures are summed before
 the shuffle, so a host with a third of all rows costs one row for each task; verdicts are one row for each host and
 join back by whichever way suits their measured size.
 
-Null and empty texts have no words and fail.  A missing source is a host of its own.  Repeated rows count as often as
-they occur.  An empty table gives no rows.
+Null and empty texts have no words and fail.  A very long text is worked on alone, whole.  A missing source is a host of
+its own.  Repeated rows count as often as they occur; ties don't matter.  Other columns are not looked at, whatever
+their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenclip.llm.common import documents, words_of
+from lumenclip.llm.common import documents, materialize, words_of
 
 COUNTS = "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, np.int64)
@@ -79,7 +82,7 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
+def host_verdicts(judged: DataFrame, times: float = 2.0, sure: float = 2.33) -> DataFrame:
     """source, host_rows, host_failed_rows, host_rate (shrunk), host_failed.  ``judged`` has source and base_failed.
 
     The prior's mean and strength come from the hosts' rates by moments; with no spread beyond chance the strength
@@ -98,12 +101,13 @@ def host_verdicts(judged: DataFrame, max_rate: float = 0.5) -> DataFrame:
     prior = prior.select("mean", F.least(strength, F.lit(10_000.0)).alias("strength"))
     # The prior is one row by construction (an ungrouped aggregate), so its broadcast has a proven size.
     shrunk = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", (F.col("mean") * F.col("strength") + F.col("host_failed_rows")) / (F.col("strength") + F.col("host_rows")))
-    return shrunk.select("source", "host_rows", "host_failed_rows", "host_rate", (F.col("host_rate") > max_rate).alias("host_failed"))
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("strength") + F.col("host_rows") + 1))
+    return shrunk.select("source", "host_rows", "host_failed_rows", "host_rate", (F.col("host_rate") - sure * deviation > times * F.col("mean")).alias("host_failed"))
 
 
-def quality_rules(docs: DataFrame, max_rate: float = 0.5, host: str = "source") -> DataFrame:
-    judged = text_counts(docs, host).withColumn("base_failed", base_failed())
-    verdicts = host_verdicts(judged, max_rate)
+def quality_rules(docs: DataFrame, times: float = 2.0, sure: float = 2.33, host: str = "source") -> DataFrame:
+    judged = materialize(text_counts(docs, host).withColumn("base_failed", base_failed()))
+    verdicts = host_verdicts(judged, times, sure)
     v = verdicts.select(F.col("source").alias("host"), "host_rows", F.round("host_rate", 6).alias("host_rate"), "host_failed")
     joined = judged.join(v, judged["source"].eqNullSafe(v["host"]), "left").drop("host")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False)))
@@ -129,8 +133,9 @@ j AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_fa
 h AS (SELECT source, count(*)::BIGINT AS host_rows, sum(base_failed::INT)::BIGINT AS f FROM j GROUP BY source),
 p AS (SELECT sum(f) / sum(host_rows) AS m, coalesce(var_samp(f / host_rows), 0) AS s, avg(1 / host_rows) AS q FROM h),
 s AS (SELECT m, CASE WHEN m * (1 - m) > 0 THEN least(greatest(1.0::DOUBLE, m * (1 - m) / greatest(s - m * (1 - m) * q, m * (1 - m) / 10001) - 1), 10000.0::DOUBLE) ELSE 1.0 END AS k FROM p),
-v AS (SELECT source, host_rows, (m * k + f) / (k + host_rows) AS host_rate FROM h, s)
+u AS (SELECT source, host_rows, m, k, (m * k + f) / (k + host_rows) AS host_rate FROM h, s),
+v AS (SELECT source, host_rows, host_rate, host_rate - 2.33 * sqrt(host_rate * (1 - host_rate) / (k + host_rows + 1)) > 2 * m AS host_failed FROM u)
 SELECT j.doc_id, j.source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, v.host_rows,
-  round(host_rate, 6) AS host_rate, host_rate > 0.5 AS host_failed, NOT base_failed AND NOT host_rate > 0.5 AS kept
+  round(host_rate, 6) AS host_rate, host_failed, NOT base_failed AND NOT host_failed AS kept
 FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source
 """
