@@ -28,7 +28,7 @@ from lumenclip.llm.common import documents
 from lumenclip.llm.tokens import ENTRY_BYTES, KEPT_PIECE, TextEncoder, text_steps
 
 #: Bytes of pre-tokens and their ids that a worker keeps; long pre-tokens aren't kept.
-KEPT_BYTES = 200 << 20
+KEPT_BYTES = 128 << 20
 _BIT = [1 << i for i in range(64)]
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -203,9 +203,11 @@ def may_be_among(df: DataFrame, key, wanted: DataFrame) -> tuple[DataFrame, Data
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     bits = wanted.select(F.pmod(F.xxhash64(wanted.columns[0]), F.lit(FILTER_BITS)).alias("p"))
     bits = bits.groupBy(F.shiftright("p", 15).alias("bucket")).agg(F.expr("bitmap_construct_agg(p & 32767)").alias("bitmap"))
+    # As longs, most significant byte first, which a bit is quickly read from.
+    words = F.expr("transform(sequence(0, 511), i -> cast(conv(hex(substring(bitmap, i * 8 + 1, 8)), 16, -10) AS bigint))")
+    words = materialize(materialize(bits).select("bucket", words.alias("words")))
     # The caller's columns stay in a struct of their own, so that none can clash.
-    marked = df.select(F.struct("*").alias("row"), F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32767).alias("bit"))
-    marked = marked.join(F.broadcast(materialize(bits)), "bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    here = F.coalesce(F.expr("1 << cast(bit % 8 as int)").bitwiseAND(byte) != 0, F.lit(False))
+    marked = df.select(F.struct("*").alias("row"), F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32767).cast("int").alias("bit"))
+    marked = marked.join(F.broadcast(words), "bucket", "left")
+    here = F.coalesce(F.expr("bit_get(words[bit div 64], (7 - bit div 8 % 8) * 8 + bit % 8)") == 1, F.lit(False))
     return marked.where(here).select("row.*"), marked.where(~here).select("row.*")

@@ -1,11 +1,13 @@
 """N-gram Jaccard join (10): universe-partition pigeonhole over distinct word shingles, exactly verified.
 
 1. Documents with equal sets are one class; a class goes on as its least doc_id.
-2. Sizes fall into bands.  In a band, sets that link differ by at most H tokens, so when hashing deals the universe
-   into m segments of which k also count with one difference (m + k = H + 1), some segment agrees: exactly, or, for
-   the k, up to one token.  Each set emits a key for each segment and, for the k, for each segment without one token
-   (the one-deletion neighbourhood).  ``allocate`` chooses m and k for each band by the expected cost: keys to shuffle
-   against chance meetings, which grow with the number of documents.
+2. Sizes fall into bands.  Sets that link differ by at most H tokens.  Hashing deals the universe into m segments; of
+   these, k also count with one difference, so each of them takes two differences to spoil and any other one.  Then
+   segments of a weight of m + k - H agree at least: exactly, or, for the k, up to one token.  Each of the k gives a key
+   and one for each of its tokens left out (the one-deletion neighbourhood).  Of the others, those that are empty agree
+   with all and sundry; where more must agree than are empty in a set, it gives keys for the filled ones alone, in
+   order, and for so many fewer that one that agrees is still among them: H - 2 k + 1.  ``allocate`` chooses m and k for
+   each band by the expected cost: keys to shuffle against meetings of sets that aren't alike.
 3. A key that two classes share gives their pair, which is verified on the whole sets.
 4. A key that more than FEW share (near copies by the thousand, or a common passage) must not give all pairs.  The
    classes of such keys meet by the rarest tokens of their sets instead: so many that two that link share one of them.
@@ -29,7 +31,7 @@ Tokens are 64-bit hashes of shingles: two different shingles of a pair agree wit
 
 
 from collections.abc import Iterator
-from math import ceil, exp, floor
+from math import ceil, erfc, exp, floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ from lumenclip.llm.common import discard, documents, materialize, may_be_among,
 from lumenclip.llm.components import connected_components
 
 #: Ratio of a band's sizes.
-BAND = 1.4
+BAND = 2.0
+#: How much of a set a passage that others have is taken to be, in the cost of keys.
+PASSAGE = 0.3
 #: Classes of a cluster from which what most of it have is told: any choice gives the same links, a good one sooner.
 SAMPLE = 24
 #: A key that more classes share goes by step 4, a token by step 5.
@@ -72,6 +76,7 @@ class Bands:
         # Sizes below this link only as equal sets.
         self.least = ceil(threshold / (1 - threshold) - 1e-9)
         self.threshold, self.documents = threshold, documents
+        self.ratio = (1 - threshold) / (1 + threshold)
         self.lower, self.plan = [self.least], []
 
     def band(self, size: int) -> int:
@@ -83,19 +88,22 @@ class Bands:
     def allocate(self, least: int, beyond: int) -> tuple[int, int]:
         """The cheapest m and k for sizes from ``least`` up to ``beyond`` - 1.
 
-        A set costs its keys, and the chance meetings of its segments: two of s tokens in m segments are both empty
-        or otherwise alike by chance at about exp(-2 s / m) for each of the m.
+        A set costs its keys and the meetings of sets that aren't alike: by segments that are empty in both, where
+        those have keys, and by segments that hold nothing but a passage that one in a thousand sets has, too.
         """
-        r = (1 - self.threshold) / (1 + self.threshold)
-        most = floor(2 * (beyond - 1) * r + 1e-9)
-        best = None
-        for k in range((most + 1) // 2 + 1):
-            m = most + 1 - k
-            if k > m:
-                break
-            cost = m + k * (1 + least / m) + self.documents * m * exp(-2 * least / m)
-            if best is None or cost < best[0]:
-                best = cost, m, k
+        most, best = floor(2 * (beyond - 1) * self.ratio + 1e-9), None
+        for k in range(0, most // 2 + 1, max(1, most // 40)):
+            for more in (1, 1.1, 1.25, 1.5, 2):
+                m = max(ceil((most + 1 - k) * more), 2 * k)
+                tokens = least / m
+                exact, near = max(most - 2 * k + 1, 0), k * (1 + tokens)
+                empty = (m - k) * exp(-tokens)
+                short = 0.5 * erfc((m + k - most - 1 - empty) / sqrt(2 * empty + 1e-9))
+                by_empty = self.documents * exp(-2 * tokens) * (short * (m - k) + near)
+                by_passage = self.documents / 1000 * (exact * PASSAGE**tokens + near * PASSAGE ** max(tokens - 1, 0))
+                cost = exact + near + by_empty + by_passage
+                if best is None or cost < best[0]:
+                    best = cost, m, k
         return best[1], best[2]
 
     def of(self, size: int) -> list[int]:
@@ -108,9 +116,11 @@ class Bands:
         return [own, own + 1] if size >= self.threshold * beyond - 1e-9 else [own]
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        out = []
-        for band in self.of(len(tokens)):
+        out, n = [], len(tokens)
+        for band in self.of(n):
             m, k = self.plan[band]
+            largest = min(self.lower[band + 1] - 1, floor(n / self.threshold + 1e-9))
+            apart = floor((n + largest) * self.ratio + 1e-9)
             salt = mix(np.array([band + 1], np.uint64) * _MULT)[0]
             mixed = mix(tokens ^ salt)
             segment = (mixed % np.uint64(m)).astype(np.int64)
@@ -118,8 +128,15 @@ class Bands:
             total = np.zeros(m, np.uint64)
             np.add.at(total, segment, value)
             place = mix(np.arange(m, dtype=np.uint64) * _MULT + salt)
-            out.append(mix(total ^ place))
+            exact = mix(total[k:] ^ place[k:])
+            filled = np.bincount(segment, minlength=m)[k:] > 0
+            shared = m + k - apart - int((~filled).sum())  # exact segments, not empty, that any partner shares at least
+            if shared > 0:
+                exact = exact[filled]
+                exact = exact[: len(exact) - shared + 1]
+            out.append(exact)
             if k:
+                out.append(mix(total[:k] ^ place[:k]))
                 near = segment < k
                 out.append(mix((total[segment[near]] - value[near]) ^ place[segment[near]]))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
@@ -265,14 +282,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     """Per document: doc_id, n_shingles, component_id."""
     signed = materialize(signatures(docs, k, percent / 100, docs.count()))
     some = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
-    shared = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    members = materialize(keyed.join(shared, "key"))
+    classes = materialize(some.select("h1", "h2", "n", "doc_id").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
+    # Classes go on as their least rows; few rows are anything else, so only those that may be need a join.
+    rows = some.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"])
+    twice = some.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    other = materialize(rows.where("doc_id <> rep").select("doc_id").union(twice).distinct())
+    unsure, sure = may_be_among(some.select("doc_id", "n", "h1", "h2", "keys"), F.col("doc_id"), other)
+    unsure = unsure.join(classes, ["h1", "h2", "n"]).where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "n", "keys")
+    least = sure.select("doc_id", "n", "keys").unionByName(unsure)
+    keyed = least.select(F.col("doc_id").alias("rep"), "n", F.explode("keys").alias("key"))
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
+    again, _ = may_be_among(keyed, F.col("key"), shared.select("key"))
+    members = materialize(again.join(shared, "key"))
     pairs = materialize(_few_pairs(members, ["key"], percent))
     crowd = materialize(members.where(F.col("many") > FEW).select("rep").distinct())
     texts = materialize(_texts_for(docs, materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowd).distinct())))
-    discard(members)
+    discard(members, shared, other)
 
     sets = materialize(_token_sets(texts.join(crowd, "rep", "left_semi"), k))
     need = F.ceil(F.col("n") * percent / 100 - 1e-9).cast("long")

@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 from lumenclip.llm.common import quiet_threads
 
 #: Bytes of chunks and ids that a worker keeps, and the longest piece that is worth keeping.
-CACHE_BYTES, KEPT_PIECE = 192 << 20, 64
+CACHE_BYTES, KEPT_PIECE = 128 << 20, 64
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 #: What a dictionary entry takes besides its text and ids.
 ENTRY_BYTES = 200
 #: How byte-level vocabularies write each byte: printable ones as themselves, the others from U+0100 on, in order.
@@ -207,7 +207,7 @@ class LibraryPieces:
         return ids + (have.get(mark) or self.piece(mark)) if mark else ids
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        if len(self.pieces) * ENTRY_BYTES > CACHE_BYTES // 4:
+        if len(self.pieces) * ENTRY_BYTES > CACHE_BYTES // 8:
             self.pieces = {}
         quick = {c: ids for c in chunks if (c[:1] == " " or not self.keeps_space) and (ids := self.word(c)) is not None}
         rest = [c for c in chunks if c not in quick]
