@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenclip.functions.vectors import doubles, mlp_score
+from lumenclip.operators.ranking import positions
 
 DETECTOR = "name string, media_type string, w1 array<array<double>>, b1 array<double>, w2 array<double>, b2 double, threshold double"
 
@@ -43,6 +44,16 @@ def boxes_above(detections: Column, wanted: str, threshold: float) -> Column:
     return F.array_sort(shown, lambda a, b: (b["confidence"] > a["confidence"]).cast("int") - (b["confidence"] < a["confidence"]).cast("int"))
 
 
+def result_rows(scores: DataFrame, clips: DataFrame) -> DataFrame:
+    """What results are written from, a row for each hit: detector, threshold, media_type, id, md5, filename, category,
+    score (rounded), origin, origin_name, and pos, the hit's place in its detector: best rounded score first, then id."""
+    found = scores.where(F.col("score") >= F.col("threshold")).select(F.col("name").alias("detector"), "threshold", "id", F.round("score", 4).alias("score"))
+    placed = positions(found, partition="detector")
+    return placed.join(clips.select("id", "media_type", "md5", "filename", "category", "origin", "origin_name"), "id").select(
+        "detector", "threshold", "media_type", "id", "md5", "filename", "category", "score", "origin", "origin_name", "pos"
+    )
+
+
 def results_json(hit_rows: DataFrame) -> DataFrame:
     """A JSON object for each detector: its name, how many hits, and the hits best first."""
     entry = F.struct((-F.col("score")).alias("_o"), "id", "score")

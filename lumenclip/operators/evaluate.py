@@ -82,6 +82,28 @@ def labeling_status(counts: DataFrame, steps: DataFrame) -> DataFrame:
     return both.select("good", "bad", status.alias("status"), F.round("slope", 4).alias("slope"))
 
 
+def with_default_score(wanted: DataFrame, scored: DataFrame) -> DataFrame:
+    """id, score of the wanted ids; 0 where there is none."""
+    return wanted.select("id").join(scored.select("id", "score"), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def stability_by_step(predictions: DataFrame, labelled: DataFrame) -> DataFrame:
+    """step, num_labels, num_flips, num_unlabeled from predictions (step, id, predicted) and labels (id, step: since when)."""
+    by = labelled.select("id", F.col("step").alias("since"))
+    p = predictions.join(by, "id", "left")
+    has = F.coalesce(F.col("since") <= F.col("step"), F.lit(False))
+    counts = p.groupBy("step").agg(F.count_if(has).alias("num_labels"), F.count_if(~has).alias("num_unlabeled"))
+    free = p.where(~has).select("step", "id", "predicted")
+    return counts.join(prediction_flips(free).select("step", F.col("flips").alias("num_flips")), "step", "left").select("step", "num_labels", F.coalesce("num_flips", F.lit(0)).alias("num_flips"), "num_unlabeled")
+
+
+def progress_by_step(predictions: DataFrame, labels: DataFrame, inclusion: int = 0) -> DataFrame:
+    """step, error_cost (against the labels as they are now), num_labels, num_flips, num_unlabeled."""
+    judged = predictions.join(labels.select("id", F.col("good").alias("actual")), "id")
+    cost = error_cost(judged, ["step"], inclusion, 4).select("step", F.col("cost").alias("error_cost"))
+    return stability_by_step(predictions, labels).join(cost, "step", "left").select("step", "error_cost", "num_labels", "num_flips", "num_unlabeled")
+
+
 def prediction_flips(predictions: DataFrame) -> DataFrame:
     """step, flips: clips whose prediction differs from the step before it, and clips that both have."""
     before = F.lag(F.struct("step", "predicted")).over(Window.partitionBy("id").orderBy("step"))
@@ -90,3 +112,15 @@ def prediction_flips(predictions: DataFrame) -> DataFrame:
     p = predictions.withColumn("b", before).join(prior, "step")
     both = F.col("b.step") == F.col("prior")
     return p.groupBy("step").agg(F.count_if(both & (F.col("b.predicted") != F.col("predicted"))).alias("flips"), F.count_if(both).alias("common"))
+
+
+def stopping_advice(progress: DataFrame) -> DataFrame:
+    """One row: advice (keep, stop, consider, stable) from the last steps (step, error_cost, num_flips): three at least,
+    or the last three tenths.  Steps are one row for each trained model, so the tail is small next to any table."""
+    n = progress.agg(F.count("*").alias("n"))
+    tail = progress.crossJoin(F.broadcast(n)).withColumn("back", F.row_number().over(Window.orderBy(F.desc("step"))))
+    tail = tail.where(F.col("back") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.3)))
+    t = tail.agg(F.first("n").alias("n"), (F.max("error_cost") - F.min("error_cost")).alias("range"), F.avg("error_cost").alias("mean"), F.avg("num_flips").alias("flips"))
+    spread = F.col("range") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
+    advice = F.when(F.coalesce("n", F.lit(0)) < 5, "keep").when((spread < 0.1) & (F.col("flips") < 5), "stop").when(spread < 0.15, "consider").when(F.col("flips") < 3, "stable").otherwise("keep")
+    return t.select(advice.alias("advice"))

@@ -43,6 +43,48 @@ def labelset(votes: DataFrame, clips: DataFrame) -> DataFrame:
     return clips.join(votes, "id").select("id", "label", "md5", "filename", "category")
 
 
+def labelset_from_results(hits: DataFrame, clips: DataFrame) -> DataFrame:
+    """A good label for each hit of each detector; an origin that a hit lacks is its clip's."""
+    own = clips.select("id", F.col("origin").alias("_origin"), F.coalesce("origin_name", "filename").alias("_name"))
+    lacks = F.col("origin").isNull()
+    name = F.when(lacks, F.coalesce(F.when(F.col("origin_name") != "", F.col("origin_name")), "_name")).otherwise(F.col("origin_name"))
+    return hits.join(own, "id", "left").select("detector", "id", F.lit("good").alias("label"), F.coalesce("md5", F.lit("")).alias("md5"), F.coalesce("origin", "_origin").alias("origin"), name.alias("origin_name"), "filename", "category")
+
+
+def concatenated(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Both datasets' clips, the new ones with ids behind the existing ones (their own order by id kept)."""
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    least = new.agg(F.min("id").alias("_least"))
+    moved = new.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(least)).withColumn("id", F.col("id") - F.col("_least") + F.col("_last") + 1)
+    return existing.unionByName(moved.select(existing.columns))
+
+
+def upserted(registry: DataFrame, entries: DataFrame, key: str = "name") -> DataFrame:
+    """A registry with entries put in, in place of those of the same name."""
+    return registry.join(entries, key, "left_anti").select(registry.columns).unionByName(entries.select(registry.columns))
+
+
+def renamed(registry: DataFrame, old: str, new: str, key: str = "name") -> DataFrame:
+    """A registry with one entry renamed; as it is if there is none of the old name or one of the new."""
+    state = registry.agg(F.count_if(F.col(key) == old).alias("_old"), F.count_if(F.col(key) == new).alias("_new"))
+    may = (F.col("_old") > 0) & (F.col("_new") == 0) & (F.col(key) == old)
+    return registry.crossJoin(F.broadcast(state)).withColumn(key, F.when(may, F.lit(new)).otherwise(F.col(key))).select(registry.columns)
+
+
+def vote_sequence(clips: DataFrame, target: str, seed: int) -> DataFrame:
+    """t, id, label: every clip voted by its category, in an order by chance (a hash's).
+
+    The hash's first three digits deal clips into parts, whose sizes are summed up; places are told within a part.
+    """
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(target), F.col("id").cast("string")))
+    dealt = clips.select("id", F.when(F.col("category") == target, "good").otherwise("bad").alias("label"), h.alias("h"))
+    dealt = dealt.withColumn("part", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))  # 4,096 rows at most
+    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("h", "id"))
+    return dealt.join(F.broadcast(ahead), "part").select((F.col("ahead") + place).alias("t"), "id", "label")
+
+
 def cherry_pick(source: DataFrame, names: DataFrame, hashes: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of ``source`` whose name or md5 is wanted, with new ids behind the existing ones."""
     wanted = source.join(names, "filename", "left_semi").select(source.columns).union(source.join(hashes, "md5", "left_semi").select(source.columns)).distinct()

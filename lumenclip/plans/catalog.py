@@ -275,3 +275,126 @@ def _(spark, d):
     clips = m.text_clips(spark, d)
     source = clips.where("category = 'en'")
     return labels.cherry_pick(source.select("id", "filename", "md5"), source.where("filename LIKE '%7.txt'").select("filename"), clips.where("source = 'src3'").select("md5"), clips).select("id", "new_id")
+
+
+# --------------------------------------------------------------------------------- results, lookups, registries, steps
+_HITS = f"{_MLP}, g AS (SELECT s.name AS detector, threshold, id, round(score, 4) AS score FROM s WHERE score >= threshold), r AS (SELECT g.*, 'vector' AS media_type, md5('v' || id) AS md5, 'v' || id || '.npy' AS filename, 'cat_' || label AS category, CASE WHEN id % 3 = 0 THEN NULL ELSE 'folder(' || label || ')' END AS origin, CASE WHEN id % 3 = 0 THEN '' ELSE 'v' || id END AS origin_name, row_number() OVER (PARTITION BY detector ORDER BY g.score DESC, id) AS pos FROM g JOIN embeddings ON vec_id = id)"
+
+
+def _with_origin(spark, d):
+    some = F.col("id") % 3 != 0
+    name = F.concat(F.lit("v"), F.col("id"))
+    return m.vec_clips(spark, d).select("id", "media_type", F.md5(name).alias("md5"), F.concat(name, F.lit(".npy")).alias("filename"), "category", F.when(some, F.concat(F.lit("folder("), F.col("label"), F.lit(")"))).alias("origin"), F.when(some, name).otherwise("").alias("origin_name"))
+
+
+def _result_rows(spark, d):
+    return detect.result_rows(detect.detector_scores(m.vec_clips(spark, d), detect.synthetic_detectors(spark)), _with_origin(spark, d))
+
+
+@query("k3_result_rows", _HITS + " SELECT detector, threshold::DOUBLE AS threshold, media_type, id, md5, filename, category, score, origin, origin_name, pos FROM r")
+def _(spark, d):
+    return _result_rows(spark, d)
+
+
+@query("j7_labelset_from_results", _HITS + " SELECT detector, id, 'good' AS label, md5, coalesce(origin, 'clip(' || id || ')') AS origin, CASE WHEN origin IS NULL THEN 'c' || id ELSE origin_name END AS origin_name, filename, category FROM r")
+def _(spark, d):
+    clips = _with_origin(spark, d).withColumns({"origin": F.concat(F.lit("clip("), F.col("id"), F.lit(")")), "origin_name": F.concat(F.lit("c"), F.col("id"))})
+    return labels.labelset_from_results(_result_rows(spark, d), clips)
+
+
+@query("j13_test_scores", _SIM + ", t AS (SELECT doc_id AS id FROM labels) SELECT t.id, coalesce(round(score, 4), 0.0) AS score FROM t LEFT JOIN s ON t.id = s.id AND s.id % 2 = 0")
+def _(spark, d):
+    scored = ranking.similarity(m.vec_clips(spark, d).where("id % 2 = 0"), m.query_vec(spark, d)).select("id", F.round("score", 4).alias("score"))
+    return evaluate.with_default_score(m.votes(spark, d), scored)
+
+
+@query("j14_sorted_with_metadata", _SIM + f", c AS ({_TEXT}), r AS (SELECT id, row_number() OVER (ORDER BY round(score, 4) DESC, id) AS pos FROM s) SELECT pos, id, filename, category FROM r JOIN c USING (id)")
+def _(spark, d):
+    order = ranking.sort_by_similarity(m.vec_clips(spark, d), m.query_vec(spark, d)).select("id", "pos")
+    return order.join(m.text_clips(spark, d).select("id", "filename", "category"), "id").select("pos", "id", "filename", "category")
+
+
+@query("p2_light_hits", _HITS + " SELECT detector, id, filename, score FROM r")
+def _(spark, d):
+    return _result_rows(spark, d).join(m.vec_clips(spark, d).select("id", "embedding"), "id").drop("embedding").select("detector", "id", "filename", "score")
+
+
+@query("p3_clip_by_id", f"SELECT id, filename, category, md5 FROM ({_TEXT}) WHERE id = 7")
+def _(spark, d):
+    return m.text_clips(spark, d).where("id = 7").select("id", "filename", "category", "md5")
+
+
+@query("p11_volume", "SELECT event_id, greatest(0.0::DOUBLE, least(1.0::DOUBLE, value::DOUBLE / 100)) AS volume FROM events")
+def _(spark, d):
+    return m.table(spark, d, "events").select("event_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value").cast("double") / 100)).alias("volume"))
+
+
+@query("p12_dataset_status", "SELECT count(*) > 0 AS loaded, count(*) AS num_clips, (SELECT count(*) > 0 FROM labels) AS has_votes, 'paragraph' AS media_type FROM documents")
+def _(spark, d):
+    votes = m.votes(spark, d).agg((F.count("*") > 0).alias("has_votes"))
+    status = m.text_clips(spark, d).agg((F.count("*") > 0).alias("loaded"), F.count("*").alias("num_clips"))
+    return status.crossJoin(F.broadcast(votes)).select("loaded", "num_clips", "has_votes", F.lit("paragraph").alias("media_type"))
+
+
+@query("a21_categories", f"SELECT DISTINCT category FROM ({_TEXT})")
+def _(spark, d):
+    return m.text_clips(spark, d).select("category").distinct()
+
+
+@query("a23_entries_of_origin", f"SELECT origin_key, filename, md5, count(*) AS n FROM ({_TEXT}) WHERE origin_key IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    return m.text_clips(spark, d).where("origin_key IS NOT NULL").groupBy("origin_key", "filename", "md5").agg(F.count("*").alias("n"))
+
+
+@query("a24_duplicate_ids", f"SELECT md5, id FROM (SELECT *, count(*) OVER (PARTITION BY md5) AS n FROM ({_TEXT})) WHERE n > 1")
+def _(spark, d):
+    clips = m.text_clips(spark, d).select("md5", "id")
+    return clips.join(clips.groupBy("md5").agg(F.count("*").alias("n")).where("n > 1").select("md5"), "md5")
+
+
+@query("t8_votes_by_id", "SELECT id, label, row_number() OVER (ORDER BY id) AS pos FROM (SELECT doc_id AS id, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS label FROM labels)")
+def _(spark, d):
+    v = m.votes(spark, d).withColumn("score", -F.col("id"))
+    return ranking.positions(v).select("id", "label", "pos")
+
+
+@query("u5_registry", "SELECT p_brand AS name, max(p_size) AS size FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45) GROUP BY 1 UNION ALL SELECT p_brand, -max(p_size) FROM part WHERE p_size > 45 GROUP BY 1")
+def _(spark, d):
+    brand = m.table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_size").alias("size"))
+    return labels.upserted(brand.groupBy("name").agg(F.max("size").alias("size")), brand.where("size > 45").groupBy("name").agg((-F.max("size")).alias("size")))
+
+
+@query("u6_concatenated", f"WITH c AS (SELECT id, filename FROM ({_TEXT})), x AS (SELECT * FROM c WHERE id % 2 = 0), y AS (SELECT * FROM c WHERE id % 2 = 1) SELECT * FROM x UNION ALL SELECT id - (SELECT min(id) FROM y) + (SELECT max(id) FROM x) + 1, filename FROM y")
+def _(spark, d):
+    clips = m.text_clips(spark, d).select("id", "filename")
+    return labels.concatenated(clips.where("id % 2 = 0"), clips.where("id % 2 = 1"))
+
+
+@query("w9_vote_sequence", f"SELECT row_number() OVER (ORDER BY md5('3:en:' || id), id) AS t, id, CASE category WHEN 'en' THEN 'good' ELSE 'bad' END AS label FROM ({_TEXT})")
+def _(spark, d):
+    return labels.vote_sequence(m.text_clips(spark, d), "en", 3)
+
+
+_STEPS = "WITH p AS (SELECT l_linenumber::BIGINT AS step, l_orderkey AS id, max(l_quantity) > 25 AS p FROM lineitem GROUP BY ALL), l AS (SELECT o_orderkey AS id, o_orderkey % 9 AS step, o_totalprice > 150000 AS good FROM orders WHERE o_orderkey % 9 < 8), j AS (SELECT p.*, coalesce(l.step <= p.step, false) AS has, good FROM p LEFT JOIN l USING (id)), s AS (SELECT step, count(*) FILTER (has) AS num_labels, count(*) FILTER (NOT has) AS num_unlabeled FROM j GROUP BY step), f AS (SELECT a.step, count(*) AS num_flips FROM j a JOIN j b ON a.id = b.id AND b.step = a.step - 1 AND NOT a.has AND NOT b.has AND a.p <> b.p GROUP BY a.step)"
+
+
+def _steps(spark, d):
+    """Predictions by step (here: an order's lines stand for the models of a vote log) and labels with their steps."""
+    p = m.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("step")).agg((F.max("l_quantity") > 25).alias("predicted"))
+    return p, m.table(spark, d, "orders").where("o_orderkey % 9 < 8").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 9).alias("step"), (F.col("o_totalprice") > 150000).alias("good"))
+
+
+@query("a16_stability_by_step", _STEPS + " SELECT step, num_labels, coalesce(num_flips, 0) AS num_flips, num_unlabeled FROM s LEFT JOIN f USING (step)")
+def _(spark, d):
+    return evaluate.stability_by_step(*_steps(spark, d))
+
+
+@query("a18_progress_by_step", _STEPS + ", e AS (SELECT step, round(coalesce(count(*) FILTER (p AND NOT good) / nullif(count(*) FILTER (NOT good), 0), 0) + coalesce(count(*) FILTER (NOT p AND good) / nullif(count(*) FILTER (good), 0), 0), 4) AS error_cost FROM j WHERE good IS NOT NULL GROUP BY step) SELECT step, error_cost, num_labels, coalesce(num_flips, 0) AS num_flips, num_unlabeled FROM s LEFT JOIN f USING (step) LEFT JOIN e USING (step)")
+def _(spark, d):
+    return evaluate.progress_by_step(*_steps(spark, d))
+
+
+@query("a19_stopping_advice", "WITH p AS (SELECT l_linenumber AS step, round(avg(l_discount), 4) AS e, count(*) % 7 AS f FROM lineitem GROUP BY 1), n AS (SELECT count(*) AS n FROM p), t AS (SELECT * FROM p, n QUALIFY row_number() OVER (ORDER BY step DESC) <= greatest(3, floor(n * 0.3))), a AS (SELECT any_value(n) AS n, (max(e) - min(e)) / CASE avg(e) WHEN 0 THEN 1 ELSE avg(e) END AS s, avg(f) AS f FROM t) SELECT CASE WHEN coalesce(n, 0) < 5 THEN 'keep' WHEN s < 0.1 AND f < 5 THEN 'stop' WHEN s < 0.15 THEN 'consider' WHEN f < 3 THEN 'stable' ELSE 'keep' END AS advice FROM a")
+def _(spark, d):
+    steps = m.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(F.round(F.avg("l_discount"), 4).alias("error_cost"), (F.count("*") % 7).alias("num_flips"))
+    return evaluate.stopping_advice(steps)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenclip.operators.detect import results_json
 
+# The columns of a results file, in order.
 RESULT_COLUMNS = ["detector", "threshold", "filename", "category", "score", "origin", "origin_name"]
 
 
@@ -21,6 +22,7 @@ def write_results_json(hits: DataFrame, path: str) -> None:
 
 
 def write_results_csv(hits: DataFrame, path: str) -> None:
+    """``hits`` are rows of ``detect.result_rows``."""
     hits.select(RESULT_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
 
 
