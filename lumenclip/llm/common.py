@@ -174,7 +174,13 @@ def steps(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         a = b
 
 
+#: What empties the caches that this worker process holds.
+held_caches: list = []
+
+
 def words_of(column: pa.Array, lower: bool, separators: np.ndarray = SPACE_SEPARATORS) -> Iterator[tuple[int, int, Words]]:
+    while held_caches:  # of tokenizers: a worker that goes on to other work gives them back
+        held_caches.pop()()
     for a, b, data, offsets in steps(column):
         yield a, b, Words(data, offsets, separators, lower)
 

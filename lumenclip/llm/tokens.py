@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumenclip.llm.common import quiet_threads
+from lumenclip.llm.common import held_caches, quiet_threads
 
 #: Bytes of chunks and ids that a worker keeps, and the longest piece that is worth keeping.
 CACHE_BYTES, KEPT_PIECE = 128 << 20, 64
@@ -60,6 +60,8 @@ class Pool:
         return np.array(out, np.int64)
 
     def _add(self, chunks: list[str]) -> None:
+        if not self.number:
+            held_caches.append(self.clear)
         raw = self.encode(chunks)
         n, first = len(chunks), len(self.number)
         new = np.frombuffer(b"".join(raw), "<u2")
