@@ -11,7 +11,8 @@
 3. A key that two classes share gives their pair, which is verified on the whole sets.
 4. A key that more than FEW share (near copies by the thousand, or a common passage) must not give all pairs.  The
    classes of such keys meet by the rarest tokens of their sets instead: so many that two that link share one of them.
-   Where few share such a token they are pairs as in step 3.
+   Where few share such a token they are pairs as in step 3.  How rare a token is, is told by a table of fixed size that
+   counts all tokens of these classes: any order that is the same for all serves, so only the chosen tokens are shuffled.
 5. Classes that share a crowded token form clusters, and each is written as its difference D from what most of its
    cluster have.  With weight w = size - 19 * |D|, x and y link (at 0.9) exactly if w_x + w_y + 38 * |D_x & D_y| >= 0.  So
    all with w_x + w_c >= 0 link with the centre c (the largest w), and any other class can only link where it shares
@@ -49,6 +50,11 @@ PASSAGE = 0.3
 SAMPLE = 24
 #: A key that more classes share goes by step 4, a token by step 5.
 FEW = 4
+#: Buckets (2**ORDER_BITS, in SLICES parts) of the table that orders tokens by how many sets have them, in step 4.
+ORDER_BITS, SLICES = 20, 16
+#: Groups that the tasks' tables of a part are added up in, before these are.
+SUMS = 1024
+_ORDER = np.uint64((1 << ORDER_BITS) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,9 +172,9 @@ def signatures(docs: DataFrame, k: int, threshold: float, rows: int) -> DataFram
 
 
 def _texts_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, text for each wanted doc_id (a column named rep)."""
-    texts, _ = may_be_among(docs.select("doc_id", "text"), F.col("doc_id"), wanted)
-    return texts.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    """rep, crowded, text for each row of ``wanted`` (rep: a doc_id, crowded)."""
+    texts, _ = may_be_among(docs.select("doc_id", "text"), F.col("doc_id"), wanted.select("rep"))
+    return texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "crowded", "text").dropDuplicates(["rep"])
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -196,15 +202,72 @@ def _few_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _token_sets(texts: DataFrame, k: int) -> DataFrame:
-    """rep, n, d: each text's distinct shingle hashes."""
+def _token_sets(rows: DataFrame, k: int) -> DataFrame:
+    """cluster, d: the distinct shingle hashes of each row's text."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(sets_of(_column(batch, "text"), k))
-            yield pa.RecordBatch.from_arrays([_column(batch, "rep"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "n", "d"])
+            d = [x.view(np.int64) for x in sets_of(_column(batch, "text"), k)]
+            yield pa.RecordBatch.from_arrays([_column(batch, "cluster"), pa.array(d, pa.list_(pa.int64()))], names=["cluster", "d"])
 
-    return texts.mapInArrow(hashed, "rep long, n int, d array<long>")
+    return rows.select("cluster", "text").mapInArrow(hashed, "cluster long, d array<long>")
+
+
+def _token_counts(texts: DataFrame, k: int) -> np.ndarray:
+    """For each bucket of tokens, how many it has in all texts.
+
+    A task adds up its own; tables of tasks are added in groups of a bounded size, part by part.
+    """
+    part = (1 << ORDER_BITS) // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, salt = np.zeros(1 << ORDER_BITS, np.int64), 0
+        for batch in batches:
+            if len(batch):
+                salt = _column(batch, "salt")[0].as_py()
+            for s in sets_of(_column(batch, "text"), k):
+                at, n = np.unique(s & _ORDER, return_counts=True)
+                total[at.astype(np.int64)] += n
+        if total.any():
+            counts = pa.array([total[i * part : (i + 1) * part].tobytes() for i in range(SLICES)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), counts], names=["slice", "salt", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(part, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+        return pa.table({"slice": table.column("slice")[:1], "salt": table.column("salt")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, salt int, counts binary"
+    salted = texts.select("text", (F.spark_partition_id() % SUMS).alias("salt"))
+    sums = salted.mapInArrow(count, schema).groupBy("slice", "salt").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema).toArrow()
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    for i, x in zip(sums.column("slice").to_pylist(), sums.column("counts"), strict=True):
+        out[i * part : (i + 1) * part] = np.frombuffer(x.as_buffer(), np.int64)
+    return out
+
+
+def _rare_tokens(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """rep, n, token, many: the rarest of each text's tokens, so many that any two texts that link share one of them,
+    where more than one text has it; ``many`` of them do."""
+    counts = texts.sparkSession.sparkContext.broadcast(_token_counts(texts, k))
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, kept = [], [np.zeros(0, np.uint64)]
+            for s in sets_of(_column(batch, "text"), k):
+                order = np.lexsort((s, counts.value[(s & _ORDER).astype(np.int64)]))
+                n.append(len(s))
+                kept.append(s[order[: len(s) + 1 + -len(s) * percent // 100]])
+            times = [len(x) for x in kept[1:]]
+            rep = np.repeat(_column(batch, "rep").to_numpy(zero_copy_only=False).astype(np.int64), times)
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.repeat(np.array(n, np.int32), times)), _signed(np.concatenate(kept))], names=["rep", "n", "token"])
+
+    token = materialize(texts.select("rep", "text").mapInArrow(rare, "rep long, n int, token long"))
+    many = token.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    members = materialize(token.join(many, "token"))
+    discard(token)
+    return members
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
@@ -228,7 +291,7 @@ def _clusters(members: DataFrame) -> DataFrame:
     return materialize(clusters.unionByName(clusters.select(F.col("cluster").alias("rep"), "cluster").distinct()))
 
 
-def _differences(clusters: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def _differences(clusters: DataFrame, members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """cluster, rep, n, d: each class's difference from what most of a sample of its cluster have.
 
     The sample is of those with the cluster's most crowded token.  A token of d that is left out is told from one that
@@ -241,22 +304,25 @@ def _differences(clusters: DataFrame, members: DataFrame, sets: DataFrame) -> Da
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = [np.setxor1d(own.values.to_numpy(zero_copy_only=False), common.values.to_numpy(zero_copy_only=False), assume_unique=True) for own, common in zip(_column(batch, "d"), _column(batch, "common"), strict=True)]
-            yield pa.RecordBatch.from_arrays([_column(batch, "cluster"), _column(batch, "rep"), _column(batch, "n"), pa.array(d, pa.list_(pa.int64()))], names=["cluster", "rep", "n", "d"])
+            n, d = [], []
+            for own, common in zip(sets_of(_column(batch, "text"), k), _column(batch, "common"), strict=True):
+                n.append(len(own))
+                d.append(np.setxor1d(own.view(np.int64), common.values.to_numpy(zero_copy_only=False), assume_unique=True))
+            yield pa.RecordBatch.from_arrays([_column(batch, "cluster"), _column(batch, "rep"), pa.array(n, pa.int32()), pa.array(d, pa.list_(pa.int64()))], names=["cluster", "rep", "n", "d"])
 
     crowded = members.where(F.col("many") > FEW).select("token", "rep", "many").join(clusters, "rep")
     top = crowded.groupBy("cluster").agg(F.max(F.struct("many", "token")).alias("t")).select("cluster", F.col("t.token").alias("token"))
     by_chance = Window.partitionBy("cluster").orderBy(F.xxhash64("rep"), "rep")
     sample = crowded.join(top, ["cluster", "token"]).withColumn("i", F.row_number().over(by_chance)).where(F.col("i") <= SAMPLE).select("rep", "cluster")
-    common = sample.join(sets, "rep").select("cluster", "d").groupBy("cluster").applyInArrow(most, "cluster long, common array<long>")
-    return clusters.join(sets, "rep").join(materialize(common), "cluster").select("cluster", "rep", "n", "d", "common").mapInArrow(differ, "cluster long, rep long, n int, d array<long>")
+    common = _token_sets(sample.join(texts, "rep"), k).groupBy("cluster").applyInArrow(most, "cluster long, common array<long>")
+    return clusters.join(texts, "rep").join(materialize(common), "cluster").select("cluster", "rep", "text", "common").mapInArrow(differ, "cluster long, rep long, n int, d array<long>")
 
 
-def _cluster_links(clusters: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _cluster_links(clusters: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links a, b that join the same components as all links within the clusters."""
     # In hundredths of a token: 100 * I >= p * U, with I = (S - D) / 2 and U = (S + D) / 2, is (100 - p) S >= (100 + p) D.
     less, more = 100 - percent, 100 + percent
-    differ = materialize(_differences(clusters, members, sets).withColumn("w", less * F.col("n") - more * F.size("d")))
+    differ = materialize(_differences(clusters, members, texts, k).withColumn("w", less * F.col("n") - more * F.size("d")))
     narrow = differ.select("cluster", "rep", "n", "w", F.size("d").alias("nd"))
     centre = narrow.groupBy("cluster").agg(F.max(F.struct("w", (-F.col("rep")).alias("r"))).alias("c")).select("cluster", F.col("c.w").alias("cw"), (-F.col("c.r")).alias("centre"))
     placed = materialize(narrow.join(centre, "cluster").withColumn("active", (F.col("w") + F.col("cw") < 0) & (F.col("rep") != F.col("centre"))))
@@ -296,18 +362,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     members = materialize(again.join(shared, "key"))
     pairs = materialize(_few_pairs(members, ["key"], percent))
     crowd = materialize(members.where(F.col("many") > FEW).select("rep").distinct())
-    texts = materialize(_texts_for(docs, materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowd).distinct())))
-    discard(members, shared, other)
+    wanted = pairs.select(F.col("a").alias("rep"), F.lit(False).alias("crowded")).union(pairs.select("b", F.lit(False))).union(crowd.select("rep", F.lit(True)))
+    texts = materialize(_texts_for(docs, materialize(wanted.groupBy("rep").agg(F.max("crowded").alias("crowded")))))
+    discard(members, shared, other, crowd)
 
-    sets = materialize(_token_sets(texts.join(crowd, "rep", "left_semi"), k))
-    need = F.ceil(F.col("n") * percent / 100 - 1e-9).cast("long")
-    whole = sets.select(F.lit(0).cast("long").alias("cluster"), "rep", "n", F.lit(0).alias("w"), need.alias("need"), F.lit(True).alias("active"), "d")
-    tokens = materialize(_prefixes(whole).drop("cluster", "w", "active"))
+    crowded = texts.where("crowded").select("rep", "text")
+    tokens = _rare_tokens(crowded, k, percent)
     more = _few_pairs(tokens, ["token"], percent)
     clusters = _clusters(tokens)
     found = _few_links(pairs.unionByName(more).distinct(), texts, k, percent)
-    links = materialize(found.unionByName(_cluster_links(clusters, tokens, sets, percent)))
-    discard(pairs, crowd, texts, sets, tokens, clusters)
+    links = materialize(found.unionByName(_cluster_links(clusters, tokens, crowded, k, percent)))
+    discard(pairs, texts, tokens, clusters)
 
     components = connected_components(links)
     named = classes.select("h1", "h2", "n", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
