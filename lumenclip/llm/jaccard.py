@@ -271,15 +271,20 @@ def _rare_tokens(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame) -> DataFrame:
-    """Of each row (cluster, rep, n, w, need, active, d) the rarest of the tokens that it shares with others of its
-    cluster, so many that one of any ``need`` shared ones is among them: token, r (how many it shares), place."""
-    token = rows.select("cluster", "rep", "n", "w", "need", "active", F.explode("d").alias("token"))
-    shared = token.groupBy("cluster", "token").agg(F.count("*").alias("df"), F.count_if("active").alias("actives")).where("df > 1 AND actives > 0").select("cluster", "token", "df")
-    own = Window.partitionBy("cluster", "rep")
-    token = token.join(shared, ["cluster", "token"]).withColumn("r", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
-    token = materialize(token.where("r >= need AND place <= r - need + 1").drop("df", "need"))
-    many = token.groupBy("cluster", "token").agg(F.count("*").alias("many"), F.count_if("active").alias("actives")).where("many > 1 AND actives > 0").select("cluster", "token", "many")
-    return token.join(many, ["cluster", "token"])
+    """Of each row (cluster, rep, w, need, active, d) the rarest of the tokens that it shares with others of its
+    cluster, so many that one of any ``need`` shared ones is among them: token (hashed with its cluster), r (how many it
+    shares), place.  Only tokens that may be shared are shuffled with their rows, and alone."""
+    of = F.xxhash64("cluster", "token").alias("token")
+    token = rows.select("cluster", "rep", "active", F.explode("d").alias("token")).select("rep", "active", of)
+    shared = materialize(token.groupBy("token").agg(F.count("*").alias("df"), F.count_if("active").alias("actives")).where("df > 1 AND actives > 0").select("token", "df"))
+    some, _ = may_be_among(token.select("rep", "token"), F.col("token"), shared.select("token"))
+    own = Window.partitionBy("rep")
+    placed = some.join(shared, "token").withColumn("r", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("df", "token")))
+    placed = placed.join(rows.select("cluster", "rep", "w", "need", "active"), "rep")
+    token = materialize(placed.where("r >= need AND place <= r - need + 1").drop("df", "need"))
+    discard(shared)
+    many = token.groupBy("token").agg(F.count("*").alias("many"), F.count_if("active").alias("actives")).where("many > 1 AND actives > 0").select("token", "many")
+    return token.join(many, "token")
 
 
 def _clusters(members: DataFrame) -> DataFrame:
@@ -331,8 +336,8 @@ def _cluster_links(clusters: DataFrame, members: DataFrame, texts: DataFrame, k:
     # The others can only link where they share tokens of d with another, and the rest of the cluster only with them.
     far = placed.where("active").groupBy("cluster").agg(F.max("w").alias("aw"))
     best = F.when(F.col("active"), F.col("cw")).otherwise(F.col("aw"))
-    rows = placed.join(far, "cluster").withColumn("need", F.ceil(-(F.col("w") + best) / (2 * more))).where("nd >= need").select("cluster", "rep", "n", "w", "need", "active")
-    token = materialize(_prefixes(rows.join(differ.select("cluster", "rep", "d"), ["cluster", "rep"])))
+    rows = placed.join(far, "cluster").withColumn("need", F.ceil(-(F.col("w") + best) / (2 * more))).where("nd >= need").select("rep", "w", "need", "active")
+    token = materialize(_prefixes(rows.join(differ.select("cluster", "rep", "d"), "rep")))
     side = lambda x: [F.col("rep").alias(x), F.col("w").alias("w" + x), (F.col("r") - F.col("place")).alias("behind" + x)]
     x, y = token.where("active").select("cluster", "token", *side("a")), token.select("cluster", "token", *side("b"), "active")
     # The first token that two share leaves at most so many more.
