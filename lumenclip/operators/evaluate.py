@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenclip.operators.ranking import positions
+from lumenclip.operators.ranking import BINS, positions
 
 
 def inclusion_weights(inclusion: int) -> tuple[float, float]:
@@ -43,19 +43,27 @@ def confusion(predicted: DataFrame) -> DataFrame:
     return c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def optimal_threshold(scored: DataFrame, inclusion: int = 0) -> DataFrame:
-    """One row: the score with the least weighted cost as a threshold (the highest of equal ones); 0.5 without rows.
+def optimal_threshold(scored: DataFrame, inclusion: int = 0, key: str | None = None) -> DataFrame:
+    """threshold, cost (of each ``key``, if given): the score with the least weighted cost, the highest of equal ones.
+    0.5 in one row without rows and key.
 
-    One sort of the distinct scores: false positives are the negatives so far, misses the positives still to come.
+    False positives are the negatives so far, misses the positives still to come.  Scores are dealt into bins, whose
+    counts alone are summed up globally, so no task sorts all of them.
     """
     wp, wn = inclusion_weights(inclusion)
-    n = scored.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    by = scored.groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    so_far = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    swept = by.withColumns({"fp": F.sum("neg").over(so_far), "tp": F.sum("pos").over(so_far)}).crossJoin(F.broadcast(n))
+    keys = [key] if key else []
+    n = scored.groupBy(*keys).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"), F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    by = scored.groupBy(*keys, "score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    by = by.join(n, keys) if key else by.crossJoin(F.broadcast(n))
+    by = by.withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * BINS)).otherwise(0).cast("int"))
+    ahead = Window.partitionBy(*keys).orderBy("_bin")
+    sums = by.groupBy(*keys, "_bin").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
+    before = sums.select(*keys, "_bin", (F.sum("tp").over(ahead) - F.col("tp")).alias("_tp"), (F.sum("fp").over(ahead) - F.col("fp")).alias("_fp"))
+    own = Window.partitionBy(*keys, "_bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = by.join(before, [*keys, "_bin"]).withColumns({"fp": F.col("_fp") + F.sum("neg").over(own), "tp": F.col("_tp") + F.sum("pos").over(own)})
     cost = wp * ratio(F.col("fp"), F.col("n")) + wn * ratio(F.col("p") - F.col("tp"), F.col("p"))
-    best = swept.withColumn("cost", cost).agg(F.min(F.struct("cost", (-F.col("score")).alias("s"))).alias("b"))
-    return best.select(F.coalesce(-F.col("b.s"), F.lit(0.5)).alias("threshold"), F.col("b.cost").alias("cost"))
+    best = swept.withColumn("cost", cost).groupBy(*keys).agg(F.min(F.struct("cost", (-F.col("score")).alias("s"))).alias("b"))
+    return best.select(*keys, F.coalesce(-F.col("b.s"), F.lit(0.5)).alias("threshold"), F.col("b.cost").alias("cost"))
 
 
 def error_cost(judged: DataFrame, keys: list[str], inclusion: int = 0, digits: int = 6) -> DataFrame:
@@ -90,10 +98,13 @@ def with_default_score(wanted: DataFrame, scored: DataFrame) -> DataFrame:
 def stability_by_step(predictions: DataFrame, labelled: DataFrame) -> DataFrame:
     """step, num_labels, num_flips, num_unlabeled from predictions (step, id, predicted) and labels (id, step: since when)."""
     by = labelled.select("id", F.col("step").alias("since"))
-    p = predictions.join(by, "id", "left")
-    has = F.coalesce(F.col("since") <= F.col("step"), F.lit(False))
-    counts = p.groupBy("step").agg(F.count_if(has).alias("num_labels"), F.count_if(~has).alias("num_unlabeled"))
-    free = p.where(~has).select("step", "id", "predicted")
+    return stability(predictions.join(by, "id", "left").withColumn("has", F.coalesce(F.col("since") <= F.col("step"), F.lit(False))))
+
+
+def stability(predictions: DataFrame) -> DataFrame:
+    """step, num_labels, num_flips, num_unlabeled from predictions (step, id, predicted, has: a label as of the step)."""
+    counts = predictions.groupBy("step").agg(F.count_if("has").alias("num_labels"), F.count_if(~F.col("has")).alias("num_unlabeled"))
+    free = predictions.where(~F.col("has")).select("step", "id", "predicted")
     return counts.join(prediction_flips(free).select("step", F.col("flips").alias("num_flips")), "step", "left").select("step", "num_labels", F.coalesce("num_flips", F.lit(0)).alias("num_flips"), "num_unlabeled")
 
 

@@ -89,7 +89,12 @@ def cherry_pick(source: DataFrame, names: DataFrame, hashes: DataFrame, existing
     """Rows of ``source`` whose name or md5 is wanted, with new ids behind the existing ones."""
     wanted = source.join(names, "filename", "left_semi").select(source.columns).union(source.join(hashes, "md5", "left_semi").select(source.columns)).distinct()
     last = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    return wanted.crossJoin(F.broadcast(last)).withColumn("new_id", F.col("last") + F.row_number().over(Window.orderBy("id")).cast("long")).drop("last")
+    # Ids are dealt into blocks, whose sizes are summed up; places are told within a block.
+    dealt = wanted.withColumn("block", F.floor(F.col("id") / 10_000))
+    ahead = dealt.groupBy("block").agg(F.count("*").alias("n")).select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("id"))
+    numbered = dealt.join(ahead, "block").crossJoin(F.broadcast(last))
+    return numbered.withColumn("new_id", (F.col("last") + F.col("ahead") + place).cast("long")).drop("last", "block", "ahead")
 
 
 def toggled(votes: DataFrame) -> DataFrame:

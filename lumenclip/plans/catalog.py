@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenclip.functions import vectors
-from lumenclip.operators import detect, evaluate, labels, ranking, training
+from lumenclip.operators import detect, evaluate, labels, ranking, steps, training
 from lumenclip.plans import model as m
 from lumenclip.sources import readers
 
@@ -398,3 +398,42 @@ def _(spark, d):
 def _(spark, d):
     steps = m.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(F.round(F.avg("l_discount"), 4).alias("error_cost"), (F.count("*") % 7).alias("num_flips"))
     return evaluate.stopping_advice(steps)
+
+
+def _vote_log(spark, d):
+    """The log of votes on vectors: an event's user stands for the clip."""
+    return labels.toggled(m.vote_events(spark, d).select("seq", "clip_id", "vote"))
+
+
+def _models(spark, d):
+    log = _vote_log(spark, d)
+    return log, m.vec_clips(spark, d), steps.step_models(log, m.vec_clips(spark, d), steps.last_steps(log))
+
+
+@query(
+    "w3_step_labels",
+    _LOG + """, s AS (SELECT DISTINCT seq AS step FROM log ORDER BY step DESC LIMIT 10),
+    x AS (SELECT step, clip_id, arg_max(label, seq) AS label FROM log JOIN s ON seq <= step GROUP BY ALL)
+    SELECT step, count(*) FILTER (label = 'good') AS num_good, count(*) FILTER (label = 'bad') AS num_bad FROM x WHERE label <> 'unlabel' GROUP BY step""",
+)
+def _(spark, d):
+    log = _vote_log(spark, d)
+    return steps.step_labels(steps.labels_at(log, steps.last_steps(log)))
+
+
+@query("w3_step_models")
+def _(spark, d):
+    return _models(spark, d)[2].select("step", "num_good", "num_bad", F.round("threshold", 4).alias("threshold"))
+
+
+@query("w3_progress")
+def _(spark, d):
+    return steps.progress(*_models(spark, d))
+
+
+@query("w3_status_and_advice")
+def _(spark, d):
+    log, clips, models = _models(spark, d)
+    progress = steps.progress(log, clips, models).persist()
+    counts = labels.label_state(log).agg(F.count_if(F.col("label") == "good").alias("good"), F.count_if(F.col("label") == "bad").alias("bad"))
+    return evaluate.labeling_status(counts, progress.select("step", "error_cost")).crossJoin(F.broadcast(evaluate.stopping_advice(progress)))

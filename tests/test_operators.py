@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from lumenclip.functions import vectors
-from lumenclip.operators import detect, evaluate, labels, ranking, training
+from lumenclip.operators import detect, evaluate, labels, ranking, steps, training
 from lumenclip.sources import readers, sinks
 from lumenclip.streaming import votes as stream
 from pyspark.sql import functions as F
@@ -152,3 +152,89 @@ def test_no_row_caps(spark, tmp_path):
     assert detect.detector_scores(clips, detectors).count() == 3 * 1003
     steps = spark.range(100_003).selectExpr("id AS step", "1L AS id", "id % 2 = 0 AS predicted")
     assert evaluate.prediction_flips(steps).count() == 100_003
+
+
+def samples(spark, n=60, d=8):
+    rng = np.random.default_rng(3)
+    return spark.createDataFrame([(i, (rng.normal(0, 1, d) + (0.7 if i % 3 else -0.7)).tolist()) for i in range(n)], "id long, embedding array<double>")
+
+
+def test_gradients_of_all_tasks_fit_the_same_network(spark):
+    known = samples(spark).withColumn("positive", F.col("id") % 3 > 0).withColumn("model", F.explode(F.array(F.lit(5).cast("long"), F.col("id") % 2)))
+    one, many = (training.fit_models(known.repartition(3), 1, 0, epochs=4, one_task=most) for most in (1000, 10))
+    assert set(one) == set(many) == {0, 1, 5}
+    for k in one:
+        assert np.allclose(one[k].flat(), many[k].flat(), atol=1e-9)
+
+
+def test_threshold_of_each_key(spark):
+    rng = random.Random(9)
+    rows = [(i % 3, rng.randrange(40) / 40, rng.random() < 0.4) for i in range(400)]
+    got = {r.k: r.threshold for r in evaluate.optimal_threshold(spark.createDataFrame(rows, "k int, score double, positive boolean"), 1, "k").collect()}
+    for k in range(3):
+        own = [r for r in rows if r[0] == k]
+        assert got[k] == training.best_threshold(np.array([r[1] for r in own]), np.array([r[2] for r in own]).astype(int), 1)
+
+
+def test_simulated_voting_judges_on_all_test_clips(spark):
+    clips = samples(spark, 90).withColumn("category", F.when(F.col("id") % 3 > 0, "a").otherwise("b"))
+    got = training.simulate_voting(clips, [0, 1], epochs=20, votes=6).collect()
+    assert got and {r.category for r in got} == {"a", "b"} and {r.seed for r in got} == {0, 1}
+    assert all(2 <= r.t <= 6 and abs(r.cost - r.fpr - r.fnr) < 1e-5 for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, training.simulate_voting(clips, [0, 1], epochs=20, votes=6).collect()))
+    assert training.simulate_voting(clips.where("category = 'a'"), [0], epochs=2, votes=6).count() == 0
+    # The two categories' rates are of different test halves; each is a share of that half's clips.
+    from hashlib import md5
+
+    for r in got:
+        test = [c for c in clips.collect() if int(md5(f"{r.seed}:{r.category}:{c.id}:part".encode()).hexdigest()[:12], 16) / 2**48 < 0.5]
+        bad = sum(c.category != r.category for c in test)
+        assert abs(r.fpr * bad - round(r.fpr * bad)) < 1e-3
+
+
+def test_models_along_the_log(spark, tmp_path):
+    clips = samples(spark, 40)
+    rng = random.Random(5)
+    votes = [(i, rng.randrange(30), rng.choice(["good", "bad"])) for i in range(60)]
+    v = spark.createDataFrame(votes, "seq long, clip_id long, vote string")
+    log = labels.toggled(v)
+    models = steps.step_models(log, clips, steps.last_steps(log, 4)).persist()
+    x = {r.id: np.array(r.embedding) for r in clips.collect()}
+    got, state, at = {r.step: r for r in models.collect()}, {}, {}
+    for seq, clip, vote in votes:
+        if state.get(clip) == vote:
+            del state[clip]
+        else:
+            state[clip] = vote
+        at[seq] = dict(state)
+    assert sorted(got) == [56, 57, 58, 59]
+    said = {}
+    for s, r in got.items():
+        ids = sorted(at[s])
+        y = np.array([at[s][i] == "good" for i in ids]).astype(int)
+        net = training.Network.fitted(np.stack([x[i] for i in ids]), y)
+        assert (r.num_good, r.num_bad) == (y.sum(), len(y) - y.sum())
+        assert r.threshold == pytest.approx(training.best_threshold(net.score(np.stack([x[i] for i in ids])), y), abs=1e-5)
+        said[s] = {i: bool(training.Network.of(np.array(r.p)).score(x[i][None])[0] >= r.threshold) for i in x}
+    for r in steps.progress(log, clips, models).collect():
+        fp = np.mean([said[r.step][i] for i, v in state.items() if v == "bad"])
+        fn = np.mean([not said[r.step][i] for i, v in state.items() if v == "good"])
+        assert r.error_cost == pytest.approx(fp + fn, abs=1e-4)
+        assert (r.num_labels, r.num_unlabeled) == (len(at[r.step]), len(x) - len(at[r.step]))
+        before = said.get(r.step - 1, {})
+        assert r.num_flips == sum(before.get(i, p) != p for i, p in said[r.step].items() if i not in at[r.step] and i not in at[r.step - 1])
+    # A table of steps is only added to.
+    table = str(tmp_path / "steps")
+    steps.update_steps(table, log.where("seq < 58"), clips, n=2)
+    steps.update_steps(table, log, clips, n=4)
+    steps.update_steps(table, log, clips, n=4)
+    assert sorted(r.step for r in spark.read.parquet(table).collect()) == [56, 57, 58, 59]
+    v.write.parquet(str(tmp_path / "in"))
+    q = steps.steps_stream(spark.readStream.schema(v.schema).parquet(str(tmp_path / "in")), clips, str(tmp_path / "live")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and steps.read_steps(spark, str(tmp_path / "live/steps")).count() == steps.LAST
+
+
+def test_picked_clips_are_numbered_over_blocks(spark):
+    source = spark.range(5, 60_005, 7).selectExpr("id", "concat('n', id) AS filename", "md5(string(id)) AS md5")
+    got = labels.cherry_pick(source, source.select("filename"), source.select("md5").limit(0), spark.range(100)).orderBy("id").collect()
+    assert [r.new_id for r in got] == list(range(100, 100 + len(got))) and len(got) == source.count()
