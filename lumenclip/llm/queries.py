@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL."""
 
-from lumenclip.llm import bpe, collocations, jaccard, licenses, lines, media, packing, quality, rules, shards, spellings, toxicity
+from lumenclip.llm import bpe, collocations, jaccard, licenses, lines, media, packing, pages, quality, rules, shards, spellings, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
     "op11_spelling_groups": spellings.op11_spelling_groups,
+    "op12_html_extraction": pages.op12_html_extraction,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
