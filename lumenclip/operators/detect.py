@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenclip.functions.vectors import doubles, mlp_score
@@ -10,7 +12,8 @@ from lumenclip.operators.ranking import positions
 
 DETECTOR = "name string, media_type string, w1 array<array<double>>, b1 array<double>, w2 array<double>, b2 double, threshold double"
 
-SALTS = 32
+#: Bytes of weights that are sent to the clips at once.
+BLOCK_BYTES = 16 << 20
 
 
 def synthetic_detectors(spark: SparkSession, width: int = 64, hidden: int = 64) -> DataFrame:
@@ -20,9 +23,18 @@ def synthetic_detectors(spark: SparkSession, width: int = 64, hidden: int = 64)
 
 
 def detector_scores(clips: DataFrame, detectors: DataFrame) -> DataFrame:
-    """Every clip by every detector of its media type; each detector goes to each of SALTS parts of the clips."""
-    clips = clips.select("id", "media_type", doubles(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    pairs = clips.join(detectors.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["media_type", "salt"])
+    """Every clip by every detector of its media type.
+
+    Detectors are sent to the clips in blocks of at most BLOCK_BYTES of weights, so embeddings are never shuffled.
+    """
+    clips = clips.select("id", "media_type", doubles(F.col("embedding")).alias("v"))
+    weights = 8 * (F.size("w1") * F.size(F.col("w1")[0]) + 2 * F.size("b1"))
+    n, most = detectors.agg(F.count("*"), F.max(weights)).first()
+    each = max(1, BLOCK_BYTES // max(1, most or 1))
+    # A registry of detectors is a small table of its own, so one window numbers it.
+    numbered = detectors.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("name")) - 1) / each))
+    blocks = [numbered.where(F.col("_block") == i).drop("_block") for i in range(-(-n // each))] or [detectors]
+    pairs = reduce(DataFrame.unionByName, [clips.join(F.broadcast(b), "media_type") for b in blocks])
     return pairs.select("id", "name", "threshold", mlp_score(F.col("v"), F.col("w1"), F.col("b1"), F.col("w2"), F.col("b2")).alias("score"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenclip.operators.ranking import BINS, positions
+from lumenclip.operators.ranking import positions
 
 
 def inclusion_weights(inclusion: int) -> tuple[float, float]:
@@ -18,18 +18,17 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """query, ap of rankings (query, id, score, relevant)."""
-    ranked = positions(scored, partition="query").where("relevant")
-    # Among the relevant rows alone, the n-th has n hits at its position.
-    hit = F.row_number().over(Window.partitionBy("query").orderBy("pos"))
-    ap = ranked.withColumn("hit", hit).groupBy("query").agg((F.sum(F.col("hit") / F.col("pos")) / F.count("*")).alias("ap"))
-    return scored.select("query").distinct().join(ap, "query", "left").select("query", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    """query, ap of rankings (query, id, score, relevant); 0 where nothing is relevant."""
+    ranked = positions(scored, partition="query", counting="relevant")
+    hit = F.when(F.col("relevant"), F.col("hits") / F.col("pos"))
+    return ranked.groupBy("query").agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("ap"))
 
 
 def precision_recall_at(scored: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """query, k, precision, recall."""
-    total = scored.groupBy("query").agg(F.count_if("relevant").alias("total"))
-    top = positions(scored, partition="query").where(F.col("pos") <= max(ks))
+    ranked = positions(scored, partition="query")
+    total = ranked.groupBy("query").agg(F.count_if("relevant").alias("total"))
+    top = ranked.where(F.col("pos") <= max(ks))
     hits = top.crossJoin(F.broadcast(scored.sparkSession.createDataFrame([(k,) for k in ks], "k int"))).groupBy("query", "k").agg(F.count_if(F.col("relevant") & (F.col("pos") <= F.col("k"))).alias("hits"))
     return hits.join(total, "query").select("query", "k", (F.col("hits") / F.col("k")).alias("precision"), ratio(F.col("hits"), F.col("total")).alias("recall"))
 
@@ -45,22 +44,17 @@ def confusion(predicted: DataFrame) -> DataFrame:
 
 def optimal_threshold(scored: DataFrame, inclusion: int = 0, key: str | None = None) -> DataFrame:
     """threshold, cost (of each ``key``, if given): the score with the least weighted cost, the highest of equal ones.
-    0.5 in one row without rows and key.
+    0.5 in one row without rows and key.  Rows without a score don't count.
 
-    False positives are the negatives so far, misses the positives still to come.  Scores are dealt into bins, whose
-    counts alone are summed up globally, so no task sorts all of them.
+    False positives are the negatives down to a score, misses the positives below it, both from positions.
     """
     wp, wn = inclusion_weights(inclusion)
     keys = [key] if key else []
-    n = scored.groupBy(*keys).agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"), F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    by = scored.groupBy(*keys, "score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    by = by.join(n, keys) if key else by.crossJoin(F.broadcast(n))
-    by = by.withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * BINS)).otherwise(0).cast("int"))
-    ahead = Window.partitionBy(*keys).orderBy("_bin")
-    sums = by.groupBy(*keys, "_bin").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))
-    before = sums.select(*keys, "_bin", (F.sum("tp").over(ahead) - F.col("tp")).alias("_tp"), (F.sum("fp").over(ahead) - F.col("fp")).alias("_fp"))
-    own = Window.partitionBy(*keys, "_bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    swept = by.join(before, [*keys, "_bin"]).withColumns({"fp": F.col("_fp") + F.sum("neg").over(own), "tp": F.col("_tp") + F.sum("pos").over(own)})
+    usable = scored.where("score IS NOT NULL AND NOT isnan(score)").select(*keys, "score", "positive", F.lit(0).alias("id"))
+    ranked = positions(usable, partition=key, counting="positive")
+    n = ranked.groupBy(*keys).agg(F.max("hits").alias("p"), (F.max("pos") - F.max("hits")).alias("n"))
+    swept = ranked.groupBy(*keys, "score").agg(F.max("hits").alias("tp"), (F.max("pos") - F.max("hits")).alias("fp"))
+    swept = swept.join(n, keys) if key else swept.crossJoin(F.broadcast(n))
     cost = wp * ratio(F.col("fp"), F.col("n")) + wn * ratio(F.col("p") - F.col("tp"), F.col("p"))
     best = swept.withColumn("cost", cost).groupBy(*keys).agg(F.min(F.struct("cost", (-F.col("score")).alias("s"))).alias("b"))
     return best.select(*keys, F.coalesce(-F.col("b.s"), F.lit(0.5)).alias("threshold"), F.col("b.cost").alias("cost"))

@@ -5,32 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenclip.functions.embedding import text_similarity
+from lumenclip.functions.scratch import written
 from lumenclip.functions.vectors import cosine, doubles
 
-#: Bins that a ranking's scores are dealt into: the only thing that is summed up globally, so of a fixed size.
-BINS = 4096
-
-
 def similarity(clips: DataFrame, query: DataFrame) -> DataFrame:
     """id and cosine to the one row of ``query`` (column q)."""
     one = query.select(doubles(F.col("q")).alias("q")).limit(1)
     return clips.select("id", doubles(F.col("embedding")).alias("v")).crossJoin(F.broadcast(one)).select("id", cosine(F.col("v"), F.col("q")).alias("score"))
 
 
-def positions(scored: DataFrame, by: str = "score", partition: str | None = None) -> DataFrame:
-    """``scored`` with pos, from 1, by descending ``by`` and ascending id.
+def positions(scored: DataFrame, by: str = "score", partition: str | None = None, ascending: bool = False, counting: str | None = None) -> DataFrame:
+    """``scored`` with pos, from 1, by descending (or ascending) ``by`` and ascending id; with ``partition`` the positions
+    are of each of its values.  With ``counting``, a boolean column, hits is the number of rows up to there that have it.
 
-    Rows are dealt by bins of the score; a position is the rows of the bins before plus the place in its own, so no
-    task orders all rows.  With ``partition`` the positions are of each of its values.
+    The rows are evaluated once and written, then dealt by ranges of the order and sorted within them, so no task orders
+    all of them, however they are spread, and equal values are cut by id.  A row's position is its place in its range
+    plus the rows of the ranges before, of which there are as many as partitions.  Rows whose value is null or NaN come
+    last.
     """
     keys = [partition] if partition else []
-    span = scored.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    bin_ = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_hi") - F.col(by)) / (F.col("_hi") - F.col("_lo")) * BINS)).otherwise(0).cast("int")
-    binned = scored.crossJoin(F.broadcast(span)).withColumn("_bin", bin_).drop("_lo", "_hi")
-    counts = binned.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
-    before = counts.select(*keys, "_bin", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy(F.desc(by), "id"))
-    return binned.join(before, [*keys, "_bin"]).withColumn("pos", (F.col("_before") + place).cast("long")).drop("_bin", "_before")
+    rows = written(scored)
+    kind = dict(rows.dtypes)[by]
+    value = F.when(~F.isnan(by), F.col(by)) if kind in ("double", "float") else F.col(by)
+    order = [*keys, F.col("_by").asc_nulls_last() if ascending else F.col("_by").desc_nulls_last(), "id"]
+    # Spark numbers rows as the partition's number times 2^33 plus the row's place in it.
+    dealt = rows.withColumn("_by", value).repartitionByRange(*order).sortWithinPartitions(*order).drop("_by")
+    dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    count = F.count_if(counting) if counting else F.lit(0).cast("long")
+    ranges = dealt.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), count.alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*[F.col(k).alias("_key") for k in keys], "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_had"))
+    at = dealt.withColumn("_of", part)
+    same = F.col("_of") == F.col("_part")
+    out = at.join(ranges, same & F.col(partition).eqNullSafe(F.col("_key")) if partition else same)
+    out = out.withColumn("pos", (F.col("_at") + F.col("_add")).cast("long"))
+    if counting:
+        own = Window.partitionBy("_of", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("hits", F.count_if(counting).over(own) + F.col("_had"))
+    return out.drop("_at", "_of", "_part", "_key", "_add", "_had")
 
 
 def sort_by_similarity(clips: DataFrame, query: DataFrame, digits: int = 4) -> DataFrame:
@@ -38,6 +52,11 @@ def sort_by_similarity(clips: DataFrame, query: DataFrame, digits: int = 4) -> D
     return positions(similarity(clips, query).select("id", F.round("score", digits).alias("score"))).withColumnRenamed("score", "similarity")
 
 
+def text_sort(texts: DataFrame, query: str, digits: int = 4) -> DataFrame:
+    """id, similarity, pos of texts (id, text) by a query's text, both through the hashing embedder; ties by id."""
+    return positions(text_similarity(texts, query).select("id", F.round("score", digits).alias("score"))).withColumnRenamed("score", "similarity")
+
+
 def threshold_index(ranked: DataFrame, threshold: float | Column) -> DataFrame:
     """threshold_index: clips before the first whose score is below the threshold (all, if none is), and total."""
     thr = threshold if isinstance(threshold, Column) else F.lit(threshold)
@@ -53,6 +72,11 @@ def next_clips(ranked: DataFrame, labelled: DataFrame, threshold: float) -> Data
     return top.unionByName(hard.select(F.lit("hard").alias("mode"), "id"))
 
 
+def stripe_index(ranked: DataFrame, threshold: float) -> DataFrame:
+    """threshold_index and total as a stripe shows them: 0, not all, where no score is below the threshold."""
+    return ranked.agg(F.coalesce(F.min(F.when(F.col("score") < threshold, F.col("pos") - 1)), F.lit(0)).cast("long").alias("threshold_index"), F.count("*").alias("total"))
+
+
 def stripe(ranked: DataFrame, labelled: DataFrame) -> DataFrame:
     """id, label, rank from 0 to 1 of each labelled clip in the ranking."""
     total = ranked.agg(F.count("*").alias("total"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenclip.functions import vectors
+from lumenclip.functions import embedding, vectors
 from lumenclip.operators import detect, evaluate, labels, ranking, steps, training
 from lumenclip.plans import model as m
 from lumenclip.sources import readers
@@ -46,7 +46,42 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Words' buckets and signs, and the sums by text, as the hashing embedder has them.
+_HASHED = r"""w AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM texts),
+c AS (SELECT id, ('0x' || md5(word)[1:12])::BIGINT AS code FROM w),
+b AS (SELECT id, code % 256 AS bucket, sum(1 - 2 * ((code // 256) % 2))::BIGINT AS v FROM c GROUP BY ALL HAVING sum(1 - 2 * ((code // 256) % 2)) <> 0)"""
+
+
 # ------------------------------------------------------------------------------------------------ ranking (Q1 - Q4)
+@query(
+    "q1_text_sort",
+    f"""WITH texts AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1, arg_min(text, item_id) FROM benchmark), {_HASHED},
+    n AS (SELECT id, sqrt(sum(v * v)::DOUBLE) AS n FROM b GROUP BY id),
+    d AS (SELECT x.id, sum(x.v * y.v)::DOUBLE AS dot FROM b x JOIN b y ON x.bucket = y.bucket AND y.id = -1 GROUP BY x.id),
+    s AS (SELECT doc_id AS id, round(coalesce(dot / (n.n * (SELECT n FROM n WHERE id = -1)), 0), 4) AS similarity FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN d ON d.id = doc_id)
+    SELECT id, similarity, row_number() OVER (ORDER BY similarity DESC, id) AS pos FROM s""",
+)
+def _(spark, d):
+    asked = m.table(spark, d, "benchmark").agg(F.min_by("text", "item_id")).first()[0]
+    return ranking.text_sort(m.text_clips(spark, d).select("id", "text"), asked)
+
+
+@query(
+    "x11_vectors_or_embedder",
+    f"""WITH t AS ({_TEXT}), k AS (SELECT t.id, embedding FROM t JOIN embeddings ON vec_id = id AND id % 2 = 0), texts AS (SELECT id, text FROM t WHERE id NOT IN (SELECT id FROM k)), {_HASHED},
+    n AS (SELECT id, sqrt(sum(v * v)::DOUBLE) AS n FROM b GROUP BY id), m AS (SELECT id, sum(v * (bucket + 1)) / any_value(n) AS s FROM b JOIN n USING (id) GROUP BY id)
+    SELECT id, true AS precomputed, 64 AS width, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * i)), 3) AS checksum FROM k
+    UNION ALL SELECT texts.id, false, 256, round(coalesce(s, 0), 3) FROM texts LEFT JOIN m USING (id)""",
+)
+def _(spark, d):
+    clips = m.text_clips(spark, d)
+    names = clips.where("id % 2 = 0").select("id", F.concat(F.lit("store/"), "filename").alias("name"))
+    vectors = m.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id").join(names, "id").select("name", "embedding")
+    both = embedding.with_vectors(clips.select("id", "filename", "text"), vectors)
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return both.select("id", "precomputed", F.size("embedding").alias("width"), F.round(weighted, 3).alias("checksum"))
+
+
 @query("q2_example_sort", _SIM + " SELECT id, round(score, 4) AS similarity, row_number() OVER (ORDER BY round(score, 4) DESC, id) AS pos FROM s")
 def _(spark, d):
     return ranking.sort_by_similarity(m.vec_clips(spark, d), m.query_vec(spark, d))
@@ -88,6 +123,12 @@ def _(spark, d):
     return ranking.threshold_index(ranking.positions(ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d))), 0.1)
 
 
+@query("w5_stripe_index", _SIM + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM s) SELECT 'some' AS below, coalesce(min(pos - 1) FILTER (score < 0.1), 0) AS threshold_index, count(*) AS total FROM r UNION ALL SELECT 'none', coalesce(min(pos - 1) FILTER (score < -2), 0), count(*) FROM r")
+def _(spark, d):
+    ranked = ranking.positions(ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d)))
+    return ranking.stripe_index(ranked, 0.1).select(F.lit("some").alias("below"), "*").unionByName(ranking.stripe_index(ranked, -2.0).select(F.lit("none").alias("below"), "*"))
+
+
 @query(
     "w6_w7_next_clips",
     _SIM + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM s), t AS (SELECT coalesce(min(pos - 1) FILTER (score < 0.1), count(*)) AS i FROM r),
@@ -316,7 +357,7 @@ def _(spark, d):
 
 @query("p2_light_hits", _HITS + " SELECT detector, id, filename, score FROM r")
 def _(spark, d):
-    return _result_rows(spark, d).join(m.vec_clips(spark, d).select("id", "embedding"), "id").drop("embedding").select("detector", "id", "filename", "score")
+    return _result_rows(spark, d).select("detector", "id", "filename", "score")
 
 
 @query("p3_clip_by_id", f"SELECT id, filename, category, md5 FROM ({_TEXT}) WHERE id = 7")

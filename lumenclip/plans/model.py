@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenclip.functions.scratch import written
+from lumenclip.functions.vectors import cosine, doubles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,12 +52,15 @@ def vote_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("clip_id"), vote.alias("vote"), "ts").where("vote IS NOT NULL")
 
 
-def label_queries(spark: SparkSession, d: str) -> DataFrame:
-    """query, id, score, relevant: the first vector of each label against all vectors."""
-    from lumenclip.functions.vectors import cosine, doubles
-
+def label_queries(spark: SparkSession, d: str, block: int = 1000) -> DataFrame:
+    """query, id, score, relevant: the first vector of each label against all vectors, ``block`` queries at a time, so
+    what is broadcast is bounded however many labels there are."""
     e = table(spark, d, "embeddings")
     first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
-    first = first.select(F.col("label").alias("query"), doubles(F.col("q")).alias("q"))
-    pairs = e.select(F.col("vec_id").alias("id"), "label", doubles(F.col("embedding")).alias("v")).crossJoin(first)
+    first = written(first.select(F.col("label").alias("query"), doubles(F.col("q")).alias("q")))
+    blocks = -(-first.count() // block)
+    dealt = first if blocks <= 1 else written(first.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query")) - 1) / block)))
+    vectors = e.select(F.col("vec_id").alias("id"), "label", doubles(F.col("embedding")).alias("v"))
+    some = [first] if blocks <= 1 else [dealt.where(F.col("_block") == i).drop("_block") for i in range(blocks)]
+    pairs = reduce(DataFrame.unionByName, [vectors.crossJoin(F.broadcast(q)) for q in some])
     return pairs.select("query", "id", cosine(F.col("v"), F.col("q")).alias("score"), (F.col("label") == F.col("query")).alias("relevant"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenclip.functions.vectors import stripped
+from lumenclip.operators.ranking import positions
 
 #: Extensions of each media type.
 EXTENSIONS = {"audio": ["wav", "mp3", "ogg", "flac"], "image": ["png", "jpg", "jpeg", "gif", "webp"], "video": ["mp4", "webm"], "paragraph": ["txt", "md"]}
@@ -114,8 +115,8 @@ def split(clips: DataFrame, fraction: float, seed: int) -> DataFrame:
     sizes = clips.groupBy("category").agg(F.count("*").alias("_n"))
     test = F.bround(F.col("_n") * fraction).cast("long")
     sizes = sizes.withColumn("_t", F.when(F.col("_n") >= 2, F.greatest(F.least(test, F.col("_n") - 1), F.lit(1))).otherwise(test))
-    place = F.row_number().over(Window.partitionBy("category").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "category", "id")), "id"))
-    return clips.join(sizes, "category").withColumn("part", F.when(place <= F.col("_t"), "test").otherwise("train")).drop("_n", "_t")
+    placed = positions(clips.withColumn("_chance", F.md5(F.concat_ws(":", F.lit(seed), "category", "id"))), "_chance", "category", ascending=True)
+    return placed.join(sizes, "category").withColumn("part", F.when(F.col("pos") <= F.col("_t"), "test").otherwise("train")).drop("_n", "_t", "_chance", "pos")
 
 
 def usable_labels(entries: DataFrame) -> DataFrame:
