@@ -100,12 +100,14 @@ def cherry_pick(source: DataFrame, names: DataFrame, hashes: DataFrame, existing
 def toggled(votes: DataFrame) -> DataFrame:
     """The log that votes leave: a vote equal to the clip's label takes it back.
 
-    A run of equal votes of a clip sets and takes back in turn, so a vote's place in its run says which.
+    A run of equal votes of a clip sets and takes back in turn, so a vote's place in its run says which.  With a column
+    epoch, each epoch's votes start anew.
     """
-    clip = Window.partitionBy("clip_id").orderBy("seq")
+    keys = ["epoch", "clip_id"] if "epoch" in votes.columns else ["clip_id"]
+    clip = Window.partitionBy(*keys).orderBy("seq")
     changed = F.when(F.col("vote") == F.lag("vote").over(clip), 0).otherwise(1)
     runs = votes.withColumn("_c", changed).withColumn("_run", F.sum("_c").over(clip))
-    place = F.row_number().over(Window.partitionBy("clip_id", "_run").orderBy("seq"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("seq"))
     return runs.withColumn("label", F.when(place % 2 == 1, F.col("vote")).otherwise("unlabel")).drop("_c", "_run")
 
 

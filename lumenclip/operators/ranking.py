@@ -15,9 +15,10 @@ def similarity(clips: DataFrame, query: DataFrame) -> DataFrame:
     return clips.select("id", doubles(F.col("embedding")).alias("v")).crossJoin(F.broadcast(one)).select("id", cosine(F.col("v"), F.col("q")).alias("score"))
 
 
-def positions(scored: DataFrame, by: str = "score", partition: str | None = None, ascending: bool = False, counting: str | None = None) -> DataFrame:
+def positions(scored: DataFrame, by: str = "score", partition: str | None = None, ascending: bool = False, counting: str | list[str] | None = None) -> DataFrame:
     """``scored`` with pos, from 1, by descending (or ascending) ``by`` and ascending id; with ``partition`` the positions
-    are of each of its values.  With ``counting``, a boolean column, hits is the number of rows up to there that have it.
+    are of each of its values.  With ``counting``, a boolean column, hits is the number of rows up to there that have it; with
+    several, hits_<name> of each.
 
     The rows are evaluated once and written, then dealt by ranges of the order and sorted within them, so no task orders
     all of them, however they are spread, and equal values are cut by id.  A row's position is its place in its range
@@ -33,18 +34,18 @@ def positions(scored: DataFrame, by: str = "score", partition: str | None = None
     dealt = rows.withColumn("_by", value).repartitionByRange(*order).sortWithinPartitions(*order).drop("_by")
     dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    count = F.count_if(counting) if counting else F.lit(0).cast("long")
-    ranges = dealt.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), count.alias("_c"))
+    flags = [counting] if isinstance(counting, str) else counting or []
+    ranges = dealt.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), *[F.count_if(c).alias(f"_c{i}") for i, c in enumerate(flags)])
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*[F.col(k).alias("_key") for k in keys], "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_had"))
+    ranges = ranges.select(*[F.col(k).alias("_key") for k in keys], "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add"), *[F.coalesce(F.sum(f"_c{i}").over(before), F.lit(0)).alias(f"_had{i}") for i in range(len(flags))])
     at = dealt.withColumn("_of", part)
     same = F.col("_of") == F.col("_part")
     out = at.join(ranges, same & F.col(partition).eqNullSafe(F.col("_key")) if partition else same)
     out = out.withColumn("pos", (F.col("_at") + F.col("_add")).cast("long"))
-    if counting:
-        own = Window.partitionBy("_of", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("hits", F.count_if(counting).over(own) + F.col("_had"))
-    return out.drop("_at", "_of", "_part", "_key", "_add", "_had")
+    own = Window.partitionBy("_of", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    for i, c in enumerate(flags):
+        out = out.withColumn("hits" if isinstance(counting, str) else f"hits_{c}", F.count_if(c).over(own) + F.col(f"_had{i}"))
+    return out.drop("_at", "_of", "_part", "_key", "_add", *[f"_had{i}" for i in range(len(flags))])
 
 
 def sort_by_similarity(clips: DataFrame, query: DataFrame, digits: int = 4) -> DataFrame:

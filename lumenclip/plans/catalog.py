@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenclip.functions import embedding, vectors
-from lumenclip.operators import detect, evaluate, labels, ranking, steps, training
+from lumenclip.functions.scratch import written
+from lumenclip.operators import detect, evaluate, labels, ranking, steps, training, voting
 from lumenclip.plans import model as m
 from lumenclip.sources import readers
 
@@ -193,9 +194,28 @@ def _(spark, d):
     return s.select("dataset", "category", "t", *[F.round(c, 2).alias(c) for c in s.columns[3:]])
 
 
+def _collections(spark, d):
+    """Data sets of 250 vectors each, together all of them."""
+    return m.vec_clips(spark, d).select(F.concat(F.lit("set"), F.expr("id div 250")).alias("dataset"), "id", "category", "embedding")
+
+
+_VOTES = """WITH c AS (SELECT 'set' || (vec_id // 250) AS dataset, vec_id AS id, 'cat_' || label AS category FROM embeddings),
+w AS (SELECT DISTINCT c.dataset, category AS target, seed FROM c, (VALUES (1), (2)) AS s(seed)),
+x AS (SELECT w.dataset, seed, target, id, category = target AS positive, ('0x' || md5(seed || ':' || target || ':' || id || ':part')[1:12])::BIGINT / 2.0::DOUBLE ** 48 < 0.5 AS test,
+  ('0x' || md5(seed || ':' || target || ':' || id || ':order')[1:12])::BIGINT AS place FROM w JOIN c USING (dataset)),
+v AS (SELECT *, row_number() OVER (PARTITION BY dataset, seed, target ORDER BY place, id) AS n FROM x WHERE NOT test),
+g AS (SELECT dataset, seed, target, n::INT AS t, sum(positive::INT) OVER (PARTITION BY dataset, seed, target ORDER BY n)::BIGINT AS num_good FROM v),
+p AS (SELECT *, t - num_good AS num_bad FROM g WHERE num_good > 0 AND t > num_good)"""
+
+
+@query("w11_voting_steps", _VOTES + " SELECT dataset, seed::INT AS seed, target, t, num_good, num_bad FROM p")
+def _(spark, d):
+    return voting.voting_steps(voting.dealt_votes(_collections(spark, d), [1, 2])[0])
+
+
 @query("w10_simulated_voting")
 def _(spark, d):
-    return training.simulate_voting(m.vec_clips(spark, d).select("id", "category", "embedding"), [0])
+    return voting.simulate_voting(_collections(spark, d), [1])
 
 
 # ------------------------------------------------------------------------------------------------ label algebra (Q6)
@@ -441,40 +461,62 @@ def _(spark, d):
     return evaluate.stopping_advice(steps)
 
 
-def _vote_log(spark, d):
-    """The log of votes on vectors: an event's user stands for the clip."""
-    return labels.toggled(m.vote_events(spark, d).select("seq", "clip_id", "vote"))
+def _cleared_votes(spark, d):
+    """Votes on vectors (an event's user stands for the clip); a view whose number 1,500 divides clears all labels."""
+    vote = F.when(F.col("event_type").isin("purchase", "signup"), "good").when(F.col("event_type") == "error", "bad").when((F.col("event_type") == "view") & (F.col("event_id") % 1500 == 0), "clear")
+    return m.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("clip_id"), vote.alias("vote")).where("vote IS NOT NULL")
 
 
-def _models(spark, d):
-    log = _vote_log(spark, d)
-    return log, m.vec_clips(spark, d), steps.step_models(log, m.vec_clips(spark, d), steps.last_steps(log))
+_EPOCHS = """WITH v AS (SELECT event_id AS seq, user_id AS clip_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 'good' WHEN event_type = 'error' THEN 'bad' WHEN event_type = 'view' AND event_id % 1500 = 0 THEN 'clear' END AS vote FROM events),
+y AS (SELECT *, count(*) FILTER (vote = 'clear') OVER (ORDER BY seq) AS epoch FROM v WHERE vote IS NOT NULL),
+a AS (SELECT *, CASE WHEN vote = lag(vote) OVER (PARTITION BY epoch, clip_id ORDER BY seq) THEN 0 ELSE 1 END AS c FROM y WHERE vote <> 'clear'),
+b AS (SELECT *, sum(c) OVER (PARTITION BY epoch, clip_id ORDER BY seq) AS run FROM a),
+log AS (SELECT epoch, seq, clip_id, CASE WHEN row_number() OVER (PARTITION BY epoch, clip_id, run ORDER BY seq) % 2 = 1 THEN vote ELSE 'unlabel' END AS label FROM b),
+x AS (SELECT *, coalesce(lag(label) OVER (PARTITION BY epoch, clip_id ORDER BY seq), 'unlabel') AS b FROM log),
+n AS (SELECT epoch, seq AS step, sum((label = 'good')::INT - (b = 'good')::INT) OVER (PARTITION BY epoch ORDER BY seq)::BIGINT AS num_good, sum((label = 'bad')::INT - (b = 'bad')::INT) OVER (PARTITION BY epoch ORDER BY seq)::BIGINT AS num_bad FROM x)"""
 
 
-@query(
-    "w3_step_labels",
-    _LOG + """, s AS (SELECT DISTINCT seq AS step FROM log ORDER BY step DESC LIMIT 10),
-    x AS (SELECT step, clip_id, arg_max(label, seq) AS label FROM log JOIN s ON seq <= step GROUP BY ALL)
-    SELECT step, count(*) FILTER (label = 'good') AS num_good, count(*) FILTER (label = 'bad') AS num_bad FROM x WHERE label <> 'unlabel' GROUP BY step""",
-)
+def _log(spark, d):
+    return steps.Log(steps.vote_log(_cleared_votes(spark, d)))
+
+
+@query("w3_step_labels", _EPOCHS + " SELECT epoch, step, num_good, num_bad FROM n")
+def _(spark, d):
+    return _log(spark, d).counts
+
+
+@query("w3_label_spans", _EPOCHS + ", k AS (SELECT *, row_number() OVER (PARTITION BY epoch ORDER BY step) - 1 AS m FROM n WHERE num_good > 0 AND num_bad > 0) SELECT epoch, step, m, num_good, num_bad, (SELECT count(*) FROM (SELECT arg_max(label, seq) AS l FROM log WHERE log.epoch = k.epoch AND seq <= step GROUP BY clip_id) WHERE l <> 'unlabel') AS held FROM k")
 def _(spark, d):
-    log = _vote_log(spark, d)
-    return steps.step_labels(steps.labels_at(log, steps.last_steps(log)))
+    log = _log(spark, d)
+    ends = log.spans.select("epoch", F.col("since").alias("m"), F.lit(1).alias("change")).unionByName(log.spans.select("epoch", F.col("until").alias("m"), F.lit(-1).alias("change")))
+    # Of the epoch's model steps only, so a running sum of changes by their numbers.
+    sums = ends.groupBy("epoch", "m").agg(F.sum("change").alias("change"))
+    both = log.steps.join(sums, ["epoch", "m"], "left")
+    held = F.sum(F.coalesce("change", F.lit(0))).over(Window.partitionBy("epoch").orderBy("m"))
+    return both.select("epoch", "step", "m", "num_good", "num_bad", held.alias("held"))
 
 
 @query("w3_step_models")
 def _(spark, d):
-    return _models(spark, d)[2].select("step", "num_good", "num_bad", F.round("threshold", 4).alias("threshold"))
+    return steps.step_models(_log(spark, d), m.vec_clips(spark, d)).select("epoch", "step", "num_good", "num_bad", F.round("threshold", 4).alias("threshold"))
+
+
+def _progress(spark, d):
+    log, clips = _log(spark, d), m.vec_clips(spark, d)
+    return log, steps.progress(log, clips, written(steps.step_models(log, clips)))
 
 
 @query("w3_progress")
 def _(spark, d):
-    return steps.progress(*_models(spark, d))
+    return _progress(spark, d)[1]
 
 
 @query("w3_status_and_advice")
 def _(spark, d):
-    log, clips, models = _models(spark, d)
-    progress = steps.progress(log, clips, models).persist()
-    counts = labels.label_state(log).agg(F.count_if(F.col("label") == "good").alias("good"), F.count_if(F.col("label") == "bad").alias("bad"))
-    return evaluate.labeling_status(counts, progress.select("step", "error_cost")).crossJoin(F.broadcast(evaluate.stopping_advice(progress)))
+    """Of the last epoch: what labelling has come to."""
+    log, told = _progress(spark, d)
+    told = written(told)
+    last = log.counts.agg(F.max("epoch").alias("epoch"))
+    told = told.join(F.broadcast(last), "epoch")
+    counts = log.labels().join(F.broadcast(last), "epoch").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    return evaluate.labeling_status(counts, told.select("step", "error_cost")).crossJoin(F.broadcast(evaluate.stopping_advice(told)))

@@ -1,44 +1,72 @@
-"""Exact values on small inputs."""
+"""Exact values on small inputs, and random ones against plain versions."""
 
 import json
+import math
 import random
 
 import numpy as np
 import pytest
 from lumenclip.functions import vectors
-from lumenclip.operators import detect, evaluate, labels, ranking, steps, training
+from lumenclip.operators import detect, evaluate, labels, ranking, training
 from lumenclip.sources import readers, sinks
 from lumenclip.streaming import votes as stream
 from pyspark.sql import functions as F
 
 
-def ranked(spark, ids, relevant):
-    return spark.createDataFrame([("q", i, float(-n), i in relevant) for n, i in enumerate(ids)], "query string, id long, score double, relevant boolean")
-
-
-@pytest.mark.parametrize("ids,relevant,want", [([1, 2, 3, 4, 5], {1, 2, 3}, 1.0), ([10, 20, 30, 1, 40], {1}, 0.25), ([1, 10, 2, 20, 3, 30], {1, 2, 3}, (1 + 2 / 3 + 3 / 5) / 3), ([1, 2], set(), 0.0)])
-def test_average_precision(spark, ids, relevant, want):
-    assert evaluate.average_precision(ranked(spark, ids, relevant)).first().ap == pytest.approx(want)
-
-
-def test_precision_recall(spark):
-    got = {r.k: (r.precision, r.recall) for r in evaluate.precision_recall_at(ranked(spark, range(1, 101), set(range(1, 11)))).collect()}
-    assert got == {5: (1.0, 0.5), 10: (1.0, 1.0), 20: (0.5, 1.0)}
-
-
-def test_confusion(spark):
-    c = evaluate.confusion(spark.createDataFrame([(True, True), (True, False), (False, True), (False, False)], "predicted boolean, actual boolean")).first()
-    assert (c.accuracy, c.precision, c.recall, c.f1) == (0.5, 0.5, 0.5, 0.5)
+def rankings(seed):
+    """Random rankings of a few queries, with ties, nulls and queries without a relevant row."""
+    rng, out = random.Random(seed), []
+    for q in range(4):
+        for i in range(rng.randrange(1, 60)):
+            score = rng.choice([None, float("nan"), 0.5, rng.random(), round(rng.random(), 1)])
+            out.append((f"q{q}", rng.randrange(10**6) * 10 + i % 10, score, q > 0 and rng.random() < 0.3))
+    return list({(r[0], r[1]): r for r in out}.values())
+
+
+def best_first(rows, query):
+    known = lambda s: s is not None and s == s
+    return sorted((r for r in rows if r[0] == query), key=lambda r: (not known(r[2]), -r[2] if known(r[2]) else 0, r[1]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rankings_by_brute_force(spark, seed):
+    rows = rankings(seed)
+    df = spark.createDataFrame(rows, "query string, id long, score double, relevant boolean").repartition(5)
+    ap = {r.query: r.ap for r in evaluate.average_precision(df).collect()}
+    pr = {(r.query, r.k): (r.precision, r.recall) for r in evaluate.precision_recall_at(df, (1, 7, 30)).collect()}
+    for q in {r[0] for r in rows}:
+        rel = [r[3] for r in best_first(rows, q)]
+        precisions = [sum(rel[: i + 1]) / (i + 1) for i, x in enumerate(rel) if x]
+        assert ap[q] == pytest.approx(np.mean(precisions) if precisions else 0.0)
+        for k in (1, 7, 30):
+            if (q, k) in pr:
+                assert pr[q, k] == pytest.approx((sum(rel[:k]) / k, sum(rel[:k]) / sum(rel) if any(rel) else 0.0))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_confusion_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.random() < 0.3, rng.random() < 0.6) for _ in range(rng.randrange(1, 80))]
+    c = evaluate.confusion(spark.createDataFrame(rows, "predicted boolean, actual boolean")).first()
+    both, said, real = sum(p and a for p, a in rows), sum(p for p, _ in rows), sum(a for _, a in rows)
+    assert (c.tp, c.fp, c.fn, c.tn) == (both, said - both, real - both, len(rows) - said - real + both)
+    assert c.accuracy == pytest.approx(sum(p == a for p, a in rows) / len(rows))
+    assert c.f1 == pytest.approx(2 * both / (said + real) if said + real else 0.0)
     assert evaluate.confusion(spark.createDataFrame([], "predicted boolean, actual boolean")).first().accuracy == 0.0
 
 
-@pytest.mark.parametrize("a,b,want", [([1.0, 2.0], [1.0, 2.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0, 0.0], [-1.0, 0.0], -1.0), ([0.0, 0.0], [1.0, 0.0], 0.0)])
-def test_cosine(spark, a, b, want):
-    assert spark.createDataFrame([(a, b)], "a array<double>, b array<double>").select(vectors.cosine(F.col("a"), F.col("b")).alias("c")).first().c == pytest.approx(want)
+def test_cosine(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(rng.normal(size=9).tolist(), rng.normal(size=9).tolist()) for _ in range(20)] + [([0.0] * 9, [1.0] * 9), ([0.0] * 9, [0.0] * 9)]
+    got = [r.c for r in spark.createDataFrame(pairs, "a array<double>, b array<double>").coalesce(1).select(vectors.cosine(F.col("a"), F.col("b")).alias("c")).collect()]
+    want = [np.dot(a, b) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-300) for a, b in pairs]
+    assert got == pytest.approx(want)
 
 
-def test_inclusion_weights():
-    assert [evaluate.inclusion_weights(i) for i in (0, 3, -2)] == [(1, 1), (1, 8), (4, 1)]
+@pytest.mark.parametrize("k", range(0, 9, 4))
+def test_inclusion_weights(k):
+    fp, fn = evaluate.inclusion_weights(k)
+    assert fp == 1 and math.log2(fn) == k and evaluate.inclusion_weights(-k) == ((fn, 1) if k else (1, 1))
 
 
 @pytest.mark.parametrize("inclusion", [-3, 0, 2])
@@ -51,11 +79,31 @@ def test_optimal_threshold(spark, inclusion):
     assert evaluate.optimal_threshold(spark.createDataFrame([], "score double, positive boolean")).first().threshold == 0.5
 
 
-def test_positions_with_ties(spark):
-    rows = [(i, round(random.Random(i).random(), 1)) for i in range(500)]
-    got = {r.id: r.pos for r in ranking.positions(spark.createDataFrame(rows, "id long, score double")).collect()}
-    want = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
-    assert got == want
+@pytest.mark.parametrize("kind", ["ties", "skewed", "odd"])
+def test_positions_by_brute_force(spark, kind):
+    rng = random.Random(kind)
+    score = {"ties": lambda: rng.choice([0.1, 0.2]), "skewed": lambda: 1 - 10.0 ** -rng.randrange(1, 15), "odd": lambda: rng.choice([None, float("nan"), 0.0, -1.0, float("inf"), rng.random()])}[kind]
+    rows = [(rng.choice(["a", "b", None]), i, score(), rng.random() < 0.4) for i in range(700)]
+    df = spark.createDataFrame(rows, "query string, id long, score double, flag boolean").repartition(7)
+    got = {r.id: (r.pos, r.hits) for r in ranking.positions(df, partition="query", counting="flag").collect()}
+    assert len(got) == 700
+    for q in ("a", "b", None):
+        order = best_first(rows, q)
+        for i, r in enumerate(order):
+            assert got[r[1]] == (i + 1, sum(x[3] for x in order[: i + 1]))
+    whole = [("all", *r[1:]) for r in rows]
+    assert {r.id: r.pos for r in ranking.positions(df).collect()} == {r[1]: i + 1 for i, r in enumerate(best_first(whole, "all"))}
+    up = ranking.positions(df.select("id", F.md5(F.col("id").cast("string")).alias("h")), "h", ascending=True).orderBy("pos").collect()
+    assert [r.h for r in up] == sorted(r.h for r in up)
+
+
+def test_positions_read_their_rows_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "rand(1) AS score").write.parquet(str(tmp_path / "s"))
+    ranked = ranking.positions(spark.read.parquet(str(tmp_path / "s")))
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    # What is left reads the dealt rows alone, and its one window is over their ranges.
+    assert str(tmp_path / "s") not in ranked._jdf.queryExecution().executedPlan().toString() and plan.count("Window") == 1 and "sum(_n#" in plan
+    assert ranking.positions(spark.createDataFrame([], "id long, score double")).count() == 0
 
 
 def test_toggle(spark):
@@ -73,11 +121,17 @@ def test_toggle_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("toggled").collect())) == sorted(map(tuple, labels.toggled(v).select("seq", "clip_id", "label").collect()))
 
 
-def test_resolution(spark):
-    clips = spark.createDataFrame([(1, "h1", "/a|a"), (2, "h2", "/a|b"), (3, "h1", "/b|a")], "id long, md5 string, origin_key string")
-    entries = spark.createDataFrame([(0, "good", None, "/a|a"), (1, "good", "h1", None), (2, "bad", "h1", "/a|a"), (3, "good", "x", None), (4, "meh", "y", None)], "pos long, label string, md5 string, origin_key string")
-    assert sorted(map(tuple, labels.resolve(entries, clips).collect())) == [(0, 1), (1, 1), (1, 3), (2, 1), (2, 3)]
-    assert [r.pos for r in labels.missing(entries, clips).collect()] == [3]
+def test_resolution_by_brute_force(spark):
+    rng = random.Random(11)
+    some = lambda letter: rng.choice([None, "", *(f"{letter}{i}" for i in range(12))])
+    clip_rows = [(i, some("h"), some("o")) for i in range(40)]
+    entry_rows = [(i, rng.choice(["good", "bad", "meh"]), some("h"), some("o")) for i in range(40)]
+    clips = spark.createDataFrame(clip_rows, "id long, md5 string, origin_key string")
+    entries = spark.createDataFrame(entry_rows, "pos long, label string, md5 string, origin_key string")
+    want = {(p, i) for p, _, h, o in entry_rows for i, md5, key in clip_rows if (h and h == md5) or (o and o == key)}
+    assert sorted(map(tuple, labels.resolve(entries, clips).collect())) == sorted(want)
+    found = {p for p, _ in want}
+    assert sorted(r.pos for r in labels.missing(entries, clips).collect()) == [p for p, label, _, _ in entry_rows if label != "meh" and p not in found]
     plan = labels.resolve(entries, clips)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
@@ -176,64 +230,6 @@ def test_threshold_of_each_key(spark):
         assert got[k] == training.best_threshold(np.array([r[1] for r in own]), np.array([r[2] for r in own]).astype(int), 1)
 
 
-def test_simulated_voting_judges_on_all_test_clips(spark):
-    clips = samples(spark, 90).withColumn("category", F.when(F.col("id") % 3 > 0, "a").otherwise("b"))
-    got = training.simulate_voting(clips, [0, 1], epochs=20, votes=6).collect()
-    assert got and {r.category for r in got} == {"a", "b"} and {r.seed for r in got} == {0, 1}
-    assert all(2 <= r.t <= 6 and abs(r.cost - r.fpr - r.fnr) < 1e-5 for r in got)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, training.simulate_voting(clips, [0, 1], epochs=20, votes=6).collect()))
-    assert training.simulate_voting(clips.where("category = 'a'"), [0], epochs=2, votes=6).count() == 0
-    # The two categories' rates are of different test halves; each is a share of that half's clips.
-    from hashlib import md5
-
-    for r in got:
-        test = [c for c in clips.collect() if int(md5(f"{r.seed}:{r.category}:{c.id}:part".encode()).hexdigest()[:12], 16) / 2**48 < 0.5]
-        bad = sum(c.category != r.category for c in test)
-        assert abs(r.fpr * bad - round(r.fpr * bad)) < 1e-3
-
-
-def test_models_along_the_log(spark, tmp_path):
-    clips = samples(spark, 40)
-    rng = random.Random(5)
-    votes = [(i, rng.randrange(30), rng.choice(["good", "bad"])) for i in range(60)]
-    v = spark.createDataFrame(votes, "seq long, clip_id long, vote string")
-    log = labels.toggled(v)
-    models = steps.step_models(log, clips, steps.last_steps(log, 4)).persist()
-    x = {r.id: np.array(r.embedding) for r in clips.collect()}
-    got, state, at = {r.step: r for r in models.collect()}, {}, {}
-    for seq, clip, vote in votes:
-        if state.get(clip) == vote:
-            del state[clip]
-        else:
-            state[clip] = vote
-        at[seq] = dict(state)
-    assert sorted(got) == [56, 57, 58, 59]
-    said = {}
-    for s, r in got.items():
-        ids = sorted(at[s])
-        y = np.array([at[s][i] == "good" for i in ids]).astype(int)
-        net = training.Network.fitted(np.stack([x[i] for i in ids]), y)
-        assert (r.num_good, r.num_bad) == (y.sum(), len(y) - y.sum())
-        assert r.threshold == pytest.approx(training.best_threshold(net.score(np.stack([x[i] for i in ids])), y), abs=1e-5)
-        said[s] = {i: bool(training.Network.of(np.array(r.p)).score(x[i][None])[0] >= r.threshold) for i in x}
-    for r in steps.progress(log, clips, models).collect():
-        fp = np.mean([said[r.step][i] for i, v in state.items() if v == "bad"])
-        fn = np.mean([not said[r.step][i] for i, v in state.items() if v == "good"])
-        assert r.error_cost == pytest.approx(fp + fn, abs=1e-4)
-        assert (r.num_labels, r.num_unlabeled) == (len(at[r.step]), len(x) - len(at[r.step]))
-        before = said.get(r.step - 1, {})
-        assert r.num_flips == sum(before.get(i, p) != p for i, p in said[r.step].items() if i not in at[r.step] and i not in at[r.step - 1])
-    # A table of steps is only added to.
-    table = str(tmp_path / "steps")
-    steps.update_steps(table, log.where("seq < 58"), clips, n=2)
-    steps.update_steps(table, log, clips, n=4)
-    steps.update_steps(table, log, clips, n=4)
-    assert sorted(r.step for r in spark.read.parquet(table).collect()) == [56, 57, 58, 59]
-    v.write.parquet(str(tmp_path / "in"))
-    q = steps.steps_stream(spark.readStream.schema(v.schema).parquet(str(tmp_path / "in")), clips, str(tmp_path / "live")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120) and steps.read_steps(spark, str(tmp_path / "live/steps")).count() == steps.LAST
-
-
 def test_picked_clips_are_numbered_over_blocks(spark):
     source = spark.range(5, 60_005, 7).selectExpr("id", "concat('n', id) AS filename", "md5(string(id)) AS md5")
     got = labels.cherry_pick(source, source.select("filename"), source.select("md5").limit(0), spark.range(100)).orderBy("id").collect()
