@@ -64,10 +64,3 @@ def result_rows(scores: DataFrame, clips: DataFrame) -> DataFrame:
     return placed.join(clips.select("id", "media_type", "md5", "filename", "category", "origin", "origin_name"), "id").select(
         "detector", "threshold", "media_type", "id", "md5", "filename", "category", "score", "origin", "origin_name", "pos"
     )
-
-
-def results_json(hit_rows: DataFrame) -> DataFrame:
-    """A JSON object for each detector: its name, how many hits, and the hits best first."""
-    entry = F.struct((-F.col("score")).alias("_o"), "id", "score")
-    by = hit_rows.groupBy("name").agg(F.sort_array(F.collect_list(entry)).alias("h"))
-    return by.select("name", F.to_json(F.struct(F.col("name").alias("detector_name"), F.size("h").alias("total_hits"), F.transform("h", lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("hits"))).alias("result"))

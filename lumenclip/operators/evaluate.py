@@ -129,3 +129,32 @@ def stopping_advice(progress: DataFrame) -> DataFrame:
     spread = F.col("range") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
     advice = F.when(F.coalesce("n", F.lit(0)) < 5, "keep").when((spread < 0.1) & (F.col("flips") < 5), "stop").when(spread < 0.15, "consider").when(F.col("flips") < 3, "stable").otherwise("keep")
     return t.select(advice.alias("advice"))
+
+
+def evaluation_report(scored: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """level, dataset, query, ap, num_relevant, num_queries and precision_<k>, recall_<k> of rankings (dataset, query, id,
+    score, relevant): a row for each query, each data set (means of its queries) and all (means of all queries).
+
+    One ranking serves all of them; the levels are grouping sets of the queries' rows.
+    """
+    of = F.struct("dataset", "query")
+    ranked = positions(scored.withColumn("of", of), partition="of", counting="relevant")
+    hit = F.when(F.col("relevant"), F.col("hits") / F.col("pos"))
+    at = lambda k: F.count_if(F.col("relevant") & (F.col("pos") <= k))
+    queries = ranked.groupBy("of").agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias("ap"), F.count_if("relevant").alias("n"), *[at(k).alias(f"h{k}") for k in ks])
+    rates = {f"precision_{k}": F.col(f"h{k}") / k for k in ks} | {f"recall_{k}": ratio(F.col(f"h{k}"), F.col("n")) for k in ks}
+    queries = queries.select("of.dataset", "of.query", "ap", "n", *[c.alias(name) for name, c in rates.items()])
+    level = F.when(F.grouping_id() == 0, "query").when(F.grouping_id() == 1, "dataset").otherwise("all")
+    sets = queries.groupingSets([["dataset", "query"], ["dataset"], []], "dataset", "query")
+    return sets.agg(level.alias("level"), F.avg("ap").alias("ap"), F.sum("n").alias("num_relevant"), F.count("*").alias("num_queries"), *[F.avg(c).alias(c) for c in rates])
+
+
+def report_json(report: DataFrame, media_type: str, ks: tuple[int, ...] = (5, 10, 20), digits: int = 4) -> DataFrame:
+    """dataset, report: a JSON object for each data set, with its mean and its queries (of which a user states a few)."""
+    shown = lambda c: F.round(c, digits)
+    rates = lambda what: F.struct(*[shown(F.col(f"{what}_{k}")).alias(str(k)) for k in ks])
+    entry = F.struct("query", shown(F.col("ap")).alias("AP"), "num_relevant", rates("precision").alias("precision_at_k"), rates("recall").alias("recall_at_k"))
+    per_query = report.where("level = 'query'").groupBy("dataset").agg(F.sort_array(F.collect_list(entry)).alias("per_query"))
+    means = report.where("level = 'dataset'").select("dataset", shown(F.col("ap")).alias("mAP"))
+    text_sort = F.struct("mAP", "per_query").alias("text_sort")
+    return per_query.join(means, "dataset").select("dataset", F.to_json(F.struct(F.col("dataset").alias("dataset_id"), F.lit(media_type).alias("media_type"), text_sort)).alias("report"))

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenclip.functions import embedding, vectors
-from lumenclip.functions.scratch import written
-from lumenclip.operators import detect, evaluate, labels, ranking, steps, training, voting
+from lumenclip.functions import audio, embedding, vectors
+from lumenclip.functions.scratch import scratch_dir, written
+from lumenclip.operators import detect, evaluate, extract, labels, ranking, steps, training, voting
 from lumenclip.plans import model as m
-from lumenclip.sources import readers
+from lumenclip.sources import cache, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,14 +109,24 @@ def _(spark, d):
     return QUERIES["q4_detector_hits"](spark, d).groupBy("name").agg(F.count("*").alias("total_hits"))
 
 
-@query("k2_results")
+@query("q5_extract_numbers", r"SELECT doc_id AS id, 'number' AS label, i - 1 AS n, h[i] AS match FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS h FROM documents), unnest(generate_series(1, len(h))) AS t(i)")
 def _(spark, d):
-    return detect.results_json(QUERIES["q4_detector_hits"](spark, d))
+    return detect.extractions(m.text_clips(spark, d), "[0-9]+", "number")
 
 
-@query("q5_extract_numbers", r"SELECT doc_id AS id, 'number' AS label, i - 1 AS n, h[i] AS match FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS h FROM documents), unnest(generate_series(1, len(h))) AS t(i)")
+@query(
+    "x4_auto_extract",
+    r"""WITH l AS (SELECT page_id AS id, i - 1 AS n, regexp_extract_all(html, 'href="(/[^"]*)"', 1)[i] AS target FROM pages, unnest(generate_series(1, len(regexp_extract_all(html, 'href="(/[^"]*)"')))) AS t(i)),
+    w AS (SELECT page_id AS id, list_filter(regexp_split_to_array(url, '/'), lambda x: x <> '') AS w FROM pages)
+    SELECT 'links' AS extractor, id, count(*) AS n_found, min(target) AS least, max(target) AS most FROM l GROUP BY id
+    UNION ALL SELECT 'charset', page_id, 1, 'utf-8', 'utf-8' FROM pages WHERE html LIKE '%charset="utf-8"%'""",
+)
 def _(spark, d):
-    return detect.extractions(m.text_clips(spark, d), "[0-9]+", "number")
+    """Two extractors on pages, one for another type, and two that can't be built."""
+    clips = m.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("paragraph").alias("media_type"), F.col("html").alias("text"))
+    rows = [("links", "paragraph", "pattern", '{"pattern": "href=\\"(?P<found>/[^\\"]*)\\""}'), ("charset", "paragraph", "pattern", '{"pattern": "charset=\\"(?P<found>utf-8)\\""}'), ("sounds", "audio", "pattern", '{"pattern": "x"}'), ("broken", "paragraph", "pattern", '{"pattern": "("}'), ("unknown", "paragraph", "smell", "{}")]
+    found = extract.auto_extract(clips, extract.registry(spark, rows)).withColumn("found", F.get_json_object("extraction", "$.found"))
+    return found.groupBy("extractor", "id").agg(F.count("*").alias("n_found"), F.min("found").alias("least"), F.max("found").alias("most"))
 
 
 @query("w5_threshold_index", _SIM + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS pos FROM s) SELECT coalesce(min(pos - 1) FILTER (score < 0.1), count(*)) AS threshold_index, count(*) AS total FROM r")
@@ -161,6 +171,27 @@ def _(spark, d):
     return evaluate.average_precision(m.label_queries(spark, d)).agg(F.round(F.coalesce(F.avg("ap"), F.lit(0.0)), 6).alias("map"))
 
 
+@query(
+    "k8_evaluation_report",
+    f"""WITH c AS (SELECT 'set' || (vec_id // 250) AS dataset, vec_id AS id, label, embedding FROM embeddings),
+    f AS (SELECT dataset, label AS query, arg_min(embedding, id) AS q FROM c GROUP BY ALL),
+    s AS (SELECT f.dataset, query, id, {_COS.replace('q.q', 'f.q').replace('e.embedding', 'c.embedding')} AS score, c.label = query AS relevant FROM c JOIN f USING (dataset)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dataset, query ORDER BY score DESC, id) AS pos FROM s),
+    h AS (SELECT *, sum(relevant::INT) OVER (PARTITION BY dataset, query ORDER BY pos) AS hits FROM r),
+    q AS (SELECT dataset, query, coalesce(avg(hits / pos) FILTER (relevant), 0) AS ap, count(*) FILTER (relevant) AS n, count(*) FILTER (relevant AND pos <= 5) AS h5, count(*) FILTER (relevant AND pos <= 10) AS h10, count(*) FILTER (relevant AND pos <= 20) AS h20 FROM h GROUP BY ALL)
+    SELECT CASE WHEN grouping(dataset) = 1 THEN 'all' WHEN grouping(query) = 1 THEN 'dataset' ELSE 'query' END AS level, dataset, query, round(avg(ap), 6) AS ap, sum(n)::BIGINT AS num_relevant, count(*) AS num_queries,
+      round(avg(h5 / 5), 6) AS precision_5, round(avg(h10 / 10), 6) AS precision_10, round(avg(h20 / 20), 6) AS precision_20, round(avg(h5 / n), 6) AS recall_5, round(avg(h10 / n), 6) AS recall_10, round(avg(h20 / n), 6) AS recall_20
+    FROM q GROUP BY GROUPING SETS ((dataset, query), (dataset), ())""",
+)
+def _(spark, d):
+    clips = _collections(spark, d).withColumn("label", F.expr("cast(substring(category, 5) AS int)"))
+    vectors_of = clips.select("dataset", "id", "label", vectors.doubles(F.col("embedding")).alias("v"))
+    first = clips.groupBy("dataset", F.col("label").alias("query")).agg(F.min_by("embedding", "id").alias("q")).select("dataset", "query", vectors.doubles(F.col("q")).alias("q"))
+    scored = vectors_of.join(first, "dataset").select("dataset", "query", "id", vectors.cosine(F.col("v"), F.col("q")).alias("score"), (F.col("label") == F.col("query")).alias("relevant"))
+    told = evaluate.evaluation_report(scored)
+    return told.select(*[F.round(c, 6).alias(c) if c.startswith(("ap", "precision", "recall")) else c for c in told.columns])
+
+
 def _judged(spark, d):
     """Vectors of label 0 by the threshold 0.1 of similarity to vector 0."""
     scored = ranking.similarity(m.vec_clips(spark, d), m.query_vec(spark, d))
@@ -326,6 +357,27 @@ def _(spark, d):
     return readers.truncated(m.text_clips(spark, d).select("id", "text")).select("id", F.md5("text").alias("md5"))
 
 
+@query("s6_cached_dataset", f"SELECT id, category, filename FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY filename) AS n FROM ({_TEXT})) WHERE n <= 20")
+def _(spark, d):
+    """The first twenty of each category, built once for a state of the table."""
+    build = lambda: readers.first_per_category(m.text_clips(spark, d), 20).select("id", "category", "filename")
+    return cache.read_through(spark, f"{scratch_dir(spark)}/cache", {"dataset": "texts", "per_category": 20}, [f"{d}/documents.parquet"], build)
+
+
+@query(
+    "s19_tones",
+    """WITH t AS (SELECT n_nationkey AS id, 200 + 50 * n_nationkey AS frequency, 0.02 * (1 + n_regionkey) AS duration FROM nation),
+    s AS (SELECT id, unnest(list_transform(range(floor(duration * 48000)::BIGINT), lambda i: trunc(32767 * 0.5::DOUBLE * sin(2 * pi() * frequency * (i / 48000)))::BIGINT)) AS s FROM t)
+    SELECT id, count(*) AS n_samples, sum(s)::BIGINT AS total, sum(s * s)::BIGINT AS square, max(s)::BIGINT AS most, 44 + 2 * count(*) AS n_bytes FROM s GROUP BY id""",
+)
+def _(spark, d):
+    """Tones of the nations' numbers, written as WAV files and read back."""
+    t = m.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), (200 + 50 * F.col("n_nationkey")).alias("frequency"), (F.lit(0.02) * (1 + F.col("n_regionkey"))).alias("duration"))
+    files = t.select("id", audio.wav(audio.tone_samples(F.col("frequency"), F.col("duration"))).alias("content"))
+    s = files.select("id", F.octet_length("content").cast("long").alias("n_bytes"), F.explode(audio.wav_samples(F.col("content")).cast("array<bigint>")).alias("s"))
+    return s.groupBy("id", "n_bytes").agg(F.count("*").alias("n_samples"), F.sum("s").alias("total"), F.sum(F.col("s") * F.col("s")).alias("square"), F.max("s").alias("most")).select("id", "n_samples", "total", "square", "most", "n_bytes")
+
+
 @query("s21_split", f"WITH c AS (SELECT *, count(*) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY md5('42:' || category || ':' || id), id) AS r FROM ({_TEXT})) SELECT id, category, CASE WHEN r <= CASE WHEN n >= 2 THEN greatest(least(round_even(n * 0.3::DOUBLE, 0)::BIGINT, n - 1), 1) ELSE round_even(n * 0.3::DOUBLE, 0)::BIGINT END THEN 'test' ELSE 'train' END AS part FROM c")
 def _(spark, d):
     return readers.split(m.text_clips(spark, d), 0.3, 42).select("id", "category", "part")
@@ -357,6 +409,22 @@ def _(spark, d):
     return _result_rows(spark, d)
 
 
+@query(
+    "k2_result_lines",
+    _HITS + """, d AS (SELECT name AS detector, threshold, (SELECT count(*) FROM r WHERE r.detector = w.name) AS total FROM w UNION ALL SELECT 'd3', 2.0, 0),
+    j AS (SELECT r.*, total FROM r JOIN d USING (detector))
+    SELECT 0 AS section, '' AS detector, 0::BIGINT AS pos, '{"media_type":"vector","detectors_run":' || count(*) || ',"results":{' AS line FROM d
+    UNION ALL SELECT 1, detector, 0, '"' || detector || '":{"detector_name":"' || detector || '","threshold":' || threshold::DOUBLE || ',"total_hits":' || total || ',"hits":[' FROM d
+    UNION ALL SELECT 1, detector, pos, to_json({'id': id, 'md5': md5, 'filename': filename, 'category': category, 'score': score::DOUBLE, 'origin': origin, 'origin_name': origin_name})::VARCHAR || CASE WHEN pos < total THEN ',' ELSE '' END FROM j
+    UNION ALL SELECT 1, detector, total + 1, ']}' || CASE WHEN detector < 'd3' THEN ',' ELSE '' END FROM d
+    UNION ALL SELECT 2, '', 0, '}}'""",
+)
+def _(spark, d):
+    """A third detector finds nothing."""
+    names = detect.synthetic_detectors(spark).select("name", "threshold")
+    return sinks.result_lines(_result_rows(spark, d), names.unionByName(spark.createDataFrame([("d3", 2.0)], "name string, threshold double")), "vector")
+
+
 @query("j7_labelset_from_results", _HITS + " SELECT detector, id, 'good' AS label, md5, coalesce(origin, 'clip(' || id || ')') AS origin, CASE WHEN origin IS NULL THEN 'c' || id ELSE origin_name END AS origin_name, filename, category FROM r")
 def _(spark, d):
     clips = _with_origin(spark, d).withColumns({"origin": F.concat(F.lit("clip("), F.col("id"), F.lit(")")), "origin_name": F.concat(F.lit("c"), F.col("id"))})
