@@ -49,11 +49,20 @@ def origin_display(importer: Column, params: Column) -> Column:
     return F.when(F.size(params) > 0, F.concat(importer, F.lit("("), params[0]["v"], F.lit(")"))).otherwise(importer)
 
 
-#: MIME types by extension.
-MIME_TYPES = {".wav": "audio/wav", ".mp3": "audio/mpeg", ".ogg": "audio/ogg", ".flac": "audio/flac", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp", ".mp4": "video/mp4", ".webm": "video/webm", ".txt": "text/plain", ".md": "text/markdown"}
+#: MIME types by extension, and those of each media type's other files.
+MIME_TYPES = {".wav": "audio/wav", ".mp3": "audio/mpeg", ".ogg": "audio/ogg", ".flac": "audio/flac", ".m4a": "audio/mp4", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".webp": "image/webp", ".bmp": "image/bmp", ".mp4": "video/mp4", ".webm": "video/webm", ".mov": "video/quicktime", ".avi": "video/x-msvideo", ".txt": "text/plain", ".md": "text/markdown"}
+MIME_DEFAULTS = {"image": "image/jpeg", "video": "video/mp4", "audio": "audio/wav", "paragraph": "text/plain"}
 
 
-def mime_type(filename: Column, default: str = "application/octet-stream") -> Column:
-    suffix = F.lower(F.regexp_extract(filename, r"(\.[^.]+)$", 1))
-    table = F.create_map(*[F.lit(x) for pair in MIME_TYPES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, suffix), F.lit(default))
+def _of(table: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def mime_type(filename: Column, media_type: Column | None = None, default: str = "application/octet-stream") -> Column:
+    """By the extension, in any case; else, with a media type, that type's own default.  What an extension says of another
+    media type than the given one doesn't count."""
+    found = _of(MIME_TYPES, F.lower(F.regexp_extract(filename, r"(\.[^.]+)$", 1)))
+    if media_type is not None:
+        usual = _of(MIME_DEFAULTS, media_type)
+        found = F.coalesce(F.when(F.substring_index(found, "/", 1) == F.substring_index(usual, "/", 1), found), usual)
+    return F.coalesce(found, F.lit(default))

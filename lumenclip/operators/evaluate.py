@@ -61,10 +61,11 @@ def optimal_threshold(scored: DataFrame, inclusion: int = 0, key: str | None = N
 
 
 def error_cost(judged: DataFrame, keys: list[str], inclusion: int = 0, digits: int = 6) -> DataFrame:
-    """fpr, fnr and weighted cost of (predicted, actual) by ``keys``."""
+    """fpr, fnr and weighted cost of (predicted, actual) by ``keys``; 0 where a class is missing, NaN without any rows."""
     wp, wn = inclusion_weights(inclusion)
     p, a = F.col("predicted"), F.col("actual")
-    c = judged.groupBy(*keys).agg(ratio(F.count_if(p & ~a), F.count_if(~a)).alias("fpr"), ratio(F.count_if(~p & a), F.count_if(a)).alias("fnr"))
+    c = judged.groupBy(*keys).agg(ratio(F.count_if(p & ~a), F.count_if(~a)).alias("fpr"), ratio(F.count_if(~p & a), F.count_if(a)).alias("fnr"), F.count("*").alias("_n"))
+    c = c.withColumns({x: F.when(F.col("_n") == 0, F.lit(float("nan"))).otherwise(F.col(x)) for x in ("fpr", "fnr")})
     return c.select(*keys, F.round(F.col("fpr"), digits).alias("fpr"), F.round(F.col("fnr"), digits).alias("fnr"), F.round(wp * F.col("fpr") + wn * F.col("fnr"), digits).alias("cost"))
 
 

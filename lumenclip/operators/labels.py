@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenclip.operators.ranking import positions
+
 VALID = ("good", "bad")
 
 
@@ -71,6 +73,21 @@ def renamed(registry: DataFrame, old: str, new: str, key: str = "name") -> DataF
     return registry.crossJoin(F.broadcast(state)).withColumn(key, F.when(may, F.lit(new)).otherwise(F.col(key))).select(registry.columns)
 
 
+def removed(registry: DataFrame, names: DataFrame, key: str = "name") -> DataFrame:
+    """A registry without the entries of some names; names that it doesn't have change nothing."""
+    return registry.join(names.select(key), key, "left_anti").select(registry.columns)
+
+
+def entries_by_origin(entries: DataFrame, by: str = "id") -> DataFrame:
+    """Entries of an origin_key with their place in their origin's list, by ascending ``by``, and the list's length.
+
+    The lists are rows, not arrays: an origin may have any share of all entries.  Entries without an origin are left out.
+    """
+    known = entries.where("origin_key IS NOT NULL")
+    placed = positions(known, by, "origin_key", ascending=True)
+    return placed.join(placed.groupBy("origin_key").agg(F.count("*").alias("n_entries"), F.count_distinct("md5").alias("n_hashes")), "origin_key")
+
+
 def vote_sequence(clips: DataFrame, target: str, seed: int) -> DataFrame:
     """t, id, label: every clip voted by its category, in an order by chance (a hash's).
 

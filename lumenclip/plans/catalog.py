@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lumenclip.functions import audio, embedding, vectors
 from lumenclip.functions.scratch import scratch_dir, written
 from lumenclip.operators import detect, evaluate, extract, labels, ranking, steps, training, voting
 from lumenclip.plans import model as m
-from lumenclip.sources import cache, readers, sinks
+from lumenclip.sources import cache, datasets, readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -336,6 +337,62 @@ def _(spark, d):
     return m.text_clips(spark, d).select("id", vectors.mime_type(name).alias("mime"))
 
 
+@query(
+    "p4_media_mime",
+    """WITH c AS (SELECT doc_id AS id, ['image', 'video', 'audio', 'paragraph'][doc_id % 4 + 1] AS media_type, ['.png', '.BMP', '.mov', '.avi', '.mkv', '.webm', '.m4a', '.gif', '', '.md', '.xyz'][doc_id % 11 + 1] AS e FROM documents)
+    SELECT id, CASE media_type WHEN 'image' THEN CASE e WHEN '.png' THEN 'image/png' WHEN '.BMP' THEN 'image/bmp' WHEN '.gif' THEN 'image/gif' ELSE 'image/jpeg' END
+      WHEN 'video' THEN CASE e WHEN '.mov' THEN 'video/quicktime' WHEN '.avi' THEN 'video/x-msvideo' WHEN '.webm' THEN 'video/webm' ELSE 'video/mp4' END
+      WHEN 'audio' THEN CASE e WHEN '.m4a' THEN 'audio/mp4' ELSE 'audio/wav' END ELSE CASE e WHEN '.md' THEN 'text/markdown' ELSE 'text/plain' END END AS mime FROM c""",
+)
+def _(spark, d):
+    of = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("id") % n + 1).cast("int"))
+    kind, end = of(["image", "video", "audio", "paragraph"], 4), of([".png", ".BMP", ".mov", ".avi", ".mkv", ".webm", ".m4a", ".gif", "", ".md", ".xyz"], 11)
+    return m.text_clips(spark, d).select("id", vectors.mime_type(F.concat(F.lit("file"), end), kind).alias("mime"))
+
+
+@query("p13_demo_sizes", "SELECT lang AS name, count(DISTINCT source) * CASE lang WHEN 'en' THEN 80 WHEN 'fr' THEN 100 WHEN 'de' THEN 10 ELSE 50 END AS num_files FROM documents GROUP BY lang")
+def _(spark, d):
+    by = m.table(spark, d, "documents").groupBy(F.col("lang").alias("name")).agg(F.count_distinct("source").alias("n"))
+    kind = F.when(F.col("name").isin("en", "fr"), "image").when(F.col("name") == "de", "video").otherwise("paragraph")
+    return by.select("name", datasets.demo_size(kind, F.when(F.col("name") == "en", "caltech101"), F.col("n")).alias("num_files"))
+
+
+@query("s14_newsgroups", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'sci.space' WHEN n_nationkey % 3 = 1 THEN 'rec.autos' ELSE n_name END AS newsgroup, CASE WHEN n_nationkey % 3 = 0 THEN 'science' WHEN n_nationkey % 3 = 1 THEN 'cars' ELSE n_name END AS category FROM nation")
+def _(spark, d):
+    given = F.when(F.col("n_nationkey") % 3 == 0, "science").when(F.col("n_nationkey") % 3 == 1, "rec.autos").otherwise(F.col("n_name"))
+    return m.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), datasets.newsgroup(given).alias("newsgroup")).withColumn("category", datasets.newsgroup_alias(F.col("newsgroup")))
+
+
+@query(
+    "s2_normalised",
+    f"""SELECT id, CASE WHEN id % 2 = 0 THEN 'paragraph' ELSE 'audio' END AS type, 0.0::DOUBLE AS duration, CASE WHEN id % 5 = 0 THEN 7 ELSE strlen(text) END AS file_size, md5,
+      CASE WHEN id % 3 = 0 THEN 'clip_' || id || CASE WHEN id % 2 = 0 THEN '.paragraph' ELSE '.audio' END ELSE filename END AS filename, CASE WHEN id % 4 = 0 THEN 'unknown' ELSE category END AS category, 'saved' AS origin
+    FROM ({_TEXT}) WHERE (id % 2 = 0 OR id % 3 <> 0) AND text <> ''""",
+)
+def _(spark, d):
+    """Texts of even ids are in the table, those of odd ids in files of their names; every third row has lost its name."""
+    clips = m.text_clips(spark, d)
+    only = lambda c, when: F.when(when, F.col(c)).alias(c)
+    saved = clips.select("id", F.when(F.col("id") % 2 == 0, "paragraph").alias("type"), only("text", F.col("id") % 2 == 0), only("filename", F.col("id") % 3 != 0), only("category", F.col("id") % 4 != 0), F.when(F.col("id") % 5 == 0, 7).alias("file_size"), F.lit("stale").alias("md5"))
+    files = clips.where("id % 2 = 1").select("filename", F.encode("text", "UTF-8").alias("content"))
+    return datasets.normalised(saved, files, "saved").select("id", "type", "duration", "file_size", "md5", "filename", "category", "origin")
+
+
+@query(
+    "s22_label_file",
+    """WITH e AS (SELECT doc_id AS pos, CASE WHEN toxic = 1 THEN 'meh' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label, CASE WHEN doc_id % 7 = 0 THEN 'png' WHEN doc_id % 11 = 0 THEN 'xyz' ELSE 'wav' END AS e, doc_id % 5 <> 0 AS here FROM labels),
+    u AS (SELECT *, CASE e WHEN 'png' THEN 'image' ELSE 'audio' END AS t FROM e WHERE label <> 'meh' AND e <> 'xyz' AND here), f AS (SELECT arg_min(t, pos) AS first FROM u), k AS (SELECT * FROM u, f WHERE t = first)
+    SELECT any_value(t) AS media_type, count(*) AS loaded, (SELECT count(*) FROM e) - count(*) AS skipped, count(*) FILTER (label = 'good') AS num_good, count(*) FILTER (label = 'bad') AS num_bad FROM k""",
+)
+def _(spark, d):
+    i = F.col("doc_id")
+    label = F.when(F.col("toxic") == 1, "meh").when(F.col("quality") == 1, "good").otherwise("bad")
+    name = F.concat(i, F.lit("."), F.when(i % 7 == 0, "PNG").when(i % 11 == 0, "xyz").otherwise("wav"))
+    e = m.table(spark, d, "labels").select(i.alias("pos"), label.alias("label"), F.when(i % 2 == 0, name).otherwise("").alias("path"), F.when(i % 2 == 1, name).alias("file"), F.lit("never").alias("filename"))
+    files = m.table(spark, d, "labels").where("doc_id % 5 <> 0").select(name.alias("place"))
+    return readers.label_file_counts(e, files)
+
+
 @query("p14_origin_display", "SELECT doc_id AS id, 'folder(' || source || ')' AS origin FROM documents")
 def _(spark, d):
     params = F.array(F.struct(F.lit("path").alias("k"), F.col("source").alias("v")))
@@ -493,6 +550,34 @@ def _(spark, d):
     return labels.upserted(brand.groupBy("name").agg(F.max("size").alias("size")), brand.where("size > 45").groupBy("name").agg((-F.max("size")).alias("size")))
 
 
+_BRANDS = "WITH b AS (SELECT p_brand AS name, max(p_size) AS size FROM part GROUP BY 1)"
+
+
+def _brands(spark, d):
+    return m.table(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.max("p_size").alias("size"))
+
+
+@query("u5_removed", _BRANDS + " SELECT * FROM b WHERE name NOT IN (SELECT p_brand FROM part WHERE p_size = 50)")
+def _(spark, d):
+    return labels.removed(_brands(spark, d), m.table(spark, d, "part").where("p_size = 50").select(F.col("p_brand").alias("name")))
+
+
+@query("u5_renamed", _BRANDS + ", f AS (SELECT min(name) AS f, max(name) AS l FROM b) SELECT 'done' AS step, CASE WHEN name = f THEN 'new' ELSE name END AS name, size FROM b, f UNION ALL SELECT 'taken', name, size FROM b UNION ALL SELECT 'missing', name, size FROM b")
+def _(spark, d):
+    """A rename, one to a name that is taken, and one of a name that isn't there: the last two change nothing."""
+    b = _brands(spark, d)
+    first, last = b.agg(F.min("name"), F.max("name")).first()
+    runs = {"done": (first, "new"), "taken": (first, last), "missing": ("absent", "new")}
+    return reduce(DataFrame.unionByName, [labels.renamed(b, *names).select(F.lit(step).alias("step"), "name", "size") for step, names in runs.items()])
+
+
+@query("a23_entry_lists", f"SELECT source AS origin_key, row_number() OVER (PARTITION BY source ORDER BY id) AS pos, id, md5, filename, count(*) OVER (PARTITION BY source) AS n_entries, n_hashes FROM ({_TEXT}) JOIN (SELECT source, count(DISTINCT md5) AS n_hashes FROM ({_TEXT}) GROUP BY source) USING (source) WHERE source <> 'src1'")
+def _(spark, d):
+    """Entries of one source have lost their origin."""
+    e = m.text_clips(spark, d).select("id", "md5", "filename", F.when(F.col("source") != "src1", F.col("source")).alias("origin_key"))
+    return labels.entries_by_origin(e).select("origin_key", "pos", "id", "md5", "filename", "n_entries", "n_hashes")
+
+
 @query("u6_concatenated", f"WITH c AS (SELECT id, filename FROM ({_TEXT})), x AS (SELECT * FROM c WHERE id % 2 = 0), y AS (SELECT * FROM c WHERE id % 2 = 1) SELECT * FROM x UNION ALL SELECT id - (SELECT min(id) FROM y) + (SELECT max(id) FROM x) + 1, filename FROM y")
 def _(spark, d):
     clips = m.text_clips(spark, d).select("id", "filename")

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +9,7 @@ from lumenclip.functions.vectors import stripped
 from lumenclip.operators.ranking import positions
 
 #: Extensions of each media type.
-EXTENSIONS = {"audio": ["wav", "mp3", "ogg", "flac"], "image": ["png", "jpg", "jpeg", "gif", "webp"], "video": ["mp4", "webm"], "paragraph": ["txt", "md"]}
+EXTENSIONS = {"audio": ["wav", "mp3", "flac", "ogg", "m4a"], "image": ["jpg", "jpeg", "png", "gif", "bmp", "webp"], "video": ["mp4", "avi", "mov", "webm", "mkv"], "paragraph": ["txt", "md"]}
 
 
 def read_folder(spark: SparkSession, path: str, media_type: str, recursive: bool = False) -> DataFrame:
@@ -22,9 +18,11 @@ def read_folder(spark: SparkSession, path: str, media_type: str, recursive: bool
         raise ValueError(f"unknown media type: {media_type}")
     glob = "*.{" + ",".join(EXTENSIONS[media_type]) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
+    # Numbers come from the paths alone, so no content is moved for them.
+    numbers = positions(files.select("path", F.col("path").alias("id")), "path", ascending=True).select("path", F.col("pos").alias("id"))
     name, params = F.element_at(F.split("path", "/"), -1), F.array(F.struct(F.lit("path").alias("k"), F.lit(path).alias("v")))
-    return files.select(
-        F.row_number().over(Window.orderBy("path")).cast("long").alias("id"), F.lit(media_type).alias("type"), F.md5("content").alias("md5"), F.col("length").alias("file_size"), name.alias("filename"),
+    return files.join(numbers, "path").select(
+        "id", F.lit(media_type).alias("type"), F.md5("content").alias("md5"), F.col("length").alias("file_size"), name.alias("filename"),
         F.lit("custom").alias("category"), F.lit("folder").alias("importer"), params.alias("params"), name.alias("origin_name"), "content",
     )
 
@@ -72,28 +70,6 @@ def feed_name(url: Column) -> Column:
     return F.concat(F.substring(F.md5(url), 1, 8), F.lit("_"), F.element_at(F.split(F.split(url, r"[?#]")[0], "/"), -1))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """archive, name, content of the files in zip and tar archives; a task unpacks an archive at a time."""
-
-    def unpack(batches):
-        import pandas as pd
-
-        for b in batches:
-            for p, content in zip(b.path, b.content, strict=True):
-                if zipfile.is_zipfile(io.BytesIO(content)):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for n in z.namelist():
-                            if not n.endswith("/"):
-                                yield pd.DataFrame({"archive": [p], "name": [n], "content": [z.read(n)]})
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                        for m in t:
-                            if m.isfile():
-                                yield pd.DataFrame({"archive": [p], "name": [m.name], "content": [t.extractfile(m).read()]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, name string, content binary")
-
-
 def tones(spark: SparkSession) -> DataFrame:
     """The synthetic data set: twenty tones."""
     i = F.col("id")
@@ -126,3 +102,12 @@ def usable_labels(entries: DataFrame) -> DataFrame:
     typed = entries.where(F.col("label").isin("good", "bad")).withColumn("place", path).withColumn("media_type", F.try_element_at(table, F.lower(F.regexp_extract("place", r"\.([^.]+)$", 1)))).where("media_type IS NOT NULL")
     first = typed.agg(F.min_by("media_type", "pos").alias("first_type"))
     return typed.crossJoin(F.broadcast(first)).where("media_type = first_type").select("pos", "label", "place", "media_type")
+
+
+def label_file_counts(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """media_type, loaded, skipped, num_good, num_bad of a label file: what there is to train from among ``files`` (place)."""
+    here = entries.withColumn("_place", F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("path", "file", "filename")]))
+    here = here.join(files.select(F.col("place").alias("_place")).distinct(), "_place", "left_semi")
+    used = usable_labels(here.select(entries.columns))
+    n = used.agg(F.first("media_type").alias("media_type"), F.count("*").alias("loaded"), F.count_if(F.col("label") == "good").alias("num_good"), F.count_if(F.col("label") == "bad").alias("num_bad"))
+    return n.crossJoin(F.broadcast(entries.agg(F.count("*").alias("_all")))).select("media_type", "loaded", (F.col("_all") - F.col("loaded")).alias("skipped"), "num_good", "num_bad")

@@ -182,11 +182,6 @@ def test_files(spark, tmp_path):
     sinks.write_dataset(clips, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     assert readers.tones(spark).agg(F.max("frequency")).first()[0] == 1150
-    import zipfile
-
-    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
-        z.writestr("x/y.txt", "hi")
-    assert [(r.name, bytes(r.content)) for r in readers.read_archives(spark, str(tmp_path / "a.zip")).collect()] == [("x/y.txt", b"hi")]
 
 
 def test_usable_labels(spark):
