@@ -218,11 +218,11 @@ def test_registries(spark, tmp_path):
 
 def test_detector_of_a_label_file(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, (rng.normal(0, 0.3, 16) + (1 if i % 2 else -1)).tolist() if i else None, "good" if i % 2 else "bad") for i in range(41)] + [(99, [0.0] * 16, "meh")]
+    rows = [(i, (rng.normal(0, 1, 16) + (0.3 if i % 2 else -0.3)).tolist() if i else None, "good" if i % 2 else "bad") for i in range(41)] + [(99, [0.0] * 16, "meh")]
     known = spark.createDataFrame(rows, "id long, embedding array<double>, label string")
     detector = training.trained_detector("ours", "vector", known)
     clips = known.where("embedding IS NOT NULL").withColumn("media_type", F.lit("vector"))
     said = {r.id for r in detect.hits(detect.detector_scores(clips, detector)).collect()}
-    assert {i for i in range(1, 41) if i % 2} == said - {99} and detector.first().threshold == round(detector.first().threshold, 4)
+    assert sum((i in said) == (i % 2 == 1) for i in range(1, 41)) > 32 and detector.first().threshold == round(detector.first().threshold, 4)
     with pytest.raises(ValueError):
         training.trained_detector("x", "vector", known.where("label = 'good'"))
