@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenclip.functions.scratch import written
+
 BUCKETS = 256
 WORD = r"[\p{L}\p{N}]+"
 
@@ -52,16 +54,15 @@ def text_similarity(texts: DataFrame, query: str, buckets: int = BUCKETS) -> Dat
 
 
 def with_vectors(clips: DataFrame, vectors: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``clips`` (id, filename, text) with embedding and precomputed: the vector that ``vectors`` (name, embedding) has for
-    the file's base name, and for the other clips, only, what the embedder makes of the text.
+    """id, embedding, precomputed of ``clips`` (id, filename, text): the vector that ``vectors`` (name, embedding) has for the
+    file's base name, and for the other clips, only, what the embedder makes of the text.
 
     Of vectors with one name the first in order counts; vectors of null are none.  Names are compared without folders.
+    Names and ids meet first, so texts move once, to those that lack a vector.
     """
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     known = vectors.where("embedding IS NOT NULL").groupBy(base(F.col("name")).alias("_base")).agg(F.min("embedding").alias("_vector"))
-    found = clips.withColumn("_base", base(F.col("filename"))).join(known, "_base", "left").drop("_base")
-    misses = found.where("_vector IS NULL").select("id", "text")
-    made = embed_texts(misses, buckets).withColumnRenamed("embedding", "_made")
-    have = found.where("_vector IS NOT NULL").withColumns({"embedding": F.col("_vector").cast("array<double>"), "precomputed": F.lit(True)})
-    rest = found.where("_vector IS NULL").join(made, "id").withColumns({"embedding": F.col("_made"), "precomputed": F.lit(False)})
-    return have.drop("_vector").unionByName(rest.drop("_vector", "_made"))
+    marked = written(clips.select("id", base(F.col("filename")).alias("_base")).join(known, "_base", "left").select("id", "_vector"))
+    misses = clips.select("id", "text").join(marked.where("_vector IS NULL").select("id"), "id", "left_semi")
+    have = marked.where("_vector IS NOT NULL").select("id", F.col("_vector").cast("array<double>").alias("embedding"), F.lit(True).alias("precomputed"))
+    return have.unionByName(embed_texts(misses, buckets).withColumn("precomputed", F.lit(False)))

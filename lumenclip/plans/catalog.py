@@ -69,7 +69,7 @@ def _(spark, d):
 
 
 @query(
-    "x11_vectors_or_embedder",
+    "vectors_x11_or_embedder",
     f"""WITH t AS ({_TEXT}), k AS (SELECT t.id, embedding FROM t JOIN embeddings ON vec_id = id AND id % 2 = 0), texts AS (SELECT id, text FROM t WHERE id NOT IN (SELECT id FROM k)), {_HASHED},
     n AS (SELECT id, sqrt(sum(v * v)::DOUBLE) AS n FROM b GROUP BY id), m AS (SELECT id, sum(v * (bucket + 1)) / any_value(n) AS s FROM b JOIN n USING (id) GROUP BY id)
     SELECT id, true AS precomputed, 64 AS width, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * i)), 3) AS checksum FROM k
