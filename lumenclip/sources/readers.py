@@ -91,8 +91,11 @@ def split(clips: DataFrame, fraction: float, seed: int) -> DataFrame:
     sizes = clips.groupBy("category").agg(F.count("*").alias("_n"))
     test = F.bround(F.col("_n") * fraction).cast("long")
     sizes = sizes.withColumn("_t", F.when(F.col("_n") >= 2, F.greatest(F.least(test, F.col("_n") - 1), F.lit(1))).otherwise(test))
-    placed = positions(clips.withColumn("_chance", F.md5(F.concat_ws(":", F.lit(seed), "category", "id"))), "_chance", "category", ascending=True)
-    return placed.join(sizes, "category").withColumn("part", F.when(F.col("pos") <= F.col("_t"), "test").otherwise("train")).drop("_n", "_t", "_chance", "pos")
+    # Ids alone are put in order, so texts and embeddings move only if the caller wants them.
+    chance = F.md5(F.concat_ws(":", F.lit(seed), "category", "id")).alias("_chance")
+    placed = positions(clips.select("id", "category", chance), "_chance", "category", ascending=True)
+    marked = placed.join(sizes, "category").select("id", F.when(F.col("pos") <= F.col("_t"), "test").otherwise("train").alias("part"))
+    return clips.join(marked, "id").select(*clips.columns, "part")
 
 
 def usable_labels(entries: DataFrame) -> DataFrame:
