@@ -1,5 +1,6 @@
 """The training-data operators on small and odd inputs, against brute force where SQL has no say."""
 
+import collections
 import hashlib
 import random
 import re
@@ -211,42 +212,55 @@ def test_a_bad_host(spark):
     assert got.where("host_failed AND NOT base_failed").count() == 100 and got.where("kept AND (base_failed OR host_failed)").count() == 0
 
 
-def test_kneser_ney_by_dictionaries(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MIN_TEXTS", 2)
-    monkeypatch.setattr(toxicity, "MIN_PAIR_TEXTS", 2)
-    rng, words = random.Random(5), [f"w{i}" for i in range(12)]
-    rows = [(i, " ".join(rng.choice(words[(i % 2) * 3 : 9 + (i % 2) * 3]) for _ in range(rng.randrange(1, 9))), i % 2) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    model = toxicity.fit_counts(df, df.select("doc_id", "text"))
-    once = [(y, p) for _, t, y in rows for p in set(zip(["", *t.split()], t.split(), strict=False))]
-    n = lambda y, v=None, u=None: sum(c == y and (v is None or p[0] == v) and (u is None or p[1] == u) for c, p in once)
-    follow = lambda y, v: len({p for c, p in once if c == y and p[0] == v})
-    shared, d = {u: n(0, u=u) + n(1, u=u) for u in words}, toxicity.DISCOUNT
-    buckets, rare = 1 << toxicity.UNIGRAM_BITS, {u for u in words if n(0, u=u) + n(1, u=u) < 2}
-    cells = sum(shared.values()) + 0.5 * buckets
-    common = sum(shared[u] + 0.5 for u in words if u not in rare)
-
-    def unigram(y, u):
-        if u in rare:
-            return (shared[u] + 0.5) / cells
-        total = sum(n(y, u=x) for x in words if x not in rare)
-        kept = {x: max(n(y, u=x) - d, 0) for x in words if x not in rare}
-        return (kept[u] + (total - sum(kept.values())) * (shared[u] + 0.5) / common) / total
+def test_kneser_ney_by_dictionaries(spark):
+    """Every expression's ratio from plain dictionaries over bytes, on class texts and more documents without a label."""
+    rng, parts = random.Random(5), ["ka", "lo", "mi", "tu", "ré", "Zz9"]
+    word = lambda y: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) + ("vile" if y and rng.random() < 0.3 else "")
+    rows = [(i, rng.choice([" ", "... "]).join(word(i % 2) for _ in range(rng.randrange(0, 30))), i % 2) for i in range(120)]
+    more = [(1000 + i, " ".join(word(i % 9 == 0) for _ in range(20)), None) for i in range(60)] + [(2000, None, None), (2001, "--", None)]
+    df, docs = spark.createDataFrame(rows, "doc_id long, text string, y int"), spark.createDataFrame(rows + more, "doc_id long, text string, y int")
+    model = toxicity.fit_counts(df, docs.select("doc_id", "text"))
+
+    def grams(text):
+        runs = re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        stream = b" " + b"".join(r + b" " for r in runs)
+        return [stream[i : i + 5] for i in range(len(stream) - 4)], sum(map(len, runs))
+
+    counts, texts, shared = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()], collections.Counter()
+    for _, t, y in rows:
+        g, _ = grams(t)
+        counts[y].update(g)
+        texts[y].update({*g, *(x[:4] for x in g)})
+    for _, t, _ in rows + more:
+        shared.update(set(grams(t)[0]))
+
+    def gain(g):
+        h, stat = g[:4], 0.0
+        a, n = [texts[k][g] for k in (0, 1)], [texts[k][h] for k in (0, 1)]
+        p = sum(a) / max(sum(n), 1)
+        for k in (0, 1):
+            stat += 2 * sum(x * np.log(x / e) for x, e in ((a[k], n[k] * p), (n[k] - a[k], n[k] * (1 - p))) if x)
+        if stat < toxicity.SIGNIFICANT:
+            return 0.0
+        back, logs = shared[g] / sum(v for x, v in shared.items() if x[:4] == h), []
+        for c in counts:
+            seen, types = sum(v for x, v in c.items() if x[:4] == h), sum(x[:4] == h for x in c)
+            logs.append(np.log((max(c[g] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * types * back) / seen if seen else back))
+        return logs[1] - logs[0]
+
+    told = {g: gain(g) for g in {*counts[0], *counts[1]}}
+    assert sum(v != 0 for v in told.values()) == len(model.logs[0]) > 3
 
     def ratio(text):
-        total = 0.0
-        for v, u in zip(["", *text.split()], text.split(), strict=False):
-            back = min(max(d * (follow(0, v) + follow(1, v)) / max(n(0, v) + n(1, v), 1), 0.05), 1)
-            logs = [np.log(max((1 - back) * max(n(y, v, u) - d, 0) / max(n(y, v), 1) * (n(0, v, u) + n(1, v, u) >= 2) + back * unigram(y, u), 1e-12)) for y in (0, 1)]
-            r = logs[1] - logs[0]
-            total += np.sign(r) * max(abs(r) - toxicity.MARGIN, 0)
-        mean = total / len(text.split())
+        g, size = grams(text)
+        mean = sum(told.get(x, 0.0) for x in g) / max(size, 1)
         return np.sign(mean) * np.log1p(1000 * abs(mean))
 
     import pyarrow as pa
 
-    (_, _, w), = toxicity.words_of(pa.array([t for _, t, _ in rows]), True, toxicity.WORD_SEPARATORS)
-    assert np.allclose(model.ratio(w), [ratio(t) for _, t, _ in rows], rtol=1e-3, atol=2e-2)
+    every = [t for _, t, _ in rows + more]
+    assert np.allclose(model.ratios(pa.array(every)), [ratio(t) for t in every], rtol=1e-9, atol=1e-9)
+    assert np.mean([ratio(t) for _, t, y in rows if y]) > 0 > np.mean([ratio(t) for _, t, y in rows if not y])
 
 
 def test_a_curve_of_one_class_falls_back(spark):
