@@ -212,6 +212,24 @@ def test_a_bad_host(spark):
     assert got.where("host_failed AND NOT base_failed").count() == 100 and got.where("kept AND (base_failed OR host_failed)").count() == 0
 
 
+def test_host_verdicts_change_what_is_kept(spark):
+    """Each rule has hosts of its own: one fails symbols, one lines; one is trusted on symbols; the others are usual."""
+    good = " ".join(f"w{i}" for i in range(60))
+    signs, same = good + " ######## ****", good + "\nx\nx\nx"
+    rows = []
+    for h in range(20):  # 1 of 20 fails symbols, 1 of 20 lines
+        rows += [(f"h{h}", signs if i % 20 == 0 else same if i % 20 == 1 else good) for i in range(200)]
+    rows += [("signs", signs if i % 2 else good) for i in range(200)] + [("lines", same if i % 2 else good) for i in range(200)] + [("fine", signs if i == 0 else good) for i in range(4000)]
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = rules.quality_rules(df).collect()
+    assert {r.source for r in got if r.host_failed} == {"signs", "lines"} and not any(r.base_failed for r in got)
+    # Clean documents go with their host; a failure on a trusted host stays; elsewhere it goes.
+    assert not any(r.kept for r in got if r.source in ("signs", "lines"))
+    assert all(r.kept for r in got if r.source == "fine") and [r.excused for r in got if r.source == "fine" and r.n_symbols > 6] == [True]
+    usual = [r for r in got if r.source.startswith("h")]
+    assert all(r.kept == (10 * r.n_symbols <= r.n_words and 10 * r.n_dup_lines <= 3 * r.n_lines) for r in usual) and sum(not r.kept for r in usual) == 400
+
+
 def test_kneser_ney_by_dictionaries(spark):
     """Every expression's ratio from plain dictionaries over bytes, on class texts and more documents without a label."""
     rng, parts = random.Random(5), ["ka", "lo", "mi", "tu", "ré", "Zz9"]
