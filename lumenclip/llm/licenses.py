@@ -5,8 +5,8 @@ its own.  A rule is a regular expression over that form, a keyword without which
 priority.  One pass finds the keywords of a text; only rules of a keyword that is there run on it.  A detection that
 lies within one of a better priority, or within a longer one of the same priority, is suppressed.
 
-Rules are sentences of the licenses' notices, and their names in the phrases that grant, name or declare a license, so
-there are some hundreds of them; the table has a fixed size, which is what lets it be broadcast.  Only texts with a keyword are handed on with
+Rules are sentences of the licenses' notices, over two hundred and fifty of them written out, and the licenses' names in the
+phrases that grant, name or declare a license; the table has a fixed size, which is what lets it be broadcast.  Only texts with a keyword are handed on with
 their rules, and detections of one text meet in windows of that text alone.
 
 Native: DataFrame functions only.  Null and empty texts have no words and no labels and score 0.  Repeated rows are
@@ -162,7 +162,8 @@ NOTICES = [
     ("php-3.01", "php", "subject to version 3 (0|01) of the php license", 1, 0.95),
     ("ms-pl", "microsoft", "microsoft public license", 1, 0.9),
     ("ms-rl", "microsoft", "microsoft reciprocal license", 1, 0.9),
-    ("eupl-1.2", "european", "licensed under the (eupl|european union public licence) version 1 2", 1, 0.95),
+    ("eupl-1.2", "eupl", "eupl (version )?(1|v1) 2", 1, 0.95),
+    ("eupl-1.2", "european", "european union public licence (version )?(1|v1) 2", 1, 0.95),
     ("llvm-exception", "llvm", "apache license v2 0 with llvm exceptions", 0, 0.95),
     ("classpath-exception", "linking", "linking this library statically or dynamically with other modules is making a combined work", 1, 0.95),
     ("sspl-1.0", "server", "server side public license", 1, 0.9),
@@ -174,6 +175,171 @@ NOTICES = [
     ("proprietary", "reserved", "all rights reserved", 2, 0.5),
     ("proprietary", "unauthorized", "unauthorized (copying|use|distribution) of this (file|software) via any medium is strictly prohibited", 1, 0.9),
     ("proprietary", "confidential", "proprietary and confidential", 1, 0.8),
+    ("mit", "furnished", "to permit persons to whom the software is furnished to do so", 1, 0.95),
+    ("mit-0", "furnished", "to whom the software is furnished to do so the software is provided as is", 0, 0.95),
+    ("mit", "tort", "whether in an action of contract tort or otherwise arising from out of or in connection with the software", 1, 0.9),
+    ("mit", "expat", "expat licen(s|c)e", 1, 0.9),
+    ("mit", "mit", "governed by (an|the) mit style license that can be found in the license file", 1, 0.95),
+    ("json", "evil", "the software shall be used for good not evil", 0, 0.95),
+    ("icu", "notice", "that both the above copyright notice s and this permission notice appear in supporting documentation", 1, 0.85),
+    ("ncsa", "illinois", "university of illinois ncsa open source license", 1, 0.95),
+    ("bsd", "contributors", "this software is provided by the copyright holders and contributors as is", 1, 0.9),
+    ("bsd", "regents", "this software is provided by the regents and contributors as is", 1, 0.9),
+    ("bsd", "exemplary", "direct indirect incidental special exemplary or consequential damages", 1, 0.85),
+    ("bsd", "procurement", "procurement of substitute goods or services loss of use data or profits or business interruption", 1, 0.85),
+    ("bsd", "bsd", "governed by a bsd style license that can be found in the license file", 1, 0.95),
+    ("bsd-4-clause-uc", "berkeley", "this product includes software developed by the university of california berkeley and its contributors", 0, 0.95),
+    ("bsd-3-clause", "endorse", "nor the names of its contributors may be used to endorse or promote products derived from this software", 1, 0.95),
+    ("bsd-3-clause-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license", 0, 0.95),
+    ("bsd-3-clause-no-nuclear", "nuclear", "intended for use in the design construction operation or maintenance of any nuclear facility", 0, 0.95),
+    ("bsd-2-clause-patent", "receiving", "each copyright holder and contributor hereby grants to those receiving rights under this license", 0, 0.95),
+    ("bsd-2-clause-views", "freebsd", "representing official policies either expressed or implied of the freebsd project", 0, 0.95),
+    ("apache-2", "contributor", "licensed to the apache software foundation asf under one or more contributor license agreements", 1, 0.95),
+    ("apache-2", "governing", "see the license for the specific language governing permissions and limitations under the license", 1, 0.8),
+    ("apache-2", "apache", "www apache org licenses license 2 0", 1, 0.95),
+    ("apache-2", "irrevocable", "royalty free irrevocable copyright license to reproduce prepare derivative works of", 1, 0.9),
+    ("apache-2", "reproduction", "terms and conditions for use reproduction and distribution", 1, 0.85),
+    ("apache-1.1", "apache", "may not be called apache nor may apache appear in their name", 1, 0.95),
+    ("apache-1.0", "apache", "may not be called apache nor may apache appear in their names", 0, 0.95),
+    ("apache-1.0", "apache", "developed by the apache group for use in the apache http server project", 0, 0.95),
+    ("ecl-2.0", "educational", "licensed under the educational community license version 2 0", 1, 0.95),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose", 1, 0.75),
+    ("gpl", "foundation", "if not write to the free software foundation", 1, 0.85),
+    ("gpl", "incorporating", "general public license does not permit incorporating your program into proprietary programs", 1, 0.9),
+    ("gpl", "absolutely", "comes with absolutely no warranty for details type show w", 1, 0.9),
+    ("gpl-2.0", "freedom", "the licenses for most software are designed to take away your freedom to share and change it", 1, 0.95),
+    ("gpl-3.0", "freedom", "software and other practical works are designed to take away your freedom to share and change the works", 1, 0.95),
+    ("gpl-3.0", "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works", 1, 0.95),
+    ("gpl-3.0", "methods", "installation information for a user product means any methods procedures authorization keys", 1, 0.9),
+    ("gpl-2.0", "gnu", "www gnu org licenses (old licenses )?gpl 2 0", 0, 0.95),
+    ("gpl-3.0", "gnu", "www gnu org licenses gpl 3 0", 0, 0.95),
+    ("lgpl", "gnu", "see the gnu (lesser|library) general public license for more details", 1, 0.9),
+    ("lgpl", "lgpl", "www gnu org licenses (old licenses )?lgpl", 0, 0.9),
+    ("lgpl-2.0", "gnu", "gnu library general public license as published by the free software foundation either version 2", 0, 0.95),
+    ("lgpl-2.0", "designated", "the library general public license applies to some specially designated", 1, 0.95),
+    ("lgpl-2.1", "designated", "the lesser general public license applies to some specially designated software packages", 1, 0.95),
+    ("lgpl-2.1", "gnu", "gnu lesser general public license version 2 1 as published by the free software foundation", 0, 0.95),
+    ("lgpl-3.0", "supplemented", "version 3 of the gnu general public license supplemented by the additional permissions", 1, 0.95),
+    ("agpl-3.0", "copyleft", "the gnu affero general public license is a free copyleft license", 1, 0.95),
+    ("agpl-3.0", "remotely", "all users interacting with it remotely through a computer network", 1, 0.95),
+    ("agpl-3.0", "affero", "see the gnu affero general public license for more details", 1, 0.9),
+    ("agpl-3.0", "agpl", "www gnu org licenses agpl", 0, 0.95),
+    ("gcc-exception-3.1", "gcc", "gcc runtime library exception", 0, 0.95),
+    ("autoconf-exception", "autoconf", "contains a configuration script generated by autoconf", 0, 0.95),
+    ("libtool-exception", "libtool", "as part of a program or library that is built using gnu libtool", 0, 0.95),
+    ("bison-exception", "bison", "you may create a larger work that contains part or all of the bison parser skeleton", 0, 0.95),
+    ("font-exception", "embed", "if you create a document which uses this font and embed this font", 0, 0.9),
+    ("openssl-exception", "openssl", "permission to link the code of portions of this program with the openssl library", 0, 0.95),
+    ("linux-syscall-note", "kernel", "does not cover user programs that use kernel services by normal system calls", 0, 0.95),
+    ("wxwindows", "wxwindows", "wxwindows library licen(s|c)e", 1, 0.95),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 1, 0.95),
+    ("mpl-2.0", "mozilla", "mozilla org mpl 2 0", 1, 0.95),
+    ("mpl-2.0-no-copyleft-exception", "incompatible", "incompatible with secondary licenses as defined by the mozilla public license", 0, 0.95),
+    ("mpl-1.0", "mozilla", "the contents of this file are subject to the mozilla public license version 1 0", 1, 0.95),
+    ("mpl-1.1", "alternatively", "alternatively the contents of this file may be used under the terms of either the gnu general public license", 1, 0.9),
+    ("npl-1.1", "netscape", "the contents of this file are subject to the netscape public license version 1 1", 1, 0.95),
+    ("cpal-1.0", "attribution", "subject to the common public attribution license version 1 0", 1, 0.95),
+    ("spl-1.0", "sun", "the contents of this file are subject to the sun public license", 1, 0.95),
+    ("sissl", "sun", "sun industry standards source license", 1, 0.95),
+    ("ipl-1.0", "ibm", "accompanying program is provided under the terms of this ibm public license", 1, 0.95),
+    ("epl", "eclipse", "accompanying program is provided under the terms of this eclipse public license", 1, 0.95),
+    ("epl-1.0", "eclipse", "www eclipse org legal epl v10", 0, 0.95),
+    ("epl-2.0", "eclipse", "www eclipse org legal epl (2 0|v20)", 0, 0.95),
+    ("edl-1.0", "eclipse", "eclipse distribution license", 1, 0.95),
+    ("cecill", "cecill", "governed by the cecill license under french law", 1, 0.95),
+    ("cecill-b", "cecill", "governed by the cecill b license under french law", 1, 0.95),
+    ("cecill-c", "cecill", "governed by the cecill c license under french law", 1, 0.95),
+    ("osl-3.0", "licensed", "licensed under the open software license version 3 0", 1, 0.95),
+    ("afl-3.0", "academic", "licensed under the academic free license version 3 0", 1, 0.95),
+    ("afl-2.1", "academic", "licensed under the academic free license version 2 1", 1, 0.95),
+    ("rpl-1.5", "reciprocal", "reciprocal public license (version )?1 5", 1, 0.95),
+    ("qpl-1.0", "q", "q public license version 1 0", 1, 0.95),
+    ("lpl-1.02", "lucent", "lucent public license version 1 02", 1, 0.95),
+    ("apsl-2.0", "apple", "subject to the apple public source license version 2 0", 1, 0.95),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license", 1, 0.85),
+    ("artistic-1.0", "artistic", "the copyright holder maintains some semblance of artistic control over the development of the package", 1, 0.95),
+    ("artistic-2.0", "establishes", "this license establishes the terms under which a given free software package may be copied", 1, 0.95),
+    ("ruby", "duplicate", "give away verbatim copies of the source form of the software without restriction provided that you duplicate", 1, 0.9),
+    ("tcl", "retained", "for any purpose provided that existing copyright notices are retained in all copies", 1, 0.95),
+    ("vim", "vim", "there are no restrictions on distributing unmodified copies of vim", 1, 0.95),
+    ("python-2.0", "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license", 1, 0.95),
+    ("python-2.0", "beopen", "beopen com license agreement for python 2 0", 1, 0.95),
+    ("cnri-python", "cnri", "cnri license agreement for python", 1, 0.95),
+    ("zpl-2.1", "zope", "zope public license zpl version 2 1", 1, 0.95),
+    ("w3c", "w3c", "w3c software (and document )?notice and license", 1, 0.95),
+    ("unicode-dfs", "unicode", "unicode inc license agreement data files and software", 1, 0.95),
+    ("unicode-3.0", "unicode", "unicode license v3", 1, 0.95),
+    ("ftl", "freetype", "the freetype project license", 1, 0.95),
+    ("imagemagick", "imagemagick", "licensed under the imagemagick license", 1, 0.95),
+    ("libtiff", "leffler", "the names of sam leffler and silicon graphics may not be used in any advertising", 1, 0.95),
+    ("bzip2-1.0.6", "bzip2", "this program bzip2 the associated library libbzip2 and all documentation are copyright", 1, 0.95),
+    ("info-zip", "archives", "compiled executables and self extracting archives must reproduce the above copyright notice", 1, 0.95),
+    ("sendmail", "sendmail", "sendmail license", 1, 0.9),
+    ("ssleay", "ssl", "this package is an ssl implementation written by eric young", 1, 0.95),
+    ("ssleay", "cryptographic", "this product includes cryptographic software written by eric young", 1, 0.95),
+    ("fsfap", "royalty", "are permitted in any medium without royalty provided the copyright notice and this notice are preserved", 1, 0.95),
+    ("fsful", "configure", "this configure script is free software the free software foundation gives unlimited permission", 1, 0.95),
+    ("fsfullr", "unlimited", "unlimited permission to copy and or distribute it with or without modifications as long as this notice is preserved", 1, 0.95),
+    ("blueoak-1.0.0", "oak", "blue oak model license", 1, 0.95),
+    ("upl-1.0", "permissive", "universal permissive license", 1, 0.95),
+    ("mulanpsl-2.0", "mulan", "licensed under mulan psl v2", 1, 0.95),
+    ("ogl-uk-3.0", "government", "open government licence v3 0", 1, 0.95),
+    ("etalab-2.0", "ouverte", "licence ouverte open licence", 1, 0.95),
+    ("opl-1.0", "publication", "terms and conditions set forth in the open publication license", 1, 0.95),
+    ("gfdl", "documentation", "gnu free documentation license version 1 (1|2|3)", 1, 0.95),
+    ("lppl", "latex", "under the conditions of the latex project public license", 1, 0.95),
+    ("ofl-1.1", "sil", "sil open font license version 1 1", 1, 0.95),
+    ("ofl-1.1", "sil", "scripts sil org ofl", 1, 0.95),
+    ("bitstream-vera", "vera", "bitstream vera is a trademark of bitstream inc", 1, 0.95),
+    ("bitstream-vera", "fonts", "to any person obtaining a copy of the fonts accompanying this license", 1, 0.95),
+    ("arphic-1999", "arphic", "arphic public license", 1, 0.95),
+    ("ipa", "ipa", "ipa font license agreement", 1, 0.95),
+    ("nasa-1.3", "nasa", "nasa open source agreement version 1 3", 1, 0.95),
+    ("boost-1.0", "boost", "www boost org license 1 0 txt", 1, 0.95),
+    ("unlicense", "unlicense", "unlicense org", 1, 0.9),
+    ("wtfpl", "wtfpl", "www wtfpl net", 1, 0.95),
+    ("mit", "opensource", "opensource org licenses mit", 1, 0.95),
+    ("isc", "opensource", "opensource org licenses isc", 1, 0.95),
+    ("zlib", "opensource", "opensource org licenses zlib", 1, 0.95),
+    ("bsd-2-clause", "opensource", "opensource org licenses bsd 2 clause", 1, 0.95),
+    ("bsd-3-clause", "opensource", "opensource org licenses bsd 3 clause", 1, 0.95),
+    ("apache-2", "opensource", "opensource org licenses apache 2 0", 1, 0.95),
+    ("cc-by", "creativecommons", "creativecommons org licenses by (1|2|3|4) (0|5)", 1, 0.95),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa (1|2|3|4) (0|5)", 1, 0.95),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd (1|2|3|4) (0|5)", 1, 0.95),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc (1|2|3|4) (0|5)", 1, 0.95),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa (1|2|3|4) (0|5)", 1, 0.95),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd (1|2|3|4) (0|5)", 1, 0.95),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0", 1, 0.95),
+    ("cc0-1.0", "commons", "creative commons legal code cc0 1 0 universal", 1, 0.95),
+    ("odbl-1.0", "opendatacommons", "opendatacommons org licenses odbl", 1, 0.95),
+    ("odc-by", "opendatacommons", "opendatacommons org licenses by", 1, 0.95),
+    ("pddl-1.0", "opendatacommons", "opendatacommons org licenses pddl", 1, 0.95),
+    ("cdla-permissive", "permissive", "community data license agreement permissive version (1|2) 0", 1, 0.95),
+    ("cdla-sharing", "sharing", "community data license agreement sharing version 1 0", 1, 0.95),
+    ("c-uda-1.0", "computational", "computational use of data agreement", 1, 0.95),
+    ("polyform-noncommercial", "polyform", "polyform noncommercial license 1 0 0", 1, 0.95),
+    ("polyform-small-business", "polyform", "polyform small business license 1 0 0", 1, 0.95),
+    ("prosperity-3.0", "prosperity", "the prosperity public license 3 0 0", 1, 0.95),
+    ("parity-7.0", "parity", "the parity public license 7 0 0", 1, 0.95),
+    ("confluent", "confluent", "confluent community license", 1, 0.95),
+    ("rsal", "redis", "redis source available license", 1, 0.95),
+    ("hippocratic", "hippocratic", "hippocratic license", 1, 0.95),
+    ("openrail", "creativeml", "creativeml open rail m", 1, 0.95),
+    ("openrail", "bigscience", "bigscience (open )?rail", 1, 0.95),
+    ("llama", "llama", "llama (2|3) community license agreement", 1, 0.95),
+    ("gemma", "gemma", "gemma terms of use", 1, 0.95),
+    ("public-domain", "government", "this is a work of the u s government and is not subject to copyright protection in the united states", 1, 0.95),
+    ("nist-pd", "employees", "developed at the national institute of standards and technology by employees of the federal government", 1, 0.95),
+    ("blessing", "forgiveness", "may you find forgiveness for yourself and forgive others", 1, 0.95),
+    ("cc-pddc", "dedicator", "associated work with this document the dedicator or certifier", 1, 0.95),
+    ("proprietary", "eula", "end user license agreement eula", 1, 0.85),
+    ("proprietary", "decompile", "you may not reverse engineer decompile or disassemble", 1, 0.85),
+    ("proprietary", "disclose", "you shall not disclose such confidential information and shall use it only in accordance with the terms", 1, 0.95),
+    ("proprietary", "unpublished", "this is unpublished proprietary source code of", 1, 0.95),
+    ("proprietary", "retain", "and its licensors retain all intellectual property and proprietary rights in and to this software", 1, 0.95),
+    ("proprietary", "evaluation", "for evaluation purposes only", 2, 0.6),
+    ("research-only", "research", "for (academic )?research purposes only", 2, 0.6),
 ]
 
 
@@ -213,7 +379,7 @@ def needed(pattern: str) -> list[str]:
 
 
 #: Words too common to tell texts apart.
-COMMON = {*"a above all an and any as at based be by common do for from have in is it made may must no not of on or other part see should so subject that the these this to under we with without you your".split(), *"0123456789"}
+COMMON = {*"a above all an and any are as at back based be by common computer contains copy developed do document find for from have in is it made may must no not of on only open or other part same see should so subject that the these this to under use we with without you your".split(), *"0123456789"}
 
 
 def gate() -> str:
