@@ -397,3 +397,23 @@ def test_media_crops_and_a_crowd(spark):
     crops = [i for i in of if i % 10 == 1 and i > 1000]
     assert sum(got[i] == of[i] for i in crops) >= 0.9 * len(crops)
     assert sum(got[i] == 0 for i in range(1, 40)) >= 36 and all(got[i] in (i, of[i]) for i in of)
+
+
+def test_media_repeated_ids_and_empty(spark):
+    rng, t = np.random.default_rng(2), (np.arange(120) + 0.5) / 120
+    wave, shape = np.cos(np.pi * np.outer(t, 2 * np.arange(1, 9))), "image_id long, width int, height int, pixels binary, same string, n int, bits string"
+
+    def image():
+        light = wave @ rng.normal(size=(8, 8)) @ wave.T
+        return (128 + 42 * light / light.std()).clip(0, 255).astype(np.uint8)
+
+    one, two, three = image(), image(), image()
+    rows = [(i, x.shape[1], x.shape[0], x.tobytes(), "s", 1, "b") for i, x in ((1, one), (2, two), (2, two), (5, three), (5, one), (9, np.rot90(three)))]
+    got = media.image_copies(spark.createDataFrame(rows, shape)).collect()
+    # (5, one) is a copy of 1; the other row of 5 has corners of its own, which its turned copy meets.
+    assert sorted((r.image_id, r.class_id) for r in got) == [(1, 1), (2, 2), (2, 2), (5, 1), (5, 5), (9, 5)]
+    # Which of two contents an id's corners are from doesn't depend on the rows' order.
+    rows = [(i, x.shape[1], x.shape[0], x.tobytes(), "s", 1, "b") for i, x in ((3, one), (3, two), (4, np.rot90(one)), (6, np.rot90(two)))]
+    first, second = (sorted(tuple(r) for r in media.image_copies(spark.createDataFrame(r, shape)).collect()) for r in (rows, rows[::-1]))
+    assert first == second and sum(r[1] == 3 for r in first) == 3
+    assert media.image_copies(spark.createDataFrame([], shape)).count() == 0
