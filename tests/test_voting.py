@@ -29,6 +29,14 @@ def test_stacked_networks_equal_single_ones(inclusion):
     assert np.array_equal(stacked.score_stacked(x, flat[:2])[:, 1], training.Network.of(flat[1]).score(x))
 
 
+def test_few_models_are_stacked_at_once(monkeypatch):
+    """More than these leave a core's cache: many small models took twice as long."""
+    sizes, plain = [], stacked._fit
+    monkeypatch.setattr(stacked, "_fit", lambda x, y, *a: (sizes.append(len(y)), plain(x, y, *a))[1])
+    stacked.fit_stacked(np.ones((20, 3)), np.tile([0, 1], (40, 10)).astype(np.int8), epochs=1)
+    assert sum(sizes) == 40 and max(sizes) <= 16
+
+
 def test_simulated_voting_by_brute_force(spark):
     rows = [("one", *r) for r in clip_rows(150)] + [("two", *r) for r in clip_rows(30, seed=8)] + [("lone", 0, "a", [0.0] * 8)]
     clips = spark.createDataFrame(rows, "dataset string, id long, category string, embedding array<double>")
