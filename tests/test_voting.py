@@ -8,7 +8,7 @@ from hashlib import md5
 
 import numpy as np
 import pytest
-from lumenclip.functions import embedding
+from lumenclip.functions import embedding, scratch
 from lumenclip.operators import ranking, stacked, steps, training, voting
 
 
@@ -134,6 +134,17 @@ def test_every_step_of_a_log(spark, monkeypatch, tmp_path):
     assert len({folder, steps.steps_folder(path, clips, 0), steps.steps_folder(path, clips.limit(29), 1)}) == 3
 
 
+def test_progress_keeps_models_off_the_driver(spark, monkeypatch):
+    clips = spark.createDataFrame([(i, e) for i, _, e in clip_rows(30)], "id long, embedding array<double>")
+    log = steps.Log(steps.vote_log(spark.createDataFrame(log_votes(120), VOTE)))
+    models = scratch.written(steps.step_models(log, clips))
+    with monkeypatch.context() as patch:
+        for way in ("collect", "toLocalIterator", "toPandas"):
+            patch.setattr(type(models), way, lambda *_: pytest.fail("models came to the driver"))
+        told = steps.progress(log, clips, models)
+    assert told.count() == models.count() > 50
+
+
 def test_steps_of_a_stream(spark, tmp_path):
     rows = [(i, e) for i, _, e in clip_rows(30)]
     clips = spark.createDataFrame(rows, "id long, embedding array<double>")
