@@ -198,3 +198,14 @@ def test_only_clips_without_a_vector_are_embedded(spark, monkeypatch):
     assert sorted(seen) == [2, 3] and {i: r.precomputed for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True}
     assert got[1].embedding == got[4].embedding == [1.0] and np.allclose(got[2].embedding, hashed("beta", 256)) and not any(got[3].embedding)
     assert all(len(r) == 3 for r in got.values())
+
+
+def test_embedding_gathers_nothing(spark, monkeypatch):
+    """Sums of all of a task's texts grew with the input; now rows stand alone, a few at a time."""
+    monkeypatch.setattr(embedding, "AT_ONCE", 3)
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string").coalesce(1)
+    for df in (embedding.embed_texts(texts, 8), embedding.text_similarity(texts, "two words", 8)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan and "Sort" not in plan
+    got = embedding.embed_texts(texts, 8).collect()
+    assert [r.id for r in got] == list(range(len(TEXTS))) and all(np.allclose(r.embedding, hashed(TEXTS[r.id], 8)) for r in got)
