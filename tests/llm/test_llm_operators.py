@@ -230,6 +230,15 @@ def test_host_verdicts_change_what_is_kept(spark):
     assert all(r.kept == (10 * r.n_symbols <= r.n_words and 10 * r.n_dup_lines <= 3 * r.n_lines) for r in usual) and sum(not r.kept for r in usual) == 400
 
 
+def test_no_significant_expression_is_left_out(spark, monkeypatch):
+    """A number of expressions once cut the rest off."""
+    monkeypatch.setattr(toxicity, "CELLS", 1, raising=False)
+    rows = [(f"common words {'vile nasty' if i % 2 else 'kind gentle'}", i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "text string, y int")
+    keys = {int(k).to_bytes(5, "big") for k in toxicity.fit_counts(df, df.select("text")).among.keys}
+    assert {b"rds v", b"rds k"} <= keys
+
+
 def test_kneser_ney_by_dictionaries(spark):
     """Every expression's ratio from plain dictionaries over bytes, on class texts and more documents without a label."""
     rng, parts = random.Random(5), ["ka", "lo", "mi", "tu", "ré", "Zz9"]
