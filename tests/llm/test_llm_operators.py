@@ -426,3 +426,27 @@ def test_media_repeated_ids_and_empty(spark):
     first, second = (sorted(tuple(r) for r in media.image_copies(spark.createDataFrame(r, shape)).collect()) for r in (rows, rows[::-1]))
     assert first == second and sum(r[1] == 3 for r in first) == 3
     assert media.image_copies(spark.createDataFrame([], shape)).count() == 0
+
+
+def test_media_index_by_brute_force(spark):
+    """Links of the index against all pairs, over images like the query's (whose corners look alike) and a crowd."""
+    rng, rows, of = np.random.default_rng(3), [], {}
+    for k in range(12):
+        v = rng.normal(size=64)
+        for j in range(30 if k == 0 else 4):
+            rows.append((100 * k + j, (v + rng.normal(0, 0.1 * (j > 0), 64)).tolist()))
+            of[100 * k + j] = 100 * k
+    images = media.images_from_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    features = media.local_features(images).cache()
+    ids = features.select("image_id")
+    pairs = ids.select(F.col("image_id").alias("a")).crossJoin(ids.select(F.col("image_id").alias("b"))).where("a < b")
+    want = {(r.a, r.b) for r in media.agreeing(features, pairs).collect()}
+    got = {(r.a, r.b) for r in media.image_links(features).collect()}
+    few = {p for p in want if p[0] >= 100}
+    assert got <= want and len(few) >= 50 and len(got & few) >= 0.9 * len(few)
+    # In the crowd copies meet pivots: it stays one class without all its pairs.
+    classes = {r.node: r.component for r in components.connected_components(spark.createDataFrame(sorted(got), "a long, b long")).collect()}
+    assert sum(classes.get(i, i) == of[i] for i in of) >= 0.9 * len(of) and all(of[a] == of[b] for a, b in got)
+    # No corner is written more than once for each table and neighbour.
+    n = features.selectExpr("sum(size(x))").first()[0]
+    assert media._pair_keys(features, 0).count() <= media.TABLES * media.NEAREST * n
