@@ -8,7 +8,11 @@
    with all and sundry; where more must agree than are empty in a set, it gives keys for the filled ones alone, in
    order, and for so many fewer that one that agrees is still among them: H - 2 k + 1.  ``allocate`` chooses m and k for
    each band by the expected cost: keys to shuffle against meetings of sets that aren't alike.
-3. A key that two classes share gives their pair, which is verified on the whole sets.
+3. Of all classes that share a key with another, those go on whose sets have tokens enough that another of these has, too:
+   two that link share ``percent`` of either's.  That is told from a part of the universe (its tokens counted exactly, the
+   shared ones in a bitmap): where too many tokens of that part are a class's own, it links with nothing.  Of those that
+   are left all tokens are counted in the same way.  So texts that only quote the same passages stay out of what follows, however many quote them.
+   A key that two of the rest share gives their pair, which is verified on the whole sets.
 4. A key that more than FEW share (near copies by the thousand, or a common passage) must not give all pairs.  The
    classes of such keys meet by the rarest tokens of their sets instead: so many that two that link share one of them.
    Where few share such a token they are pairs as in step 3.  How rare a token is, is told by a table of fixed size that
@@ -54,6 +58,9 @@ FEW = 4
 ORDER_BITS, SLICES = 20, 16
 #: Groups that the tasks' tables of a part are added up in, before these are.
 SUMS = 1024
+#: Of the universe, a part this many times what two sets that link may lack of each other is counted first in step 3, in
+#: PARTS parts.  Bits of the bitmap for each class, at most so many; tokens that a task holds before it hands them on.
+COUNTED, PARTS, BITS_A_CLASS, MOST_BITS, HELD = 2.5, 1024, 256, 1 << 29, 1 << 21
 _ORDER = np.uint64((1 << ORDER_BITS) - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,6 +188,81 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _counted(tokens: np.ndarray, share: float) -> np.ndarray:
+    """Of a set's tokens those of a share of the universe, as 42 bits: part, then the place in it."""
+    mixed = mix(tokens ^ _MULT)
+    return mixed[(mixed & np.uint64(1023)) < np.uint64(ceil(share * 1024))] >> np.uint64(22)
+
+
+def _bit(place: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of each place, of ``bits`` that a part has (a power of two)."""
+    return (mix(place.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _shared_tokens(texts: DataFrame, k: int, share: float, bits: int) -> np.ndarray:
+    """By part, a bitmap of the counted tokens that more than one of the texts has.
+
+    A task hands its tokens on by part, four bytes each; a part's are counted together.
+    """
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            # Two of a token tell as much as all.
+            tokens = np.sort(np.concatenate(held))
+            tokens = tokens[np.r_[True, True, tokens[2:] != tokens[:-2]][: len(tokens)]]
+            edges = np.searchsorted(tokens, np.arange(PARTS + 1, dtype=np.uint64) << np.uint64(32))
+            places = tokens.astype(np.uint32)
+            some = np.flatnonzero(np.diff(edges))
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([places[edges[i] : edges[i + 1]].tobytes() for i in some], pa.binary())], names=["part", "tokens"])
+
+        for batch in batches:
+            for s in sets_of(_column(batch, "text"), k):
+                own = _counted(s, share)
+                held.append(own)
+                size += len(own)
+                if size >= HELD:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        places = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")]))
+        shared, out = np.unique(places[1:][places[1:] == places[:-1]]), np.zeros(bits, np.uint8)
+        out[_bit(shared, bits)] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bitmap": pa.array([np.packbits(out).tobytes()], pa.binary())})
+
+    parts = texts.select("text").mapInArrow(hand_on, "part int, tokens binary").groupBy("part").applyInArrow(count, "part int, bitmap binary").toArrow()
+    bitmap = np.zeros((PARTS, bits // 8), np.uint8)
+    for i, x in zip(parts.column("part").to_pylist(), parts.column("bitmap"), strict=True):
+        bitmap[i] = np.frombuffer(x.as_buffer(), np.uint8)
+    return bitmap
+
+
+def _may_link(docs: DataFrame, reps: DataFrame, k: int, percent: int, share: float) -> DataFrame:
+    """rep: of ``reps`` those whose texts have so many tokens that others of them have, too, that they may link, by a
+    share of the universe."""
+    texts, _ = may_be_among(docs.select("doc_id", "text"), F.col("doc_id"), reps)
+    bits = 8
+    while bits * PARTS < min(reps.count() * BITS_A_CLASS, MOST_BITS):
+        bits *= 2
+    shared = reps.sparkSession.sparkContext.broadcast(_shared_tokens(texts, k, share, bits))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for s in sets_of(_column(batch, "text"), k):
+                own = _counted(s, share)
+                bit = _bit(own & np.uint64(0xFFFFFFFF), bits)
+                alone = ((shared.value[(own >> np.uint64(32)).astype(np.int64), bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1) == 0
+                good.append(100 * (len(s) - int(alone.sum())) >= percent * len(s))
+            yield pa.RecordBatch.from_arrays([_column(batch, "doc_id")], names=["rep"]).filter(pa.array(good, pa.bool_()))
+
+    return texts.mapInArrow(judge, "rep long").distinct().join(reps, "rep")
+
+
 def _few_pairs(members: DataFrame, group: list[str], percent: int) -> DataFrame:
     """a, b: classes (rep, n) that share a group of at most FEW and whose sizes let them link."""
     groups = members.where(F.col("many") <= FEW).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("rep", "n"))).alias("g")).select("g").distinct()
@@ -365,11 +447,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     again, _ = may_be_among(keyed, F.col("key"), shared.select("key"))
     members = materialize(again.join(shared, "key"))
-    pairs = materialize(_few_pairs(members, ["key"], percent))
-    crowd = materialize(members.where(F.col("many") > FEW).select("rep").distinct())
+    company = materialize(members.groupBy("rep").agg((F.max("many") > FEW).alias("crowded")))
+    once = materialize(_may_link(docs, company.select("rep"), k, percent, min(1.0, COUNTED * (100 - percent) / 100)))
+    left = materialize(_may_link(docs, once, k, percent, 1.0))
+    crowd = company.where("crowded").join(left, "rep").select("rep")
+    pairs = _few_pairs(members, ["key"], percent)
+    pairs = materialize(pairs.join(left.select(F.col("rep").alias("a")), "a").join(left.select(F.col("rep").alias("b")), "b").select("a", "b"))
     wanted = pairs.select(F.col("a").alias("rep"), F.lit(False).alias("crowded")).union(pairs.select("b", F.lit(False))).union(crowd.select("rep", F.lit(True)))
     texts = materialize(_texts_for(docs, materialize(wanted.groupBy("rep").agg(F.max("crowded").alias("crowded")))))
-    discard(members, shared, other, crowd)
+    discard(members, shared, other, company, once, left)
 
     crowded = texts.where("crowded").select("rep", "text")
     tokens = _rare_tokens(crowded, k, percent)

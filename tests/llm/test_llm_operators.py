@@ -358,6 +358,24 @@ def test_jaccard_by_brute_force(spark, seed):
     assert [got[i].component_id for i in range(len(sets))] == [find(i) for i in range(len(sets))]
 
 
+def test_jaccard_of_texts_that_quote_the_same_passages(spark, monkeypatch):
+    """Passages that ever more texts quote bring no text further than their copies: no clusters of all that quote."""
+    rng, texts = random.Random(5), []
+    passages = [[f"p{i}w{j}" for j in range(90)] for i in range(3)]
+    for i in range(90):
+        texts.append(" ".join([*passages[i % 3], *(f"own{i}x{j}" for j in range(45)), *passages[(i + 1) % 3][:45]]))
+    for i in range(0, 12, 4):  # near copies: one word of 180 is another
+        w = texts[i].split(" ")
+        w[rng.randrange(90, 135)] = "other"
+        texts.append(" ".join(w))
+    seen, rare = [], jaccard._rare_tokens
+    monkeypatch.setattr(jaccard, "_rare_tokens", lambda texts, *a: (seen.extend(r.rep for r in texts.collect()), rare(texts, *a))[1])
+    rows = list(enumerate(texts))
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80))
+    assert [got[i].component_id for i in range(len(texts))] == [*range(90), 0, 4, 8]
+    assert set(seen) <= {0, 4, 8, 90, 91, 92}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
