@@ -468,3 +468,16 @@ def test_media_index_by_brute_force(spark):
     # No corner is written more than once for each table and neighbour.
     n = features.selectExpr("sum(size(x))").first()[0]
     assert media._pair_keys(features, 0).count() <= media.TABLES * media.NEAREST * n
+
+
+def test_media_index_on_disk(spark):
+    """Votes of a pair aren't written again for each count, and images give the same keys together as alone."""
+    rng = np.random.default_rng(4)
+    images = media.images_from_embeddings(spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(3)], "vec_id long, embedding array<double>"))
+    features = media.local_features(images).cache()
+    links = media.agreeing(features, spark.createDataFrame([(0, 1)], "a long, b long"))
+    assert "Expand" not in links._jdf.queryExecution().optimizedPlan().toString()
+    together = {tuple(r) for r in media._pair_keys(features.coalesce(1), 0).collect()}
+    alone = {tuple(r) for i in range(3) for r in media._pair_keys(features.where(F.col("image_id") == i), 0).collect()}
+    assert together == alone and len({r[-1] for r in together}) > 300
+    assert media.first_bits(100) < media.first_bits(50_000) <= media.first_bits(10**9)
