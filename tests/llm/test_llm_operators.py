@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -291,6 +292,31 @@ def test_kneser_ney_by_dictionaries(spark):
     assert mean[1] > mean[0]
 
 
+def test_every_expression_of_every_labelled_row_counts(spark):
+    """Expressions that differ by little were pruned, and rows beyond a sample weren't counted."""
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"w{rng.randrange(9)}{rng.randrange(9)}x" for _ in range(12)] + ["so", "vile" if i % 4 == 0 else "kind"]), int(i % 4 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), sample_rows=20).counts.value
+    counted = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 > 1]
+    grams = lambda t: [f" {t} ".encode()[i : i + 5] for i in range(len(t) - 2)]
+    texts = [collections.Counter(x for t, y in counted if y == k for x in {*grams(t), *(g[:4] for g in grams(t))}) for k in (0, 1)]
+    lg = lambda a, n: math.lgamma(a + 0.5) + math.lgamma(n - a + 0.5) - math.lgamma(n + 1) - math.log(math.pi)
+    every = sorted(g for g in {*texts[0], *texts[1]} if len(g) == 5)
+    odds = [lg(texts[0][g], texts[0][g[:4]]) + lg(texts[1][g], texts[1][g[:4]]) - lg(texts[0][g] + texts[1][g], texts[0][g[:4]] + texts[1][g[:4]]) for g in every]
+    weights = dict(zip(every, toxicity.differing(np.array(odds)), strict=True))
+    plain = toxicity.fit_counts(spark.createDataFrame(counted, "text string, y int"), df.select("text"))
+    keys = [int(k).to_bytes(5, "big") for k in plain.among.keys]
+    assert np.array_equal(model.among.keys, plain.among.keys) and {g for g in every if 0 < texts[0][g] < texts[0][g[:4]] and b"w" in g} <= {*keys}
+    assert np.allclose(plain.weights, [weights[g] for g in keys], rtol=1e-6) and 0 < min(plain.weights) < 0.01 and max(plain.weights) > 0.9
+    w = plain.weights
+    assert np.allclose(np.exp(model.logs), w * np.exp(plain.logs) + (1 - w) * plain.shared, rtol=1e-9)
+    # A key that shares its slot with others is found, and one that isn't there is not.
+    many = toxicity.Among(np.arange(0, 1 << 23, 3))
+    i, at = many.find(np.array([0, 1, 3, 2999997, 5, 1 << 24]))
+    assert i.tolist() == [0, 2, 3] and many.keys[at].tolist() == [0, 3, 2999997]
+
+
 def test_a_curve_of_one_class_falls_back(spark):
     rows = [(i, " ".join([f"c{i % 9}", "plain", *(["vile"] * 3 if i % 3 == 0 else ["fine"] * 3), f"x{i}"])) for i in range(400)]
     labels = [(i, 1 if i % 3 == 0 else 0) for i, _ in rows if not (zlib.crc32(str(i).encode()) % 5 == 1 and i % 3 == 0)]
