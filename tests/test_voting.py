@@ -29,6 +29,21 @@ def test_stacked_networks_equal_single_ones(inclusion):
     assert np.array_equal(stacked.score_stacked(x, flat[:2])[:, 1], training.Network.of(flat[1]).score(x))
 
 
+def test_models_of_few_rows_work_on_their_own(monkeypatch):
+    """Halves of the votes once took part in products over all of them."""
+    rng, width, plain = np.random.default_rng(4), set(), np.matmul
+    x, y = rng.normal(size=(40, 6)), np.full((9, 40), -1, np.int8)
+    for row in y[:8]:
+        seen = rng.permutation(40)[:20]
+        row[seen] = rng.integers(0, 2, 20)
+    with monkeypatch.context() as patch:
+        patch.setattr(np, "matmul", lambda a, b, **k: (width.add(b.shape[-1]), plain(a, b, **k))[1])
+        flat = stacked.fit_stacked(x, y, 1, 3, 20)
+    assert width <= {20, 7, 0}
+    for f, row in zip(flat[:8], y, strict=False):
+        assert np.allclose(f, training.Network.fitted(x[row >= 0], row[row >= 0], 1, 3, 20).flat(), atol=1e-8)
+
+
 def test_few_models_are_stacked_at_once(monkeypatch):
     """More than these leave a core's cache: many small models took twice as long."""
     sizes, plain = [], stacked._fit
