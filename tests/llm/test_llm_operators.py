@@ -507,3 +507,24 @@ def test_media_index_on_disk(spark):
     alone = {tuple(r) for i in range(3) for r in media._pair_keys(features.where(F.col("image_id") == i), 0).collect()}
     assert together == alone and len({r[-1] for r in together}) > 300
     assert media.first_bits(100) < media.first_bits(50_000) <= media.first_bits(10**9)
+
+
+def test_a_crowds_links_are_read_once(spark, monkeypatch):
+    """All links of a crowd, turned round too, went into every round of the components: the square of its size."""
+    rng = random.Random(6)
+    crowd = [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    chain = [(100 + i, 101 + i) for i in range(20)] + [(39, 500), (500, 501)]
+    links = [(a, b) for a, b in crowd + chain]
+    rng.shuffle(links)
+    df = spark.createDataFrame(links, "a long, b long")
+    fewer = media.least_neighbours(df)
+    nodes = {n for e in links for n in e}
+    assert fewer.count() < 2 * len(nodes) < len(links) / 3
+    plain, less = ({r.node: r.component for r in components.connected_components(x).collect()} for x in (df, fewer))
+    assert plain == less and set(plain.values()) == {0, 100}
+    v = np.random.default_rng(9).normal(size=64)
+    rows = [(i, (v + np.random.default_rng(i).normal(0, 0.02 * (i > 0), 64)).tolist()) for i in range(12)]
+    seen = []
+    monkeypatch.setattr(media, "connected_components", lambda e: (seen.append(e.count()), components.connected_components(e))[1])
+    got = media.image_copies(media.images_from_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))).collect()
+    assert {r.class_id for r in got} == {0} and seen[0] <= 12 < sum(r.n_links for r in got) / 2
